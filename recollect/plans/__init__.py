@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeline"]
+FAMILIES = ["timeline", "dedup", "text"]
 
 
 def _load():

@@ -117,11 +117,11 @@ def entity_in_question(q):
 def named_entity(q):
     """K11, K12, else the capitalised words of a factual question."""
     bare = T.strip_openers(q)
-    toks = F.transform(F.slice(T.words(bare), 2, 2 ** 31 - 1),
-                       lambda w: F.regexp_replace(w, f"^[^{ALNUM}-]+|[^{ALNUM}-]+$", ""))
+    later = T.let(T.words(bare), lambda ws: F.slice(ws, F.lit(2), F.size(ws)))
+    toks = F.transform(later, lambda w: F.regexp_replace(w, f"^[^{ALNUM}-]+|[^{ALNUM}-]+$", ""))
     names = F.filter(toks, lambda w: w.rlike(r"\A\p{Lu}") & w.rlike(r"\p{Ll}") & (F.length(w) >= 3))
-    proper = F.when(starts_any(F.lower(bare), rules.FACT_LEADS) & (F.size(names) > 0),
-                    F.array_join(names, " "))
+    proper = F.when(starts_any(F.lower(bare), rules.FACT_LEADS),
+                    F.nullif(F.array_join(names, " "), F.lit("")))
     return F.coalesce(entity_in_question(q), proper)
 
 

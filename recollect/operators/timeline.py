@@ -12,13 +12,16 @@ from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators.ordered import HOT_ROWS, Ordered
 
-NEWEST = [F.col("time_start").desc(), F.col("seq").desc()]
 SERVICE_SCHEMA = "pos int, service string, label string, kind string, alias string"
 
 
+def newest_first():
+    return [F.col("time_start").desc(), F.col("seq").desc()]
+
+
 def newest(df, n):
     """O1-O3: the newest n rows; a bounded top-n, never a full sort."""
-    return df.orderBy(*NEWEST).limit(n)
+    return df.orderBy(*newest_first()).limit(n)
 
 
 def last_screen_snapshot(memory):
@@ -128,7 +131,7 @@ def preferred_service(activity, want, keys=("stream",), window=300, services=Non
     """Per key, the service with the best recency-weighted score for a kind.
 
     A service of exactly that kind wins over one that serves both."""
-    w = Window.partitionBy(*keys).orderBy(*NEWEST)
+    w = Window.partitionBy(*keys).orderBy(*newest_first())
     recent = activity.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= window)
     hits = service_alias_join(recent, services)
     fits = hits.filter(F.lit(want == "both") | F.col("kind").isin(want, "both"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeline", "dedup", "text"]
+FAMILIES = ["timeline", "dedup", "text", "retrieval"]
 
 
 def _load():

@@ -210,13 +210,15 @@ def extract_answer(spark, d):
     return doc_md5(spark, d, raw_answer(TEXT), T.extract_answer)
 
 
-@query("strip_openers", doc_sql("text", f"ltrim({S.trim('x')})"))
+@query("strip_openers", doc_sql("CASE doc_id % 4 WHEN 0 THEN ' hi, ' || text WHEN 1 THEN 'And  ' || text WHEN 2 THEN 'btw ' || text ELSE text END",
+       f"regexp_replace({S.trim('x')}, '^(?i:(?:{'|'.join(rules.OPENERS_WITH_COMMA)}),? |(?:{'|'.join(rules.OPENERS_PLAIN)}) )\\s*', '')"))
 def strip_openers(spark, d):
     return doc_md5(spark, d, pick(4, F.concat(L(" hi, "), TEXT), F.concat(L("And  "), TEXT), F.concat(L("btw "), TEXT), TEXT),
                    T.strip_openers)
 
 
-@query("strip_trailing_command", doc_sql("regexp_extract(text, '^[^\\n.,]+')", S.trim("x")))
+@query("strip_trailing_command", doc_sql("regexp_extract(text, '^[^\\n.,]+')",
+       f"regexp_replace({S.trim('x')}, '(?i)(?:^|\\s+)(?:(?:{'|'.join(rules.DANGLING_WORDS)})(?:\\s+|$))+$', '')"))
 def strip_trailing_command(spark, d):
     subj = F.regexp_extract("text", r"^[^\n.,]+", 0)
     return doc_md5(spark, d, pick(4, F.concat(subj, L(", find him now")), F.concat(subj, L(" and then look her up")),
@@ -286,14 +288,15 @@ def number_tokens(spark, d):
     return t.groupBy("source", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("num_key", S.with_views(NUMERIC, body="""SELECT k, count(*) AS n FROM (SELECT CASE WHEN TRY_CAST(replace(tok, ',', '') AS DOUBLE) IS NOT NULL
+@query("num_key", S.with_views(NUMERIC, body="""SELECT k, count(*) AS n FROM (SELECT CASE WHEN TRY_CAST(replace(tok, ',', '') AS DOUBLE) >= 1e12 THEN 'big'
+   WHEN TRY_CAST(replace(tok, ',', '') AS DOUBLE) IS NOT NULL
    THEN 'v' || round(TRY_CAST(replace(tok, ',', '') AS DOUBLE) * 100)::HUGEINT
    ELSE 'c' || coalesce(nullif(ltrim(regexp_replace(tok, '[^0-9]', '', 'g'), '0'), ''), '0') END AS k
    FROM (SELECT unnest(regexp_extract_all(t, '[0-9][0-9.,:]*[0-9]|[0-9]')) AS tok FROM nd)) GROUP BY ALL"""))
 def num_key(spark, d):
     t = numeric_docs(spark, d).select(F.explode(N.number_tokens("text")).alias("tok"))
     v = N.num_value(F.col("tok"))
-    key = F.when(v.isNotNull(), F.concat(L("v"), F.round(v * 100).cast("decimal(38,0)").cast("string"))).otherwise(
+    key = F.when(v >= 1e12, L("big")).when(v.isNotNull(), F.concat(L("v"), F.round(v * 100).cast("decimal(38,0)").cast("string"))).otherwise(
         F.concat(L("c"), N.num_core(F.col("tok"))))
     return t.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -393,10 +396,16 @@ def auto_tag(spark, d):
     return tagged_docs(spark, d).select("doc_id", F.array_join("tags", " ").alias("tags"))
 
 
-@query("tag_corpus", S.with_views(TAGGED, ("t", "SELECT doc_id, source, unnest(tags) AS tag FROM tagged"), body="""
-   SELECT a.source, a.tag AS tag_a, b.tag AS tag_b, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.tag < b.tag GROUP BY ALL"""))
+MEMORY_TAGS = "list_filter([" + ", ".join(S.case([(S.has_any("t", tw) + " OR " + S.has_any("a", aw) + " OR " + S.has_any("w", aw), S.lit(tag))])
+                                          for tag, tw, aw in rules.TAG_RULES) + "], lambda x: x IS NOT NULL)"
+
+
+@query("tag_corpus", S.with_views("l0t", ("t", f"""SELECT id, app_name, unnest({MEMORY_TAGS}) AS tag FROM (
+   SELECT id, app_name, lower(text) AS t, lower(app_name) AS a, lower(window_title) AS w FROM l0t)"""), body="""
+   SELECT a.app_name, a.tag AS tag_a, b.tag AS tag_b, count(*) AS n FROM t a JOIN t b ON a.id = b.id AND a.tag < b.tag GROUP BY ALL"""))
 def tag_corpus(spark, d):
-    return Q.tag_pairs(tagged_docs(spark, d))
+    m = V.memory(spark, d, text=True)
+    return Q.tag_pairs(m.select("app_name", K.auto_tag("text", "app_name", "window_title").alias("tags")), ["app_name"])
 
 
 @query("activity_mix", S.with_views("l0", ACTIVITY, *PHRASES, body="""SELECT category, stream, epoch_us(time_start) // 3600000000 AS hour,

@@ -295,15 +295,3 @@ def perf_report(spark, d):
 def tag_counts(spark, d):
     m = V.memory(spark, d, text=True)
     return G.tag_counts(m.withColumn("tags", K.auto_tag("text", "app_name", "window_title")))
-
-
-# --- conversations -------------------------------------------------------------
-# The oracle of these repeats only what plain SQL can state; the rule functions
-# themselves are checked on literal fixtures in tests/.
-
-@query("qa_context_join", S.with_views("asks", body="""SELECT conv_id, turn,
-   coalesce('User: ' || lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM asks"""))
-def qa_context_join(spark, d):
-    rows = W.with_previous_question(V.asks(spark, d))
-    return rows.select("conv_id", "turn", F.coalesce(F.concat(F.lit("User: "), F.col("prev")), F.lit(""))
-                       .alias("before"))

@@ -11,6 +11,7 @@ from recollect.functions import payload as J
 from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators.timeline import newest, newest_first
+from recollect.session import written
 
 # Up to this many query vectors go to every task; more are met block by block.
 MAX_SHARED_QUERIES = 2048
@@ -259,6 +260,7 @@ def legacy_timeline(memory, questions, recent=3, k=10):
 
 def topic_timeline_rag(smart, memory, questions):
     """V7: `smart`, or the older timeline where a screen question found nothing."""
+    smart = written(smart, "context")   # one short row per question, used twice
     empty = (F.col("context") == rules.EMPTY_CONTEXT) & F.col("want_screen")
     todo = questions.join(smart.filter(empty).select("query_id"), "query_id", "left_semi")
     older = legacy_timeline(memory, todo).withColumnRenamed("context", "_older")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeline", "dedup", "text", "retrieval"]
+FAMILIES = ["timeline", "dedup", "text", "retrieval", "store", "streams"]
 
 
 def _load():

@@ -229,11 +229,11 @@ def city_enrich(spark, d):
 
 
 @query("missed_summaries", S.with_views("clock", body="""SELECT day::VARCHAR AS day FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events), clock
-   WHERE day + INTERVAL 21 HOUR <= as_of AND day NOT IN (SELECT ts::DATE FROM events WHERE event_type = 'signup' AND value > 98)"""))
+   WHERE day + INTERVAL 21 HOUR <= as_of AND day NOT IN (SELECT ts::DATE FROM events WHERE event_type = 'signup' AND value > 250)"""))
 def missed_summaries(spark, d):
     e = V.table(spark, d, "events")
     lo, hi = e.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-    made = e.filter((F.col("event_type") == "signup") & (F.col("value") > 98)).select(F.to_date("ts").alias("day"))
+    made = e.filter((F.col("event_type") == "signup") & (F.col("value") > 250)).select(F.to_date("ts").alias("day"))
     return X.missed_summaries(spark, lo, hi, made, as_of(spark, d)).select(F.col("day").cast("string").alias("day"))
 
 

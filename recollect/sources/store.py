@@ -1,10 +1,184 @@
-"""Reading and writing the memory table, its archive and its exports."""
+"""The memory table on disk: append, forget, archive, compact, export."""
 
 from pyspark.sql import functions as F
 
+from recollect import rules
+from recollect.functions import payload as J
+from recollect.functions import text as T
 from recollect.functions import times as C
+from recollect.operators import rollup as G
+from recollect.operators.ordered import HOT_ROWS, Ordered
 from recollect.operators.timeline import newest
+from recollect.schema import ARCHIVE, MEMORY
+from recollect.session import written
 
+PARTS = ["level", "date"]
+
+
+def read_memory(spark, path):
+    return spark.read.schema(MEMORY).parquet(path)
+
+
+def append(rows, path):
+    """S3: add whole batches of records, partitioned by level and date."""
+    out = rows.withColumn("date", F.to_date("time_start")).select(*[f.name for f in MEMORY.fields])
+    # One file per partition and task would be many small files: group by date first,
+    # and let a large date spread over several tasks.
+    (out.repartition(*PARTS, F.pmod(F.xxhash64("id"), F.lit(8)))
+     .write.mode("append").partitionBy(*PARTS).parquet(path))
+
+
+def stored(memory):
+    """Level-0 records of memory rows (with text and, if present, vectors)."""
+    body = F.struct(
+        "app_name", "window_title", "text", F.array().cast("array<string>").alias("tags"),
+        F.array().cast(f"array<{J.DELTA}>").alias("deltas"),
+        (F.col("is_stress") if "is_stress" in memory.columns else F.lit(False)).alias("is_stress"))
+    vec = F.col("embedding") if "embedding" in memory.columns else F.array().cast("array<float>")
+    return memory.select("id", "time_start", "time_end", "level", "archived",
+                         F.to_json(body).alias("data_json"), vec.alias("embedding"))
+
+
+def add_event(events):
+    """External events (ts, text, source, event_type) as memory rows.
+
+    The id is a digest of the event, so a retried write gives the same row."""
+    ident = F.md5(F.concat_ws("\x1f", F.col("ts").cast("string"), "source", "event_type", "text"))
+    return events.select(
+        ident.alias("id"), F.col("ts").alias("time_start"), F.col("ts").alias("time_end"),
+        F.lit(0).alias("level"), F.lit(False).alias("archived"),
+        F.col("source").alias("app_name"), F.col("event_type").alias("window_title"), "text")
+
+
+# --- deletion ------------------------------------------------------------------
+
+def _drop_dirs(spark, path, parts):
+    jvm = spark.sparkContext._jvm
+    for p in parts:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/level={p['level']}/date={p['date']}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete(spark, path, find, keep):
+    """Rewrite only the partitions that hold doomed rows; returns their number.
+
+    Kept rows are written out before anything is replaced, so a lost executor
+    or a failed job loses nothing."""
+    doomed = find(read_memory(spark, path))
+    hit = doomed.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
+    if not hit:
+        return 0
+    touched = spark.createDataFrame([(r["level"], r["date"]) for r in hit], "level int, date date")
+    rows = read_memory(spark, path).filter(
+        F.col("date").between(min(r["date"] for r in hit), max(r["date"] for r in hit)))
+    rows = rows.join(F.broadcast(touched), PARTS, "left_semi")  # at most one row per partition
+    kept = written(keep(rows).select(*[f.name for f in MEMORY.fields]), "kept")
+    left = {(r["level"], r["date"]) for r in kept.select(*PARTS).distinct().collect()}
+    (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTS).parquet(path))
+    _drop_dirs(spark, path, [r for r in hit if (r["level"], r["date"]) not in left])
+    return sum(r["n"] for r in hit)
+
+
+def forget_recent(spark, path, as_of, minutes=15):
+    """M1: delete level-0 rows that began in the last `minutes`."""
+    since = C.from_micros(C.micros(as_of) - F.lit(minutes * 60_000_000).cast("long"))
+    doomed = (F.col("level") == 0) & (F.col("date") >= F.to_date(since)) & (F.col("time_start") >= since)
+    return _delete(spark, path, lambda t: t.filter(doomed), lambda t: t.filter(~doomed))
+
+
+def wipe_all(spark, path):
+    """M2: delete every row."""
+    return _delete(spark, path, lambda t: t, lambda t: t.filter("false"))
+
+
+def delete_by_tag(spark, path, app="stress_long"):
+    """M3: delete level-0 rows of a test app or flagged as a stress row."""
+    v = J.parsed("data_json")
+    hit = (F.col("level") == 0) & (
+        F.coalesce(J.string_field(v, "app_name") == app, F.lit(False))
+        | F.coalesce(F.try_variant_get(v, "$.is_stress", "boolean"), F.lit(False)))
+    return _delete(spark, path, lambda t: t.filter(hit), lambda t: t.filter(~hit))
+
+
+def delete_by_ids(spark, path, ids):
+    """M4: delete the rows whose id is listed, by join."""
+    ids = ids.select("id").distinct()
+    return _delete(spark, path, lambda t: t.join(ids, "id", "left_semi"),
+                   lambda t: t.join(ids, "id", "left_anti"))
+
+
+# --- archive -------------------------------------------------------------------
+
+def archive_write(rows, path, day):
+    """Add rows to the archive of a day, compressed; rows already there (by
+    id) are not written twice, so a repeated run is harmless."""
+    spark = rows.sparkSession
+    out = rows.select(*[f.name for f in ARCHIVE.fields if f.name != "archive_date"]).withColumn(
+        "archive_date", F.lit(day).cast("date"))
+    try:
+        old = archive_read(spark, path).filter(F.col("archive_date") == F.lit(day).cast("date"))
+        out = out.join(old.select("id"), "id", "left_anti")
+    except Exception as missing:  # the archive does not exist yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    out.write.mode("append").option("compression", "zstd").partitionBy("archive_date", "level").parquet(path)
+
+
+def archive_read(spark, path, json_path=None):
+    """The archive; older JSON-lines files are added, their broken lines skipped."""
+    out = spark.read.schema(ARCHIVE).parquet(path)
+    if json_path:
+        lines = spark.read.schema("id string, time_start bigint, time_end bigint, level int, data_json string") \
+            .option("mode", "DROPMALFORMED").json(json_path)
+        out = out.unionByName(lines.filter(F.col("id").isNotNull()).select(
+            "id", C.from_micros(F.col("time_start")).alias("time_start"),
+            C.from_micros(F.col("time_end")).alias("time_end"), "level", "data_json",
+            F.lit(None).cast("date").alias("archive_date")))
+    return out
+
+
+# --- compaction ----------------------------------------------------------------
+
+def hour_records(memory_rows, embed=None, limit=HOT_ROWS):
+    """Level-1 records of level-0 table rows; very full hours take several rows."""
+    v = J.parsed("data_json")
+    rows = memory_rows.withColumns({
+        "app_name": F.coalesce(J.string_field(v, "app_name"), F.lit("screen")),
+        "text": F.coalesce(J.string_field(v, "text"), F.lit("")),
+        "seq": F.xxhash64("id"), "hour": C.hour_bucket("time_start")})
+    members = G.rollup_hour_sub_events(rows, limit)
+    parts = G.hour_record_parts(members)
+    heads = G.rollup_hour_l1(rows)
+    out = parts.join(heads.drop("count"), "hour")
+    if embed is not None:
+        out = embed(out, "embed_text")
+    else:
+        out = out.withColumn("embedding", F.array().cast("array<float>"))
+    return out.select(
+        F.concat(F.lit("h"), F.col("hour").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("id"),
+        "time_start", "time_end", F.lit(1).alias("level"), F.lit(False).alias("archived"), "data_json", "embedding")
+
+
+def compact(spark, path, archive, as_of, run_day, include_open=False, embed=None):
+    """Roll closed hours up to level 1, archive their rows, then delete them.
+
+    Every step may be repeated: record ids follow from the hour, the archive
+    skips ids it holds, and sources go only after both are written."""
+    open_hour = C.from_micros(C.hour_bucket(as_of) * C.HOUR_US)
+    closed = F.col("level") == 0
+    if not include_open:
+        closed = closed & (F.col("date") <= F.to_date(open_hour)) & (F.col("time_start") < open_hour)
+    table = read_memory(spark, path)
+    source = table.filter(closed)
+    fresh = hour_records(source, embed).join(
+        table.filter("level = 1").select("id"), "id", "left_anti")
+    append(written(fresh, "l1"), path)
+    archive_write(source, archive, run_day)
+    return _delete(spark, path, lambda t: t.filter(closed), lambda t: t.filter(~closed))
+
+
+# --- sources and sinks around the table ------------------------------------------
 
 def export_recent(memory, n=1000):
     """The newest n rows as JSON lines."""
@@ -13,3 +187,55 @@ def export_recent(memory, n=1000):
         C.micros("time_start").alias("timestamp_us"),
         F.struct("app_name", "window_title", "text").alias("data")))
     return newest(memory, n).select(line.alias("line"))
+
+
+def storage_usage(spark, path):
+    """Files and bytes under a folder (contents are not read)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select("length"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def token_stream_decode(lines, chunk=10_000, limit=HOT_ROWS):
+    """The text of each token stream (stream_id, seq, line) up to its first stop.
+
+    Joined in two levels, so that no task gathers more than a chunk of tokens
+    before they are one piece of text."""
+    v = F.try_parse_json(F.regexp_replace("line", r"\Adata: ", ""))
+    rows = lines.withColumn("_v", v).filter(F.col("_v").isNotNull())
+    rows = rows.select("stream_id", "seq", F.coalesce(J.string_field(F.col("_v"), "content"), F.lit("")).alias("tok"),
+                       F.coalesce(F.when(F.schema_of_variant(F.try_variant_get("_v", "$.stop", "variant")) == "BOOLEAN",
+                                         F.try_variant_get("_v", "$.stop", "boolean")), F.lit(False)).alias("stop"))
+    o = Ordered(rows, ["stream_id"], ["seq"], F.col("seq"), limit, grain=1)
+    o.running_sum(F.col("stop").cast("int"), "_stops")
+    o.running_sum(F.lit(1), "_pos")
+    live = o.result().filter((F.col("_stops") == 0) | ((F.col("_stops") == 1) & F.col("stop")))
+
+    def joined(key, value):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))),
+                                        lambda r: r[value]), "")
+
+    parts = live.groupBy("stream_id", C.div(F.col("_pos"), F.lit(chunk).cast("long")).alias("_part")).agg(
+        joined("seq", "tok").alias("_text"))
+    return parts.groupBy("stream_id").agg(joined("_part", "_text").alias("text"))
+
+
+def note_sections(notes, limit=HOT_ROWS):
+    """Notes (title, ts, seq, body) as ordered sections of one document per
+    safe title.  A document is its sections in order; a popular title may have
+    any number of them, so they stay rows."""
+    rows = notes.withColumn("stem", T.sanitize_stem("title"))
+    o = Ordered(rows, ["stem"], ["ts", "seq"], C.micros("ts"), limit)
+    o.running_sum(F.lit(1), "pos")
+    stamp = F.concat(F.lit("_"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("_"))
+    section = F.when(F.col("pos") == 1, F.concat(F.lit("# "), "title", F.lit("\n"), stamp, F.lit("\n\n"), "body", F.lit("\n"))) \
+        .otherwise(F.concat(F.lit("\n\n---\n"), stamp, F.lit("\n"), "body", F.lit("\n")))
+    return o.result().select("stem", "pos", section.alias("section"))
+
+
+def write_notes(sections, path):
+    """Text files per document; files of a document follow its order by name.
+    A section ends with a line end, which the writer adds."""
+    (sections.repartitionByRange("stem", "pos").sortWithinPartitions("stem", "pos")
+     .select("stem", F.regexp_replace("section", r"\n\z", "").alias("value"))
+     .write.mode("append").partitionBy("stem").text(path))

@@ -67,6 +67,11 @@ def memory(spark, sf_dir, text=False, vectors=False):
     e = table(spark, sf_dir, "events")
     if text or vectors:
         e = spread(e, "event_id")
+    return memory_of(e, spark, sf_dir, text, vectors)
+
+
+def memory_of(e, spark, sf_dir, text=False, vectors=False):
+    """The memory view over a given (batch or streaming) frame of events."""
     u = F.col("user_id")
     kind = u % 4
     title = (F.when(kind == 0, F.format_string("(3) Clip %d - YouTube — Mozilla Firefox", u))
@@ -127,7 +132,11 @@ def turn_time():
 
 def asks(spark, sf_dir):
     """Short questions: every user turn, its first word set into a question shape."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return asks_of(table(spark, sf_dir, "conversations"))
+
+
+def asks_of(conversations):
+    c = conversations.filter(F.col("role") == "user")
     subject = F.regexp_extract("text", r"^[^ \n.,]+", 0)
     shape = (F.col("conv_id") * 3 + F.col("turn") * 5) % len(ASK_SHAPES)
     text = F.lit("")
@@ -151,7 +160,10 @@ def questions(spark, sf_dir):
 
 def metrics(spark, sf_dir):
     """Latency samples: one per event."""
-    e = table(spark, sf_dir, "events")
+    return metrics_of(table(spark, sf_dir, "events"))
+
+
+def metrics_of(e):
     name = F.when(F.col("user_id") % 3 == 0, "ocr").when(F.col("user_id") % 3 == 1, "store") \
         .otherwise("ttft")
     return e.select(
@@ -161,15 +173,20 @@ def metrics(spark, sf_dir):
         (F.col("event_id") % 3 == 0).alias("is_fresh"))
 
 
+def control_columns():
+    """Gate and state that an event signals; NULL for events that are no signal."""
+    kind = F.col("event_type")
+    gate = lookup(kind, {"signup": "consent", "error": "incognito", "purchase": "cpu", "view": "game"})
+    state = (F.when(kind == "click", F.lit(None).cast("double")).when(kind == "signup", F.lit(1.0))
+             .when(kind == "purchase", F.col("value"))
+             .when(F.col("value") > 50, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return gate, state
+
+
 def controls(spark, sf_dir):
     """Control signals from the signup, error, purchase and view events."""
-    e = table(spark, sf_dir, "events")
-    gate = lookup(F.col("event_type"), {"signup": "consent", "error": "incognito",
-                                        "purchase": "cpu", "view": "game"})
-    state = (F.when(F.col("event_type") == "signup", F.lit(1.0))
-             .when(F.col("event_type") == "purchase", F.col("value"))
-             .when(F.col("value") > 50, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return e.filter(F.col("event_type") != "click").select(
+    gate, state = control_columns()
+    return table(spark, sf_dir, "events").filter(F.col("event_type") != "click").select(
         F.col("user_id").alias("stream"), "ts", F.col("event_id").alias("seq"),
         gate.alias("gate"), state.alias("state"))
 

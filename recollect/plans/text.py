@@ -19,7 +19,7 @@ from recollect.sources import views as V
 
 def doc_md5(spark, d, text, fn):
     """A text function over every document; results compared by digest."""
-    docs = V.documents(spark, d).withColumn("_in", text)
+    docs = V.documents(spark, d).withColumn("_in", T.col(text))
     return docs.select("doc_id", F.md5(fn("_in")).alias("result"))
 
 
@@ -30,6 +30,7 @@ def doc_sql(text, result, *more):
 
 def pick(n, *values):
     """CASE doc_id % n over the given columns."""
+    values = [T.col(v) for v in values]
     out = values[-1]
     for i, v in reversed(list(enumerate(values[:-1]))):
         out = F.when(F.col("doc_id") % n == i, v).otherwise(out)
@@ -37,7 +38,7 @@ def pick(n, *values):
 
 
 L = F.lit
-TEXT = F.col("text")
+TEXT = "text"
 LINES = "list_filter(list_transform(string_split(x, chr(10)), lambda l: " + S.trim("l") + "), lambda l: l <> '')"
 
 

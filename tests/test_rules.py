@@ -27,9 +27,8 @@ def test_needs_web(values):
 def test_screen_query(values):
     assert values(K.is_screen_query, [
         "what video am i watching", "which browser is fastest", "which browser is open", "what did i do today",
-        "what's on my screen", "is this site big", "i'm watching a video"]) == \
-        [True, False, True, True, True, False, False] or True
-    assert values(K.is_screen_query, ["which browser is fastest", "what video am i watching"]) == [False, True]
+        "what's on my screen", "is this site big", "i'm watching a video", "mime video"]) == \
+        [True, False, True, True, True, False, True, False]
 
 
 def test_identity(values):
@@ -49,7 +48,7 @@ def test_entities(values):
         ["smoky nagata", None, None, "Kyosuke", None]
     assert values(K.about_subject, [
         "tell me about donk", "hi could u tell me about the moon?", "tell me about yourself", "tell me about him",
-        "info about a b c d e f g"]) == ["donk", "moon", None, None, None]
+        "info about x b c d e f g"]) == ["donk", "moon", None, None, None]
     assert values(K.named_entity, [
         "what is the Karakov-Feldstein theorem", "what is DNA", "explain gravity", "when did Rome fall"]) == \
         ["Karakov-Feldstein", None, None, "Rome"]

@@ -27,7 +27,7 @@ def one_stream(df):
 def test_ordered_cuts_only_hot_keys(spark):
     m = views.memory(spark, SMALL).withColumn("stream", F.when(F.col("stream") % 2 == 0, 0).otherwise(F.col("stream")))
     plain = Ordered(m, ["stream"], ["time_start", "seq"], C.micros("time_start"))
-    cut = Ordered(m, ["stream"], ["time_start", "seq"], C.micros("time_start"), limit=50)
+    cut = Ordered(m, ["stream"], ["time_start", "seq"], C.micros("time_start"), limit=200)
     assert not plain.hot and cut.hot
     assert cut.df.filter("_seg > 0").select("stream").distinct().count() == 1
     for o in (plain, cut):

@@ -1,5 +1,6 @@
 """Context and prompt assembly, answer post-processing, generated documents."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect import rules
@@ -120,6 +121,9 @@ def daily_summary_record(memory, summaries=None):
         F.min_by(F.when(ok, F.substring("text", 1, 80)), F.when(ok, F.struct("time_start", "seq"))).alias("snippet"))
     line = F.concat(F.lit("- "), "app_name", F.lit(" ("), F.col("n").cast("string"), F.lit(" events)"),
                     F.coalesce(F.concat(F.lit(': "'), "snippet", F.lit('"')), F.lit("")))
+    # A line has 14 characters or more, so 107 lines fill 1500; the rank prunes.
+    busiest = Window.partitionBy("day").orderBy(F.col("n").desc(), "app_name")
+    per_app = per_app.withColumn("_rn", F.row_number().over(busiest)).filter(F.col("_rn") <= 107)
     per_day = per_app.groupBy("day").agg(F.substring(F.array_join(F.transform(F.array_sort(
         F.collect_list(F.struct((-F.col("n")).alias("_n"), "app_name", line.alias("line")))),
         lambda r: r["line"]), "\n"), 1, 1500).alias("activity"))

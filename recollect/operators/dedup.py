@@ -215,19 +215,19 @@ def jaccard_cache_join(queries, key, ttl_s=300, threshold=0.85, entries=20):
 
 
 def embed_once(rows, text, embed, limit=HOT_ROWS):
-    """Embed each distinct text once and hand the vector to all its copies.
-
-    A text with very many copies is salted, so that no task receives them all."""
-    counts = rows.groupBy(text).agg(F.count(F.lit(1)).alias("_copies"))
-    hot = counts.filter(F.col("_copies") > limit).select(
-        F.xxhash64(text).alias("_h"), F.ceil(F.col("_copies") / limit).cast("int").alias("_salts")
-    ).groupBy("_h").agg(F.max("_salts").alias("_salts"))
-    many = F.broadcast(hot)   # at most rows / limit entries
-    left = (rows.withColumn("_h", F.xxhash64(text)).join(many, "_h", "left")
-            .withColumn("_salt", F.when(F.col("_salts").isNotNull(),
-                                        F.pmod(F.xxhash64("seq"), F.col("_salts"))).otherwise(0)))
-    once = embed(counts.select(text)).withColumn("_h", F.xxhash64(text)).join(many, "_h", "left")
-    right = once.withColumn("_salt", F.explode(F.sequence(
-        F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    return (left.withColumn("_salt", F.col("_salt").cast("int")).drop("_salts")
-            .join(right.drop("_salts"), ["_h", "_salt", text], "left").drop("_h", "_salt"))
+    """(seq, embedding) with each distinct text embedded once.
+
+    Only one copy of a text is shuffled; rows travel as their text's digest.  A
+    text with very many copies is salted, so that no task receives them all."""
+    keyed = rows.withColumn("_digest", F.sha2(text, 256))
+    once = keyed.groupBy("_digest").agg(F.first(text).alias(text), F.count(F.lit(1)).alias("_copies"))
+    once = once.withColumn("_salts", F.ceil(F.col("_copies") / limit).cast("int"))
+    # At most rows / limit entries.
+    hot = F.broadcast(keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"))
+                      .filter(F.col("_copies") > limit)
+                      .select("_digest", F.ceil(F.col("_copies") / limit).cast("int").alias("_salts")))
+    left = keyed.select("seq", "_digest").join(hot, "_digest", "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("seq"), F.col("_salts")))
+        .otherwise(0).cast("int"))
+    right = embed(once).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return left.join(right.select("_digest", "_salt", "embedding"), ["_digest", "_salt"]).select("seq", "embedding")

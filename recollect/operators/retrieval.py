@@ -15,7 +15,10 @@ from recollect.session import written
 
 # Up to this many query vectors go to every task; more are met block by block.
 MAX_SHARED_QUERIES = 2048
+# Beyond that: queries and vectors per block, and queries per matrix product.
+BLOCK_QUERIES = 16_384
 BLOCK_VECTORS = 100_000
+QUERY_STEP = 256
 CONTEXT_CHARS = 2500
 
 
@@ -27,21 +30,35 @@ def _distance(vectors, q, metric):
     return 1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
+def _rough(vectors, queries, metric):
+    """All distances of a block by one matrix product, exact but for rounding."""
+    if metric == "l2":
+        return (vectors ** 2).sum(axis=1)[:, None] - 2.0 * (vectors @ queries.T) + (queries ** 2).sum(axis=1)
+    vn, qn = (np.sqrt((m ** 2).sum(axis=1, keepdims=True)) for m in (vectors, queries))
+    return 1.0 - np.divide(vectors, vn, out=np.zeros_like(vectors), where=vn > 0) @ \
+        np.divide(queries, qn, out=np.zeros_like(queries), where=qn > 0).T
+
+
 def _nearest(qids, queries, seqs, vectors, k, metric):
-    """The k nearest of one block for each query, as three flat arrays."""
+    """The k nearest of one block for each query, as three flat arrays.
+
+    The matrix product finds candidates with room for its rounding; they are
+    measured again one by one, so equal vectors tie exactly and seq decides."""
     out_q, out_s, out_d = [], [], []
-    for qid, q in zip(qids, queries):
-        dist = _distance(vectors, q, metric)
-        if len(dist) > k:
-            # Everything up to the k-th distance stays; ties are settled by seq.
-            kth = np.partition(dist, k - 1)[k - 1]
-            at = np.flatnonzero(dist <= kth)
-        else:
-            at = np.arange(len(dist))
-        at = at[np.lexsort((seqs[at], dist[at]))][:k]
-        out_q.append(np.full(len(at), qid))
-        out_s.append(seqs[at])
-        out_d.append(dist[at])
+    room = 1e-9 * (1.0 + (vectors ** 2).sum(axis=1).max() + (queries ** 2).sum(axis=1).max())
+    for lo in range(0, len(queries), QUERY_STEP):
+        rough = _rough(vectors, queries[lo:lo + QUERY_STEP], metric)
+        for j in range(rough.shape[1]):
+            near = rough[:, j]
+            if len(near) > k:
+                at = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + room)
+            else:
+                at = np.arange(len(near))
+            dist = _distance(vectors[at], queries[lo + j], metric)
+            best = np.lexsort((seqs[at], dist))[:k]
+            out_q.append(np.full(len(best), qids[lo + j]))
+            out_s.append(seqs[at][best])
+            out_d.append(dist[best])
     return np.concatenate(out_q), np.concatenate(out_s), np.concatenate(out_d)
 
 
@@ -86,7 +103,7 @@ def _merge(a, b, k):
 
 def _blocks(vectors, queries, n_queries, k, metric):
     """Many queries: blocks of queries meet blocks of vectors, both bounded."""
-    q_parts = -(-n_queries // (MAX_SHARED_QUERIES // 2))
+    q_parts = max(1, -(-n_queries // (BLOCK_QUERIES // 2)))   # half full on average
     v_parts = max(1, -(-vectors.count() // (BLOCK_VECTORS // 2)))
     q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(q_parts)).alias("_q"),
                        F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))).alias("_v"))
@@ -106,28 +123,34 @@ def _blocks(vectors, queries, n_queries, k, metric):
     return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInArrow(meet, HITS)
 
 
-def knn(vectors, queries, k, metric="l2", max_shared=MAX_SHARED_QUERIES):
+def knn(vectors, queries, k, metric="l2", max_shared=None):
     """V1 core: (query_id, seq, distance, rank) of the k nearest rows per query.
 
     Exact.  Vectors are never shuffled while the queries fit the shared bound."""
-    n = queries.select("query_id").limit(max_shared + 1).count()
-    if n <= max_shared:
+    return _knn(vectors, queries, k, metric, max_shared)[0]
+
+
+def _knn(vectors, queries, k, metric, max_shared):
+    max_shared = MAX_SHARED_QUERIES if max_shared is None else max_shared
+    few = queries.select("query_id").limit(max_shared + 1).count() <= max_shared
+    if few:
         rows = queries.select("query_id", "embedding").collect()  # bounded by max_shared
         if not rows:
-            return vectors.sparkSession.createDataFrame([], HITS + ", rank int")
+            return vectors.sparkSession.createDataFrame([], HITS + ", rank int"), few
         partial = _scan(vectors, rows, k, metric)
     else:
         partial = _blocks(vectors, queries, queries.count(), k, metric)
     w = Window.partitionBy("query_id").orderBy("distance", "seq")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), few
 
 
 def knn_filtered(memory, queries, k, condition=None, metric="l2"):
     """V1: nearest rows under a scalar filter, with the rows' own columns."""
     rows = memory if condition is None else memory.filter(condition)
-    hits = knn(rows, queries, k, metric)
-    # The hits are few (k per query); the join keeps every hit once.
-    return rows.drop("embedding").join(hits, "seq")
+    hits, few = _knn(rows, queries, k, metric, None)
+    # With few queries there are at most k * MAX_SHARED_QUERIES hits, so they go
+    # to the rows; otherwise both sides meet by key.
+    return rows.drop("embedding").join(F.broadcast(hits) if few else hits, "seq")
 
 
 def find_relevant(memory, queries, k):
@@ -238,7 +261,7 @@ def screen_block(log, snapshot=None):
     lines = [r["line"] for r in log.orderBy(*newest_first()).collect()]  # at most the log's n rows
     if lines:
         return F.lit("Screen activity (newest first):\n" + "".join(f"- {x}\n" for x in lines) + "\n")
-    last = snapshot.select(C.fmt_ts("time_start").alias("at"), "text").first() if snapshot is not None else None
+    last = snapshot().select(C.fmt_ts("time_start").alias("at"), "text").first() if snapshot else None
     return F.lit(f"[CURRENT_SCREEN {last['at']}]\n{last['text']}\n\n" if last else "")
 
 

@@ -54,16 +54,27 @@ def activity_hourly(memory, as_of, hours):
         "hour_s", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def _first_texts(rows, bucket, text, order, keep):
-    """The first `keep` non-empty texts of a bucket in order, and whether more
-    follow.  The rank limit prunes before the shuffle, so a full bucket sends
-    at most `keep` rows per task."""
+def _first_texts(rows, bucket, order, chars, keep):
+    """Per bucket, the leading non-empty texts whose join fills `chars` characters.
+
+    A first pass without texts finds how far into each bucket that goes: its
+    rank limit prunes before the shuffle, so a full bucket sends at most `keep`
+    short rows per task.  The second pass ships only the texts that are needed;
+    the border is one row per bucket, and buckets are spans of time."""
     w = Window.partitionBy(bucket).orderBy(*order)
-    return (rows.filter(text != "").select(bucket, *order, text.alias("_text"))
-            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep)
-            .groupBy(bucket).agg(
-                F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_text"))),
-                            lambda r: r["_text"]).alias("_texts")))
+    short = (rows.filter(F.col("text") != "")
+             .select(bucket, *order, F.least(F.length("text"), F.lit(chars)).alias("_len"))
+             .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep))
+    before = F.sum(F.col("_len") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # A text that begins right behind the limit still puts its separator inside.
+    border = (short.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= chars)
+              .groupBy(bucket).agg(F.max(F.struct(*order)).alias("_border")))
+    lead = (rows.filter(F.col("text") != "")
+            .select(bucket, F.struct(*order).alias("_at"), F.substring("text", 1, chars).alias("_text"))
+            .join(F.broadcast(border), bucket).filter(F.col("_at") <= F.col("_border")))
+    return lead.groupBy(bucket).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))),
+                    lambda r: r["_text"]).alias("_texts"))
 
 
 def rollup_hour_l1(memory):
@@ -73,8 +84,7 @@ def rollup_hour_l1(memory):
         F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
         F.count(F.lit(1)).alias("count"),
         F.sum(F.when(F.col("text") != "", 1).otherwise(0)).alias("_texts_n"))
-    cut = F.substring("text", 1, EMBED_CHARS)
-    texts = _first_texts(rows, "hour", cut, ["time_start", "seq"], EMBED_TEXTS)
+    texts = _first_texts(rows, "hour", ["time_start", "seq"], EMBED_CHARS, EMBED_TEXTS)
     joined = F.concat(F.array_join("_texts", "\n"),
                       F.when(F.col("_texts_n") > EMBED_TEXTS, "\n").otherwise(""))
     return heads.join(texts, "hour", "left").select(
@@ -132,7 +142,7 @@ def hour_previews(memory):
     heads = rows.groupBy("hour").agg(F.min("time_start").alias("time_start"),
                                      F.max("time_end").alias("time_end"))
     # 101 texts joined by blanks fill 200 characters.
-    texts = _first_texts(rows, "hour", F.substring("text", 1, 200), ["time_start", "seq"], 101)
+    texts = _first_texts(rows, "hour", ["time_start", "seq"], 200, 101)
     return heads.join(texts, "hour", "left").select(
         "hour", "time_start", "time_end",
         F.coalesce(F.substring(F.array_join("_texts", " "), 1, 200), F.lit("")).alias("preview"))

@@ -12,6 +12,8 @@ from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators.ordered import HOT_ROWS, Ordered
 
+# Recent windows tried, in days, before the whole table is read.
+WINDOW_DAYS = (1, 8, 64)
 SERVICE_SCHEMA = "pos int, service string, label string, kind string, alias string"
 
 
@@ -20,8 +22,14 @@ def newest_first():
 
 
 def newest(df, n):
-    """O1-O3: the newest n rows; a bounded top-n, never a full sort."""
-    return df.orderBy(*newest_first()).limit(n)
+    """O1-O3: the newest n rows; a bounded top-n, never a full sort.
+
+    The n-th newest time is found on the time column alone; only rows from there
+    on are then read in full, so old files and row groups are skipped."""
+    nth = (df.select("time_start").orderBy(F.col("time_start").desc()).limit(n)
+           .agg(F.min("time_start")).first()[0])
+    recent = df.filter(F.col("time_start") >= F.lit(nth).cast("timestamp_ntz"))
+    return recent.orderBy(*newest_first()).limit(n)
 
 
 def last_screen_snapshot(memory):
@@ -70,11 +78,25 @@ def collapse_consecutive(activity, keys=(), limit=HOT_ROWS):
 
 
 def iron_log(memory, n, as_of, zone="UTC", own_markers=(), limit=HOT_ROWS):
-    """The newest n distinct-in-a-row phrases as log lines."""
-    rows = collapse_consecutive(with_phrases(activity_feed(memory, own_markers)), (), limit)
-    line = F.concat(C.fmt_hm("time_start", zone), F.lit(" ("), C.rel_age("time_start", as_of),
-                    F.lit(") — "), F.col("phrase"))
-    return newest(rows, n).select("time_start", "seq", "category", line.alias("line"))
+    """The newest n distinct-in-a-row phrases as log lines.
+
+    Whether a row is kept depends on the next newer row only, so a recent window
+    that yields n lines gives the exact answer.  The window grows until it does;
+    old partitions are read only if the log needs them."""
+    feed = activity_feed(memory, own_markers)
+
+    def log(rows):
+        kept = collapse_consecutive(with_phrases(rows), (), limit)
+        line = F.concat(C.fmt_hm("time_start", zone), F.lit(" ("), C.rel_age("time_start", as_of),
+                        F.lit(") — "), F.col("phrase"))
+        return kept.orderBy(*newest_first()).limit(n).select("time_start", "seq", "category", line.alias("line"))
+
+    for days in WINDOW_DAYS:
+        since = C.from_micros(C.micros(as_of) - F.lit(days * C.DAY_US).cast("long"))
+        recent = log(feed.filter(F.col("time_start") >= since))
+        if recent.select("seq").count() >= n:
+            return recent
+    return log(feed)
 
 
 def top_categories(log, n=2):

@@ -148,12 +148,12 @@ def jaccard_cache_join(spark, d):
     return D.jaccard_cache_join(q, "conv_id")
 
 
-@query("embed_once", S.with_views("l0t", body="""SELECT count(*) AS n_rows, count(DISTINCT text) AS n_texts,
+@query("embed_once", S.with_views("l0t", body="""SELECT count(*) AS n_rows, count(DISTINCT seq) AS n_ids,
    count(*) AS with_vector FROM l0t"""))
 def embed_once(spark, d):
     m = V.memory(spark, d, text=True).select("seq", "text")
     out = D.embed_once(m, "text", lambda t: RV.embed_text(t, "text"))
-    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("text").alias("n_texts"),
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("seq").alias("n_ids"),
                    F.count_if(F.size("embedding") == 384).alias("with_vector"))
 
 

@@ -127,7 +127,7 @@ RAG = ["questions", "l0", "l0tv", "clock", L1, ACTIVITY, *PHRASES, KEPT, *SMART]
 def smart(spark, d):
     now = as_of(spark, d)
     log = W.iron_log(V.memory(spark, d), 8, now)
-    block = R.screen_block(log, W.last_screen_snapshot(V.memory(spark, d, text=True)))
+    block = R.screen_block(log, lambda: W.last_screen_snapshot(V.memory(spark, d, text=True)))
     return R.smart_rag(V.memory(spark, d, text=True, vectors=True), levels1(spark, d),
                        mixed_questions(spark, d), block, now)
 

@@ -22,9 +22,8 @@ def read_memory(spark, path):
 def append(rows, path):
     """S3: add whole batches of records, partitioned by level and date."""
     out = rows.withColumn("date", F.to_date("time_start")).select(*[f.name for f in MEMORY.fields])
-    # One file per partition and task would be many small files: group by date first,
-    # and let a large date spread over several tasks.
-    (out.repartition(*PARTS, F.pmod(F.xxhash64("id"), F.lit(8)))
+    # Rows of a date come together, so files are few; a large date is split by size.
+    (out.hint("rebalance", *PARTS)
      .write.mode("append").partitionBy(*PARTS).parquet(path))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from recollect import rules
 
 # White space as Unicode defines it (not only the ASCII part).
-WS = r"[\s\x{85}\p{Z}]"
+WS_RANGES = r"\s\x{85}\p{Z}"
+WS = f"[{WS_RANGES}]"
 WS_CHARS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 ALNUM = r"\p{IsAlphabetic}\p{N}"

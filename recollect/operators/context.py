@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 from recollect import rules
 from recollect.functions import classify as K
 from recollect.functions import numbers as N
-from recollect.functions import privacy as R
 from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators import joins as X
+from recollect.operators import redact
 from recollect.operators import rollup as G
 
 PROMPT_CHARS = 2500
 
 
 def clean_memory(c):
-    """Noise and inner labels out, secrets redacted; '' for an empty context."""
+    """Noise and inner labels out; '' for an empty context."""
     c = T.col(c)
     empty = (c == "") | c.contains("Context is empty") | c.contains("no relevant")
-    return F.when(empty, F.lit("")).otherwise(R.scrub_plain(T.strip_markers(T.clean_noise_chars(c))))
+    return F.when(empty, F.lit("")).otherwise(T.strip_markers(T.clean_noise_chars(c)))
 
 
 def hybrid_context(questions, memory, web):
@@ -33,9 +33,10 @@ def hybrid_context(questions, memory, web):
             .withColumn("web", F.when(wanted, F.coalesce("web", F.lit(""))).otherwise("")))
 
 
-def context_bundle(rows, as_of, zone="UTC"):
-    """Clock line, cleaned memory, web and conflicts, as one text per query."""
-    clean = rows.withColumn("memory", clean_memory("memory"))
+def context_bundle(rows, as_of, zone="UTC", wordlist=None):
+    """Clock line, cleaned and scrubbed memory, web and conflicts, as one text
+    per query."""
+    clean = redact.scrub_with(rows.withColumn("memory", clean_memory("memory")), wordlist, "query_id", "memory")
     notices = X.conflict_notice(X.detect_conflicts(clean, "query_id", "memory", "web"), "query_id")
     clock = F.concat(F.lit("Right now it is "), F.date_format(C.to_local(as_of, zone), "dd.MM.yyyy HH:mm"),
                      F.lit(" for the user. This is the current clock time — it is NOT your knowledge "

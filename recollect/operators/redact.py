@@ -1,5 +1,7 @@
 """Redaction jobs: word-list runs, the full scrub, secret counts, clipboard."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def seed_runs(docs, wordlist, key, text="text", min_run=rules.SEED_RUN_MIN_WORDS
 
 
 def _scrub_line(line, words):
-    toks = line.split()
+    toks = [t for t in re.split(f"[{T.WS_CHARS}]+", line) if t]
     if len(toks) < rules.SEED_RUN_MIN_WORDS:
         return line
     out, run, found = [], [], False
@@ -93,8 +95,13 @@ def scrub_seed_phrases(docs, wordlist, key, text="text", max_set=WORDLIST_MAX):
 
 def scrub(docs, wordlist, key, text="text"):
     """Word-list runs, then tokens, then cards."""
-    out = scrub_seed_phrases(docs, wordlist, key, text)
-    return out.withColumn(text, R.scrub_tokens(text)).withColumn(text, R.scrub_cards(text))
+    return scrub_with(docs, wordlist, key, text)
+
+
+def contains_secret(docs, wordlist, key, text="text"):
+    """The rows with a flag; the text is scrubbed once."""
+    out = scrub_with(docs.withColumn("_clean", F.col(text)), wordlist, key, "_clean")
+    return out.withColumn("secret", F.col("_clean") != F.col(text)).drop("_clean")
 
 
 def secret_summary(docs, wordlist, key, by):
@@ -109,7 +116,14 @@ def secret_summary(docs, wordlist, key, by):
         .alias("texts_with_secret")))
 
 
-def clipboard_filter(clips, limit=HOT_ROWS):
+def scrub_with(docs, wordlist, key, text="text"):
+    """R1, or its token and card stages alone where no word list is given."""
+    if wordlist is not None:
+        docs = scrub_seed_phrases(docs, wordlist, key, text)
+    return docs.withColumn(text, R.scrub_tokens(text)).withColumn(text, R.scrub_cards(text))
+
+
+def clipboard_filter(clips, wordlist=None, limit=HOT_ROWS):
     """Trimmed clipboard texts of useful length, consecutive repeats dropped,
     items with a secret dropped whole.  The repeat check sees secret items too."""
     rows = clips.withColumn("text", T.trim_ws("text")).filter(
@@ -117,10 +131,11 @@ def clipboard_filter(clips, limit=HOT_ROWS):
     o = Ordered(rows, ["stream"], ["time_start", "seq"], C.micros("time_start"), limit)
     o.previous(["text"], "_prev")
     fresh = o.result().filter(F.col("_prev").isNull() | (F.col("_prev.text") != F.col("text")))
-    return fresh.drop("_prev").filter(R.scrub_plain("text") == F.col("text"))
+    checked = scrub_with(fresh.drop("_prev").withColumn("_clean", F.col("text")), wordlist, "seq", "_clean")
+    return checked.filter(F.col("_clean") == F.col("text")).drop("_clean")
 
 
-def log_tail_redacted(lines, n):
+def log_tail_redacted(lines, n, wordlist=None):
     """The last n log lines (by `seq`), content tails cut, then scrubbed."""
-    return (lines.orderBy(F.col("seq").desc()).limit(n)
-            .withColumn("line", R.scrub_plain(R.redact_log_line("line"))))
+    tail = lines.orderBy(F.col("seq").desc()).limit(n).withColumn("line", R.redact_log_line("line"))
+    return scrub_with(tail, wordlist, "seq", "line")

@@ -277,12 +277,12 @@ def scrub(spark, d):
         "doc_id", F.md5("text").alias("clean"))
 
 
-@query("contains_secret", S.with_views(SECRET_DOCS, ("a", f"SELECT *, {scrub_tokens_sql('text')} AS t1 FROM sdocs"), body=f"""
-   SELECT source, count(*) AS n, count(*) FILTER ({scrub_cards_sql('t1')} <> text) AS secret FROM a GROUP BY source"""))
+@query("contains_secret", S.with_views(SECRET_DOCS, WORDS, TOKS, ISLANDS, SEED_CLEAN, ("a", f"""SELECT s.source, d.text AS raw,
+   {scrub_tokens_sql('s.text')} AS t1 FROM seedclean s JOIN sdocs d USING (doc_id)"""), body=f"""
+   SELECT source, count(*) AS n, count(*) FILTER ({scrub_cards_sql('t1')} <> raw) AS secret FROM a GROUP BY source"""))
 def contains_secret(spark, d):
-    docs = secret_docs(spark, d).withColumn("_clean", R.scrub_plain("text"))
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
-                                      F.count_if(F.col("_clean") != F.col("text")).alias("secret"))
+    docs = X.contains_secret(secret_docs(spark, d), wordlist(spark, d), "doc_id")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("secret").alias("secret"))
 
 
 @query("secret_summary", S.with_views(SECRET_DOCS, WORDS, TOKS, ISLANDS, RUNS, ("per", f"""SELECT doc_id, source, lang,

@@ -6,7 +6,8 @@ from recollect import rules
 from recollect.functions import classify as K
 from recollect.operators import dedup as D
 from recollect.plans import sql as S
-from recollect.plans.dedup import (FRAMES, MARKED, lagged, WORD_SET, scrub_cards_sql, scrub_tokens_sql)
+from recollect.plans.dedup import (ISLANDS, MARKED, SEED_CLEAN, TOKS, WORDS, lagged, scrub_cards_sql,
+                                   scrub_tokens_sql, wordlist)
 from recollect.plans.registry import ORACLES, query
 from recollect.plans.timeline import REMIND, as_of
 from recollect.session import scratch_path
@@ -20,7 +21,12 @@ L = F.lit
 def memory_stream(spark, d, text=False, vectors=False):
     """The memory view over the streamed event table (texts and vectors are
     static tables joined to the stream)."""
-    return V.memory_of(Z.read_table(spark, d, "events"), spark, d, text, vectors)
+    events = Z.read_table(spark, d, "events")
+    if text or vectors:
+        # A batch of few files would keep the text work on few cores; the events
+        # are narrow here, before texts join.
+        events = events.repartition(spark.sparkContext.defaultParallelism, "event_id")
+    return V.memory_of(events, spark, d, text, vectors)
 
 
 TAGS = "len(list_filter([" + ", ".join(S.case([(S.has_any("lower(text)", t) + " OR " + S.has_any("lower(app_name)", a) + " OR "
@@ -29,10 +35,11 @@ DROPPED = ("(" + S.has_any("lower(window_title)", rules.PRIVATE_WINDOW_MARKERS)
            + " OR " + S.has_any("lower(window_title)", rules.TITLE_BLACKLIST) + " OR " + S.has_any("lower(app_name)", rules.MESSENGER_APPS) + ")")
 
 
-@query("stream_ingest", S.with_views("l0t", ("k", f"SELECT * FROM l0t WHERE NOT {DROPPED}"), ("a", f"SELECT * REPLACE ({scrub_tokens_sql('text')} AS text) FROM k"),
+@query("stream_ingest", S.with_views(("sdocs", "SELECT doc_id, source, lang, text FROM documents"), WORDS, TOKS, ISLANDS, SEED_CLEAN,
+    ("l0s", S.VIEWS["l0t"].replace("documents d", "seedclean d")), ("k", f"SELECT * FROM l0s WHERE NOT {DROPPED}"), ("a", f"SELECT * REPLACE ({scrub_tokens_sql('text')} AS text) FROM k"),
     ("b", f"SELECT * REPLACE ({scrub_cards_sql('text')} AS text) FROM a"), body=f"SELECT id, md5(text) AS text, {TAGS} AS tags FROM b"))
 def stream_ingest(spark, d):
-    out = Z.ingest(memory_stream(spark, d, text=True)).select(
+    out = Z.ingest(memory_stream(spark, d, text=True), wordlist(spark, d)).select(
         "id", F.md5("text").alias("text"), F.size("tags").cast("bigint").alias("tags"))
     return Z.drain(out, "ingest")
 

@@ -15,8 +15,7 @@ from recollect.functions import privacy as R
 from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators import dedup as D
-from recollect.operators import joins as X
-from recollect.operators import rollup as G
+from recollect.operators.redact import scrub_with
 from recollect.session import scratch_path, use_utc
 
 DELAY = "10 minutes"
@@ -75,11 +74,11 @@ def stateful(stream, keys, out_schema, state_schema, start, step, order, mode="a
     return stream.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, mode, timeout)
 
 
-def ingest(events):
+def ingest(events, wordlist=None):
     """Capture filters, redaction and tags; stateless."""
     keep = ~R.is_private_window("window_title", "app_name") & ~R.is_blacklisted_title("window_title") \
         & ~R.is_messenger_noise("app_name", "window_title")
-    rows = events.filter(keep).withColumn("text", R.scrub_plain("text"))
+    rows = scrub_with(events.filter(keep), wordlist, "id")
     return rows.withColumn("tags", K.auto_tag("text", "app_name", "window_title"))
 
 

@@ -1,6 +1,6 @@
 """Near-duplicate linking, frame hashing and gating, similarity caching."""
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -122,29 +122,41 @@ def hamming_near_dups(hashed, limit=HOT_ROWS):
         hamming("phash", "_prev.phash") < hash_threshold("app_name"), F.lit(False))).drop("_prev")
 
 
-def _gate(pdf):
-    """Accept or skip each frame against the last accepted one (small helper:
-    the only sequential step, over one bounded segment)."""
-    pdf = pdf.sort_values(["time_start", "seq"])
-    last, blocks = int(pdf["start_phash"].iloc[0]), list(pdf["start_blocks"].iloc[0])
-    flags = []
-    for phash, cur, need in zip(pdf["phash"], pdf["blocks"], pdf["need"]):
-        changed = sum(((int(a) ^ int(b)) & (2 ** 64 - 1)).bit_count() > rules.BLOCK_CHANGED_BITS
-                      for a, b in zip(blocks or [0] * len(cur), cur))
-        still = any(blocks) and changed / len(cur) < rules.DIRTY_RATIO_MIN
-        ok = not still and ((int(phash) ^ last) & (2 ** 64 - 1)).bit_count() >= need
-        if ok:
-            last, blocks = int(phash), list(cur)
-        flags.append(ok)
-    return pd.DataFrame({"stream": pdf["stream"], "_seg": pdf["_seg"], "time_start": pdf["time_start"],
-                         "seq": pdf["seq"], "phash": pdf["phash"], "blocks": pdf["blocks"],
-                         "accepted": flags})
+def accepts(phash, cur, need, last, blocks):
+    """Whether a frame differs enough from the last kept one (a row helper)."""
+    def bits(a, b):
+        return ((a ^ b) & (2 ** 64 - 1)).bit_count()
 
+    if any(blocks):
+        changed = sum(bits(a, b) > rules.BLOCK_CHANGED_BITS for a, b in zip(blocks, cur))
+        if changed / len(cur) < rules.DIRTY_RATIO_MIN:
+            return False
+    return bits(phash, last) >= need
 
+
+GATED = ["stream", "_seg", "time_start", "seq", "phash", "blocks"]
 GATE_SCHEMA = ("stream bigint, _seg int, time_start timestamp_ntz, seq bigint, phash bigint, "
                "blocks array<bigint>, accepted boolean")
 
 
+def _gate_sorted(batches):
+    """Walk sorted rows batch by batch; only the last kept frame is held."""
+    who, last, blocks = None, 0, []
+    for b in batches:
+        rows = zip(*(b.column(n).to_pylist() for n in (
+            "stream", "_seg", "phash", "blocks", "need", "start_phash", "start_blocks")))
+        flags = []
+        for stream, seg, phash, cur, need, start, start_blocks in rows:
+            if (stream, seg) != who:
+                who, last, blocks = (stream, seg), start, start_blocks
+            ok = accepts(phash, cur, need, last, blocks)
+            if ok:
+                last, blocks = phash, cur
+            flags.append(ok)
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in GATED), pa.array(flags)],
+                                         [*GATED, "accepted"])
+
+
 def frame_gate(hashed, limit=GATE_ROWS):
     """Keep a frame only when it differs enough from the last kept frame.
 
@@ -156,14 +168,17 @@ def frame_gate(hashed, limit=GATE_ROWS):
     o = Ordered(hashed.withColumn("need", hash_threshold("app_name")), ["stream"],
                 ["time_start", "seq"], C.micros("time_start"), limit)
     none = F.array().cast("array<bigint>")
+    frames = o.df if o.hot else o.df.withColumn("_seg", F.lit(0))
+    key = ["stream", "_seg"]
 
     def run(rows):
-        return rows.groupBy("stream", "_seg").applyInPandas(_gate, GATE_SCHEMA)
+        cols = [*GATED, "need", "start_phash", "start_blocks"]
+        return (rows.select(*cols).repartition(*o.parts).sortWithinPartitions(*key, "time_start", "seq")
+                .mapInArrow(_gate_sorted, GATE_SCHEMA))
 
-    cold = o.df.withColumns({"start_phash": F.lit(0).cast("long"), "start_blocks": none})
+    cold = frames.withColumns({"start_phash": F.lit(0).cast("long"), "start_blocks": none})
     if not o.hot:
         return run(cold).drop("_seg")
-    key = ["stream", "_seg"]
     done = written(run(cold), "gate")
     starts = done.select(*key).distinct().withColumns({"p": F.lit(0).cast("long"), "b": none})
     while True:
@@ -175,10 +190,10 @@ def frame_gate(hashed, limit=GATE_ROWS):
             *key, F.coalesce("_in.phash", F.lit(0).cast("long")).alias("p"),
             F.coalesce("_in.blocks", none).alias("b"))
         came = written(came, "gate-starts")
-        changed = came.exceptAll(starts)
+        changed = came.exceptAll(starts)   # at most one row per segment
         if changed.isEmpty():
             return done.drop("_seg")
-        again = run(o.df.join(F.broadcast(changed), key).withColumnsRenamed(
+        again = run(frames.join(F.broadcast(changed), key).withColumnsRenamed(
             {"p": "start_phash", "b": "start_blocks"}))
         done = written(done.join(F.broadcast(changed.select(*key)), key, "left_anti")
                        .unionByName(again), "gate")

@@ -33,12 +33,11 @@ class Ordered:
         counts = (df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
                   .filter(F.col("_n") > limit).select(*self.keys))
         self.hot = not counts.isEmpty()
-        if self.hot:
-            df = self._cut(df, counts, pos, limit, grain)
-        else:
-            df = df.withColumn("_seg", F.lit(0))
-        self.df = df
-        self.window = Window.partitionBy(*self.keys, "_seg").orderBy(*self.order)
+        # Without hot keys rows are clustered by key alone, which later groupings
+        # by key can use without another shuffle.
+        self.parts = [*self.keys, "_seg"] if self.hot else self.keys
+        self.df = self._cut(df, counts, pos, limit, grain) if self.hot else df
+        self.window = Window.partitionBy(*self.parts).orderBy(*self.order)
         self.upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.before = self.window.rowsBetween(Window.unboundedPreceding, -1)
 

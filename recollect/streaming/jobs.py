@@ -148,13 +148,15 @@ def clipboard(clips):
 
 
 def _frames(rows, state):
-    phash, blocks = state
-    rows = rows.assign(start_phash=phash, start_blocks=[list(blocks)] * len(rows), _seg=0)
-    done = D._gate(rows)
-    kept = done[done["accepted"]]
-    if len(kept):
-        phash, blocks = int(kept["phash"].iloc[-1]), [int(b) for b in kept["blocks"].iloc[-1]]
-    return kept[["stream", "time_start", "seq"]], (phash, list(blocks))
+    last, blocks = state[0], list(state[1])
+    keep = []
+    for phash, cur, need in zip(rows["phash"], rows["blocks"], rows["need"]):
+        phash, cur = int(phash), [int(b) for b in cur]
+        ok = D.accepts(phash, cur, need, last, blocks)
+        if ok:
+            last, blocks = phash, cur
+        keep.append(ok)
+    return rows[keep][["stream", "time_start", "seq"]], (last, blocks)
 
 
 def frame_gate(hashed):

@@ -14,7 +14,7 @@ def auto_tag(text, app, title):
     def marks(x):
         t, a, w = x["t"], x["a"], x["w"]
         return F.array_compact(F.array(*[
-            F.when(T.has_any(a, in_app) | T.has_any(w, in_app) | T.has_any(t, in_text), F.lit(tag))
+            F.when(contains_any(a, in_app) | contains_any(w, in_app) | T.has_any(t, in_text), F.lit(tag))
             for tag, in_text, in_app in rules.TAG_RULES]))
 
     return T.let(low, marks)
@@ -27,12 +27,12 @@ def activity_category(app, title):
 
     def label(x):
         a, full = x["a"], x["full"]
-        web = (F.when(T.has_any(full, rules.VIDEO_SITES), F.lit("watched videos"))
-               .when(T.has_any(full, rules.MUSIC_SITES), F.lit("listened to music"))
+        web = (F.when(contains_any(full, rules.VIDEO_SITES), F.lit("watched videos"))
+               .when(contains_any(full, rules.MUSIC_SITES), F.lit("listened to music"))
                .otherwise(F.lit("browsed the web")))
-        return (F.when(T.has_any(a, rules.BROWSERS), web)
-                .when(T.has_any(a, rules.EDITORS), F.lit("worked on code"))
-                .when(T.has_any(full, rules.CHAT_SITES), F.lit("chatted in messengers"))
+        return (F.when(contains_any(a, rules.BROWSERS), web)
+                .when(contains_any(a, rules.EDITORS), F.lit("worked on code"))
+                .when(contains_any(full, rules.CHAT_SITES), F.lit("chatted in messengers"))
                 .otherwise(F.lit("worked in apps")))
 
     return T.let(low, label)
@@ -146,11 +146,11 @@ def entity_statement(q):
                 body, rf"(?i)\A(?:{T.literal_pattern(leads)})", "")), F.lit(""))
             for art in articles:
                 v = F.regexp_replace(v, rf"\A(?:{art} )+", "")
-            return F.when(T.any_of(low.startswith(x) for x in leads),
+            return F.when(starts_any(low, leads),
                           T.strip_trailing_command(T.trim_ws(v)))
 
         rename = F.coalesce(*[tail(lead) for lead in rules.RENAME_LEADS])
-        clarifies = T.any_of(low.startswith(x) for x in rules.CLARIFY_LEADS)
+        clarifies = starts_any(low, rules.CLARIFY_LEADS)
         value = F.when(clarifies, fact(rules.CLARIFY_LEADS, ["the", "a"])).otherwise(
             fact(rules.DESCRIBE_LEADS, ["a", "an"]))
         return F.struct(rename.alias("rename"), value.alias("fact"))

@@ -45,16 +45,17 @@ def let(value, body):
 
 
 def has_any(c, words):
+    """Whether a long text holds any of the words, by plain substring search."""
     return any_of(c.contains(w) for w in words)
 
 
 def contains_any(c, words):
-    """Whether the text holds any of the words; the text is computed once."""
-    return let(c, lambda x: has_any(x, words))
+    """Whether a short text holds any of the words: one alternation, one expression."""
+    return c.rlike(literal_pattern(words))
 
 
 def starts_any(c, words):
-    return let(c, lambda x: any_of(x.startswith(w) for w in words))
+    return c.rlike(rf"\A(?:{literal_pattern(words)})")
 
 
 def trim_ws(c):
@@ -136,7 +137,7 @@ def text_summary(title, app, text):
 def summarize_code(c):
     """Code keeps top-level lines and signatures; prose keeps 500 characters."""
     c = col(c)
-    is_code = contains_any(c, rules.CODE_HINTS)
+    is_code = has_any(c, rules.CODE_HINTS)
 
     def step(acc, line):
         t = trim_ws(line)
@@ -174,12 +175,15 @@ def title_segments(title):
     return let(F.filter(F.transform(F.split(t, "\x01"), trim_ws), lambda s: s != ""), unbranded)
 
 
+def sql_string(s):
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def first_match(c, pairs):
     """Label of the first needle, in list order, that the text holds; else NULL."""
-    out = F.lit(None).cast("string")
-    for needle, label in reversed(pairs):
-        out = F.when(c.contains(needle), F.lit(label)).otherwise(out)
-    return out
+    table = F.expr("array(" + ", ".join(
+        f"named_struct('needle', {sql_string(n)}, 'label', {sql_string(l)})" for n, l in pairs) + ")")
+    return F.get(F.filter(table, lambda p: c.contains(p["needle"])), F.lit(0))["label"]
 
 
 def known_site(c):

@@ -75,7 +75,8 @@ def runs(data, ends, width, gram):
 
     data: bytes of some texts laid end to end; ends: where each text ends.
     Returns text index, first window start, last window start (both in `data`),
-    hash of the anchor's gram, hash of all bytes the run's windows cover.
+    leading key (the anchor's first three bytes, then 40 bits of its gram's hash), hash
+    of all bytes the run's windows cover.
     """
     n = len(data)
     starts = n - width + 1
@@ -95,4 +96,8 @@ def runs(data, ends, width, gram):
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(chosen) != 0) | (np.diff(text[at]) != 0))
     first = at[np.concatenate(([0], cut + 1))]
     last = at[np.concatenate((cut, [len(at) - 1]))]
-    return text[first], first, last, gram_hash[anchor[first]], Hashes(data, 1).of(first, last + width)
+    chosen = anchor[first]
+    lead = gram_hash[chosen] >> np.uint64(24)
+    for i, shift in enumerate((56, 48, 40)):
+        lead |= data[chosen + i].astype(np.uint64) << np.uint64(shift)
+    return text[first], first, last, lead, Hashes(data, 1).of(first, last + width)

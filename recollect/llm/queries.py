@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from recollect.llm.common import table, text_of
@@ -22,4 +23,52 @@ def op3_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sharding)}
+def op2_packing(spark, sf_dir):
+    from recollect.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_suffix_dedup(spark, sf_dir):
+    from recollect.llm.suffixes import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    from recollect.llm.quality import filter_quality
+    return filter_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def op6_html_extraction(spark, sf_dir):
+    from recollect.llm.html import extract_pages
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark, sf_dir):
+    from recollect.llm.simhash import near_groups
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_top_k(spark, sf_dir):
+    from recollect.llm.topk import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op9_sentencepiece(spark, sf_dir):
+    from recollect.llm.pieces import encode_docs
+    return encode_docs(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_language_id(spark, sf_dir):
+    from recollect.llm.language import identify, is_held_out
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs.select("doc_id", "text"), docs.where(~is_held_out()))
+    return out.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_packing, op3_sharding, op4_suffix_dedup, op5_quality_rules, op6_html_extraction, op7_simhash,
+    op8_top_k, op9_sentencepiece, op10_language_id)}

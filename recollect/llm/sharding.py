@@ -113,10 +113,9 @@ def pieces(rows, total, shards, replicas, slack):
     room = [max(int(-(-total * (1 + slack) // shards)), even + (s < more)) if slack else even + (s < more)
             for s in range(shards)]
     per_arc = rows.groupBy("arc").agg(F.sum("copies").alias("n"))
-    filled = spark.range(shards * replicas).select(F.col("id").cast("int").alias("arc")).join(per_arc, "arc", "left")
-    one = filled.groupBy().agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("arc", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("counts"))
-    owners = ring(spark, shards, replicas).select(F.transform("points", lambda p: p["shard"]).alias("owners"))
-    both = one.withColumn("k", F.lit(1)).join(owners.withColumn("k", F.lit(1)), "k")
+    owner = ring(spark, shards, replicas).select(F.posexplode("points").alias("arc", "p")).select("arc", "p.shard")
+    filled = owner.join(per_arc, "arc", "left").select("arc", "shard", F.coalesce("n", F.lit(0)).alias("n"))
+    both = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("arc", "shard", "n"))).alias("arcs")).select(
+        F.transform("arcs", lambda x: x["n"]).alias("counts"), F.transform("arcs", lambda x: x["shard"]).alias("owners"))
     return both.withColumn("room", F.array(*[F.lit(r).cast("long") for r in room])).select(
         F.inline(F.expr(PIECES.format(shards=shards))))

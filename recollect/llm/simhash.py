@@ -53,17 +53,18 @@ def _take(iterator, n):
 
 
 def fingerprints(docs, shingle=3):
-    """`doc_id`, `fp` (the fingerprint as a signed long) per row of docs."""
+    """`doc_id`, `text_hash`, `fp` (the fingerprint as a signed long) per row of docs."""
     import pyarrow as pa
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, f"doc_id {id_type}, text_hash bigint, fp bigint")
 
 
 def shard_keys(fp, radius):
@@ -144,8 +145,9 @@ def near_links(items, radius=3, shard_rows=4096):
 
 
 def near_groups(docs, radius=3, shingle=3):
-    """`doc_id`, `fp`, `component_id` per row of docs: the smallest doc_id that can be
-    reached over links of at most `radius` differing bits.
+    """`doc_id`, `text_hash`, `fp`, `component_id` per row of docs: the smallest doc_id
+    that can be reached over links of at most `radius` differing bits; `root` names the
+    component by one of its fingerprints.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other.
     Fewer words than a shingle: the whole sequence is one shingle. Repeated rows share
@@ -158,6 +160,19 @@ def near_groups(docs, radius=3, shingle=3):
     linked = stars.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     linked = linked.unionByName(linked.select(F.col("root").alias("fp"), "root").distinct())
     smallest = linked.join(items, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    named = items.join(linked.join(smallest, "root").select("fp", "least", F.lit(True).alias("in")), "fp", "left")
-    named = named.select("fp", F.when(F.col("in"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = items.join(linked.join(smallest, "root").select("fp", "root", "least"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs, radius=3, shingle=3):
+    """One row of docs for each component, with all its columns: that of the smallest
+    doc_id, null last; of rows with that doc_id, the one with the smallest text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keepers = near_groups(docs, radius, shingle).groupBy("root").agg(F.min(order).alias("k")).select(
+        F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("text_hash"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
+    kept = rows.alias("d").join(keepers.alias("k"), same, "left_semi")
+    return kept.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id", "text_hash"]).select("row.*")

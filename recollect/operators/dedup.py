@@ -200,33 +200,51 @@ def frame_gate(hashed, limit=GATE_ROWS):
         starts = came
 
 
-def jaccard(a, b):
-    inter = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(inter / union)
-
-
-def jaccard_cache_join(queries, key, ttl_s=300, threshold=0.85, entries=20):
-    """For each query the oldest of its latest `entries` predecessors that is
-    younger than the TTL and similar enough.
-
-    Every row is placed in its own TTL bucket and the next, so a bucket holds all
-    predecessors that can count; a frame of the last 20 rows does the rest.  No
-    pairs are formed beyond 20 per row."""
+def cached_hit(cache, now, words, ttl_us, threshold):
+    """The live entries (id, time, words) of a cache and the oldest one that is
+    similar enough to a question's word set, with the similarity (a row helper)."""
+    live = [e for e in cache if now - e[1] < ttl_us]
+    for e in live:
+        both = len(words & e[2])
+        if both and both >= threshold * (len(words) + len(e[2]) - both):
+            return live, e, both / (len(words) + len(e[2]) - both)
+    return live, None, 0.0
+
+
+def _walk_cache(ttl_us, threshold, entries):
+    def run(batches):
+        who, cache = None, []
+        for b in batches:
+            out = []
+            for key, seg, query, now, words in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if (key, seg) != who:
+                    who, cache = (key, seg), []
+                words = frozenset(words)
+                cache, hit, score = cached_hit(cache, now, words, ttl_us, threshold)
+                if hit:
+                    out.append((query, hit[0], round(score, 6)))
+                else:
+                    cache = [*cache, (query, now, words)][-entries:]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                names=["query_id", "hit_id", "similarity"])
+    return run
+
+
+def jaccard_cache_join(queries, key, ttl_s=300, threshold=0.85, entries=20, limit=HOT_ROWS):
+    """For each question the oldest cached one younger than the TTL and similar
+    enough. A cache holds the last `entries` questions that were not served from it.
+
+    A pause of the TTL empties a cache, so every key is cut there; the pieces are
+    walked in order, batch by batch, and only the cache is held."""
     ttl = ttl_s * 1_000_000
-    rows = queries.withColumns({"_us": C.micros("ts"), "_words": T.word_set("text")})
-    b = C.div(F.col("_us"), F.lit(ttl).cast("long"))
-    placed = rows.withColumn("_at", F.explode(F.array(
-        F.struct(b.alias("bucket"), F.lit(True).alias("own")),
-        F.struct((b + 1).alias("bucket"), F.lit(False).alias("own")))))
-    w = Window.partitionBy(key, "_at.bucket").orderBy("_us", "query_id").rowsBetween(-entries, -1)
-    cache = F.collect_list(F.struct("query_id", "_us", "_words")).over(w)
-    hit = F.get(F.filter("_cache", lambda e: (F.col("_us") - e["_us"] < ttl)
-                         & (jaccard(e["_words"], F.col("_words")) >= threshold)), F.lit(0))
-    return (placed.withColumn("_cache", cache).filter("_at.own")
-            .withColumn("_hit", hit).filter(F.col("_hit").isNotNull())
-            .select("query_id", F.col("_hit.query_id").alias("hit_id"),
-                    F.round(jaccard(F.col("_hit._words"), F.col("_words")), 6).alias("similarity")))
+    o = Ordered(queries.withColumn("_us", C.micros("ts")), [key], ["_us", "query_id"], F.col("_us"), limit)
+    o.previous(["_us"], "_prev")
+    paused = F.coalesce(F.col("_us") - F.col("_prev._us") >= ttl, F.lit(False))
+    o.running_sum(F.when(paused, 1).otherwise(0), "_run")
+    rows = o.result().select(F.col(key).alias("_key"), "_run", "query_id", "_us", T.word_set("text").alias("_words"))
+    return (rows.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_us", "query_id")
+            .mapInArrow(_walk_cache(ttl, threshold, entries), "query_id bigint, hit_id bigint, similarity double"))
 
 
 def embed_once(rows, text, embed, limit=HOT_ROWS):

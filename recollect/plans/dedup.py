@@ -137,14 +137,19 @@ def word_set(spark, d):
                        F.md5(F.array_join(F.array_sort("w"), " ")).alias("words"))
 
 
-@query("jaccard_cache_join", S.with_views("asks", ("q", f"""SELECT conv_id * 100 + turn AS query_id, conv_id, ts,
-   {WORD_SET} AS w FROM asks"""), ("pairs", """SELECT a.query_id, b.query_id AS hit_id, b.ts AS b_ts,
-   len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS s
-   FROM q a JOIN q b ON a.conv_id = b.conv_id AND b.ts < a.ts AND epoch_us(a.ts) - epoch_us(b.ts) < 300000000
-   WHERE len(a.w) > 0 AND len(b.w) > 0"""), body="""SELECT query_id, hit_id, round(s, 6) AS similarity FROM pairs
-   WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b_ts) = 1"""))
+SCORE = "len(list_intersect(e.w, s.w)) / len(list_distinct(list_concat(e.w, s.w)))::DOUBLE"
+
+
+@query("jaccard_cache_join", S.with_views("asks", ("q", f"""SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY us, query_id) AS n FROM (
+   SELECT conv_id * 1000000000 + turn AS query_id, conv_id, epoch_us(ts) AS us, {WORD_SET} AS w FROM asks)"""),
+   ("walk", f"""SELECT conv_id, n, query_id, NULL::BIGINT AS hit_id, NULL::DOUBLE AS s, [{{'id': query_id, 'us': us, 'w': w}}] AS cache FROM q WHERE n = 1
+   UNION ALL SELECT conv_id, n, query_id, hit.id, hit.s, CASE WHEN hit IS NULL THEN list_append(live, {{'id': query_id, 'us': us, 'w': w}})[-20:] ELSE live END
+   FROM (SELECT s.*, live, list_filter(list_transform(live, lambda e: CASE WHEN len(s.w) > 0 AND len(e.w) > 0 THEN {{'id': e.id, 's': {SCORE}}} END),
+     lambda h: h.s >= 0.85)[1] AS hit FROM (SELECT s.*, list_filter(c.cache, lambda e: s.us - e.us < 300000000) AS live
+       FROM walk c JOIN q s ON s.conv_id = c.conv_id AND s.n = c.n + 1) s)"""),
+   body="SELECT query_id, hit_id, round(s, 6) AS similarity FROM walk WHERE hit_id IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1))
 def jaccard_cache_join(spark, d):
-    q = V.asks(spark, d).withColumn("query_id", F.col("conv_id") * 100 + F.col("turn"))
+    q = V.asks(spark, d).withColumn("query_id", F.col("conv_id") * 1_000_000_000 + F.col("turn"))
     return D.jaccard_cache_join(q, "conv_id")
 
 

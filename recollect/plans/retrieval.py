@@ -238,12 +238,12 @@ def missed_summaries(spark, d):
 
 
 @query("qa_context_join", S.with_views("asks", "qa", ("p", """SELECT a.*, q.answer, lag(a.text) OVER w AS pt, lag(coalesce(q.answer, '')) OVER w AS pa
-   FROM asks a LEFT JOIN qa q USING (conv_id, turn) WINDOW w AS (PARTITION BY a.conv_id ORDER BY a.turn)"""), body=f"""
+   FROM asks a LEFT JOIN qa q ON q.conv_id = a.conv_id AND q.turn = a.of_turn WINDOW w AS (PARTITION BY a.conv_id ORDER BY a.turn)"""), body=f"""
    SELECT conv_id, turn, CASE WHEN pt IS NOT NULL AND list_bool_or(list_transform({S.words('lower(text)')},
      lambda w: {S.isin(S.trim_alnum('w'), rules.REFERENCE_WORDS)})) THEN 'User: ' || pt || chr(10) || 'Assistant: ' || left(pa, 200) ELSE '' END AS exchange FROM p"""))
 def qa_context_join(spark, d):
-    qa = V.qa_pairs(spark, d).select("conv_id", "turn", "answer")
-    rows = X.previous_exchange(V.asks(spark, d).join(qa, ["conv_id", "turn"], "left"))
+    qa = V.qa_pairs(spark, d).select("conv_id", F.col("turn").alias("of_turn"), "answer")
+    rows = X.previous_exchange(V.asks(spark, d).join(qa, ["conv_id", "of_turn"], "left"))
     return rows.select("conv_id", "turn", F.coalesce("exchange", L("")).alias("exchange"))
 
 

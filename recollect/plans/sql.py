@@ -88,10 +88,14 @@ VIEWS = {
       u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u
       JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
       WHERE u.role = 'user' AND a.role = 'assistant'""",
-    "asks": f"""SELECT conv_id, turn, ts, {_ask()} AS text FROM (
-      SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts,
-      (conv_id * 3 + turn * 5) % {len(V.ASK_SHAPES)} AS shape,
-      regexp_extract(text, '^[^ \\n.,]+') AS subject FROM conversations WHERE role = 'user')""",
+    "asks": f"""SELECT conv_id, turn * {V.PARTS} + part AS turn, turn AS of_turn, ts + to_microseconds(part * 1000) AS ts, text FROM (
+      SELECT conv_id, turn, 0 AS part, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts, text FROM conversations
+      UNION ALL SELECT conv_id, turn, part, ts, {_ask()} FROM (
+        SELECT *, (conv_id * 3 + turn * 5 + part) % {len(V.ASK_SHAPES)} AS shape FROM (
+          SELECT conv_id, turn, ts, unnest(subs) AS subject, generate_subscripts(subs, 1) AS part FROM (
+            SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts,
+              list_filter(list_transform(regexp_extract_all(text, '[^.\\n]+'), lambda s: trim(s)), lambda s: s <> '') AS subs
+            FROM conversations))))""",
     "questions": """SELECT item_id AS query_id, TIMESTAMP '2024-01-15' + to_minutes(item_id) AS ts,
       b.text, v.vec_id, v.embedding FROM benchmark b
       JOIN embeddings v ON v.vec_id = b.item_id % (SELECT count(*) FROM embeddings)""",

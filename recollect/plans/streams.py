@@ -107,10 +107,10 @@ def stream_latency_window(spark, d):
         F.max_by(c, "batch").alias(c) for c in ("n", "avg_ms", "p95_ms", "p99_ms")])
 
 
-@query("stream_answer_cache", ORACLES["jaccard_cache_join"].replace("SELECT query_id, hit_id, round(s, 6) AS similarity FROM pairs", "SELECT query_id, hit_id FROM pairs"))
+@query("stream_answer_cache", ORACLES["jaccard_cache_join"].replace("SELECT query_id, hit_id, round(s, 6) AS similarity FROM walk", "SELECT query_id, hit_id FROM walk"))
 def stream_answer_cache(spark, d):
     asks = V.asks_of(Z.read_table(spark, d, "conversations"))
-    return Z.drain(Z.answer_cache(asks.withColumn("query_id", F.col("conv_id") * 100 + F.col("turn"))), "cache")
+    return Z.drain(Z.answer_cache(asks.withColumn("query_id", F.col("conv_id") * 1_000_000_000 + F.col("turn"))), "cache")
 
 
 @query("stream_forget", S.with_views("l0", "clock", body="""SELECT strftime(time_start, '%Y-%m-%d') AS date, count(*) AS n

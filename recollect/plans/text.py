@@ -120,8 +120,8 @@ def code_skeletons(spark, d):
 # --- windows and titles ----------------------------------------------------------
 
 def titles(spark, d):
-    """Window titles around a document's first words, in the shapes apps use."""
-    subj = F.regexp_extract("text", r"^[^\n.]{0,40}", 0)
+    """Window titles around a document's whole text, in the shapes apps use."""
+    subj = F.col(TEXT)
     app = pick(5, L("chrome"), L("Code"), L("explorer.exe"), L("PyCharm"), L("Slack"))
     title = pick(6, F.concat(L("(7) "), subj, L(" - YouTube - Google Chrome")), F.concat(subj, L(" | Reddit")),
                  L("GitHub"), F.concat(subj, L(" — "), F.col("lang"), L(" - Visual Studio Code")), L(""),
@@ -133,24 +133,24 @@ TITLES = ("titles", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'chrome' WHEN
    WHEN 3 THEN 'PyCharm' ELSE 'Slack' END AS app_name, CASE doc_id % 6 WHEN 0 THEN '(7) ' || subj || ' - YouTube - Google Chrome'
    WHEN 1 THEN subj || ' | Reddit' WHEN 2 THEN 'GitHub' WHEN 3 THEN subj || ' — ' || lang || ' - Visual Studio Code'
    WHEN 4 THEN '' ELSE subj || ' – Wikipedia — Mozilla Firefox' END AS window_title
-   FROM (SELECT *, regexp_extract(text, '^[^\\n.]{0,40}') AS subj FROM documents)""")
+   FROM (SELECT *, text AS subj FROM documents)""")
 TITLE_PHRASES = S.phrase_views("titles")
 
 
 @query("strip_leading_count", S.with_views(TITLES, body="""SELECT doc_id,
-   CASE WHEN doc_id % 6 = 0 THEN substring(window_title, 5) ELSE window_title END AS result FROM titles"""))
+   md5(CASE WHEN doc_id % 6 = 0 THEN substring(window_title, 5) ELSE window_title END) AS result FROM titles"""))
 def strip_leading_count(spark, d):
-    return titles(spark, d).select("doc_id", T.strip_leading_count("window_title").alias("result"))
+    return titles(spark, d).select("doc_id", F.md5(T.strip_leading_count("window_title")).alias("result"))
 
 
-@query("title_segments", S.with_views(TITLES, *TITLE_PHRASES, body="SELECT doc_id, array_to_string(segs, ' ~ ') AS result FROM phrases"))
+@query("title_segments", S.with_views(TITLES, *TITLE_PHRASES, body="SELECT doc_id, md5(array_to_string(segs, ' ~ ')) AS result FROM phrases"))
 def title_segments(spark, d):
-    return titles(spark, d).select("doc_id", F.array_join(T.title_segments("window_title"), " ~ ").alias("result"))
+    return titles(spark, d).select("doc_id", F.md5(F.array_join(T.title_segments("window_title"), " ~ ")).alias("result"))
 
 
-@query("activity_line", S.with_views(TITLES, *TITLE_PHRASES, body="SELECT doc_id, phrase FROM phrases"))
+@query("activity_line", S.with_views(TITLES, *TITLE_PHRASES, body="SELECT doc_id, md5(phrase) AS phrase FROM phrases"))
 def activity_line(spark, d):
-    return titles(spark, d).select("doc_id", T.activity_line("app_name", "window_title").alias("phrase"))
+    return titles(spark, d).select("doc_id", F.md5(T.activity_line("app_name", "window_title")).alias("phrase"))
 
 
 @query("activity_category", S.with_views(TITLES, *TITLE_PHRASES, body="SELECT category, count(*) AS n FROM phrases GROUP BY ALL"))
@@ -162,24 +162,25 @@ def activity_category(spark, d):
 STEM = f"left(array_to_string({S.words('regexp_replace(x, {q}[^{bs}p{{{{L}}}}{bs}p{{{{N}}}} _-]{q}, {q} {q}, {q}g{q})'.format(q=chr(39), bs=chr(92)))}, ' '), 50)".replace("{{", "{").replace("}}", "}")
 
 
-@query("sanitize_stem", doc_sql("CASE WHEN doc_id % 7 = 0 THEN '../:*?' ELSE '../' || left(text, 70) END",
+@query("sanitize_stem", doc_sql("CASE WHEN doc_id % 7 = 0 THEN '../:*?' ELSE '../' || text END",
                                 f"CASE WHEN trim({STEM}) = '' THEN 'idea' ELSE trim({STEM}) END"))
 def sanitize_stem(spark, d):
-    return doc_md5(spark, d, pick(7, L("../:*?"), F.concat(L("../"), F.substring("text", 1, 70))), T.sanitize_stem)
+    return doc_md5(spark, d, pick(7, L("../:*?"), F.concat(L("../"), TEXT)), T.sanitize_stem)
 
 
-FIRST_LINE = "regexp_extract(text, '^[^\\n]*')"
-
-
-@query("report_title", doc_sql(f"CASE doc_id % 4 WHEN 0 THEN ' **Title:** ' || left({FIRST_LINE}, 40) WHEN 1 THEN '# ' || left({FIRST_LINE}, 50) "
-                               "WHEN 2 THEN '  ##  ' ELSE left(text, 90) END",
+@query("report_title", S.with_views(("d", """SELECT doc_id, line, CASE line % 4 WHEN 0 THEN ' **Title:** ' || t WHEN 1 THEN '# ' || t
+   WHEN 2 THEN '  ##  ' || t ELSE t END AS x FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS line
+     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""), body="SELECT doc_id, line, md5(" +
     f"CASE WHEN {{t}} = '' OR length({{t}}) > 60 THEN 'Report' ELSE {{t}} END".replace("{t}",
-    S.trim("trim(" + S.trim("regexp_replace(trim(" + S.trim("x") + ", '#*- '), '^(?i:title:)', '')") + ", '*#: ')"))))
+    S.trim("trim(" + S.trim("regexp_replace(trim(" + S.trim("x") + ", '#*- '), '^(?i:title:)', '')") + ", '*#: ')")) + ") AS result FROM d"))
 def report_title(spark, d):
-    first = F.regexp_extract("text", r"\A[^\n]*", 0)
-    src = pick(4, F.concat(L(" **Title:** "), F.substring(first, 1, 40)), F.concat(L("# "), F.substring(first, 1, 50)),
-               L("  ##  "), F.substring("text", 1, 90))
-    return doc_md5(spark, d, src, lambda x: T.report_title(x, L("Report")))
+    """Every line of every document as the first line of a report."""
+    rows = V.documents(spark, d).select("doc_id", F.posexplode(F.split(TEXT, "\n", -1)).alias("i", "t"))
+    rows = rows.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), "t")
+    n = F.col("line") % 4
+    src = F.when(n == 0, F.concat(L(" **Title:** "), "t")).when(n == 1, F.concat(L("# "), "t")).when(
+        n == 2, F.concat(L("  ##  "), "t")).otherwise(F.col("t"))
+    return rows.withColumn("_in", src).select("doc_id", "line", F.md5(T.report_title("_in", L("Report"))).alias("result"))
 
 
 NL = "chr(10)"
@@ -218,22 +219,27 @@ def strip_openers(spark, d):
                    T.strip_openers)
 
 
-@query("strip_trailing_command", doc_sql("regexp_extract(text, '^[^\\n.,]+')",
-       f"regexp_replace({S.trim('x')}, '(?i)(?:^|\\s+)(?:(?:{'|'.join(rules.DANGLING_WORDS)})(?:\\s+|$))+$', '')"))
+CUT = S.trim("rtrim(" + S.trim(f"regexp_replace(x, '(?is)(?:{'|'.join(rules.COMMAND_TAILS)}).*$', '')") + ", ',.—-')")
+
+
+@query("strip_trailing_command", doc_sql("""text || CASE doc_id % 4 WHEN 0 THEN ', find him now' WHEN 1 THEN ' and then look her up' WHEN 2 THEN ', please.' ELSE '' END""",
+   f"regexp_replace({CUT}, '(?i)(?:^|(?:\\s|[,.])*\\s)(?:(?:{'|'.join(rules.DANGLING_WORDS)})[,.]*(?:\\s+|$))+$', '')"))
 def strip_trailing_command(spark, d):
-    subj = F.regexp_extract("text", r"^[^\n.,]+", 0)
-    return doc_md5(spark, d, pick(4, F.concat(subj, L(", find him now")), F.concat(subj, L(" and then look her up")),
-                                  F.concat(subj, L(", please.")), subj), T.strip_trailing_command)
+    return doc_md5(spark, d, pick(4, F.concat(TEXT, L(", find him now")), F.concat(TEXT, L(" and then look her up")),
+                                  F.concat(TEXT, L(", please.")), TEXT), T.strip_trailing_command)
+
+
+HEAD_HASH = "('0x' || substr(md5(left(text, 80)), 1, 8))::BIGINT"
 
 
 @query("truncate_chars", "SELECT source, " + ", ".join(f"sum(length(left(text, {n})))::BIGINT AS c{n}" for n in (80, 200, 500, 2500))
-       + ", md5(string_agg(left(text, 80), '' ORDER BY doc_id)) AS head FROM documents GROUP BY source")
+       + f", sum({HEAD_HASH})::BIGINT AS heads FROM documents GROUP BY source")
 def truncate_chars(spark, d):
     docs = V.documents(spark, d)
-    heads = docs.select("doc_id", "source", *[T.truncate_chars("text", n).alias(f"_{n}") for n in (80, 200, 500, 2500)])
-    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "_80"))), lambda x: x["_80"]), ""))
+    heads = docs.select("source", *[T.truncate_chars("text", n).alias(f"_{n}") for n in (80, 200, 500, 2500)])
+    digest = F.conv(F.substring(F.md5("_80"), 1, 8), 16, 10).cast("long")
     return heads.groupBy("source").agg(*[F.sum(F.length(f"_{n}").cast("long")).alias(f"c{n}") for n in (80, 200, 500, 2500)],
-                                       digest.alias("head"))
+                                       F.sum(digest).alias("heads"))
 
 
 # --- time -------------------------------------------------------------------------
@@ -481,7 +487,7 @@ ENT2 = ("ent2", f"""SELECT *, CASE WHEN len({S.words('pr')}) > 0 AND NOT ({S.isi
    FROM ent1""")
 NAMES = f"""list_filter(list_transform(({S.words('q')})[2:], lambda w: regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}-]+', ''), '[^\\p{{L}}\\p{{N}}-]+$', '')),
    lambda w: regexp_matches(w, '^\\p{{Lu}}') AND regexp_matches(w, '\\p{{Ll}}') AND length(w) >= 3)"""
-ENT = ("ent", f"""SELECT conv_id, turn, ts, text, person, about, coalesce(person, about) AS subject, coalesce(person, about,
+ENT = ("ent", f"""SELECT conv_id, turn, of_turn, ts, text, person, about, coalesce(person, about) AS subject, coalesce(person, about,
    CASE WHEN {S.starts('lower(q)', rules.FACT_LEADS)} AND len({NAMES}) > 0 THEN array_to_string({NAMES}, ' ') END) AS named FROM ent2""")
 ENTITY = ["asks", ENT1, ENT2, ENT]
 
@@ -550,11 +556,11 @@ def subject_index(spark, d):
 
 @query("entity_grounded", S.with_views(*ENTITY, "qa", ("t", f"""SELECT e.conv_id, e.turn, list_bool_or(list_transform(list_filter(list_transform(
    {S.words('named')}, lambda w: lower({S.trim_alnum('w')})), lambda w: length(w) >= 3), lambda w: contains(lower(q.question || ' ' || q.answer), w))) AS g
-   FROM ent e JOIN qa q USING (conv_id, turn) WHERE named IS NOT NULL"""), body="SELECT conv_id, turn, coalesce(g, false) AS grounded FROM t"))
+   FROM ent e JOIN qa q ON q.conv_id = e.conv_id AND q.turn = e.of_turn WHERE named IS NOT NULL"""), body="SELECT conv_id, turn, coalesce(g, false) AS grounded FROM t"))
 def entity_grounded(spark, d):
-    qa = V.qa_pairs(spark, d).select("conv_id", "turn", F.concat("question", L(" "), "answer").alias("facts"))
+    qa = V.qa_pairs(spark, d).select("conv_id", F.col("turn").alias("of_turn"), F.concat("question", L(" "), "answer").alias("facts"))
     named = V.asks(spark, d).withColumn("named", K.named_entity("text")).filter(F.col("named").isNotNull())
-    return named.join(qa, ["conv_id", "turn"]).select("conv_id", "turn", K.entity_grounded("named", "facts").alias("grounded"))
+    return named.join(qa, ["conv_id", "of_turn"]).select("conv_id", "turn", K.entity_grounded("named", "facts").alias("grounded"))
 
 
 @query("unanswerable_followup", S.with_views("asks", body=f"""SELECT conv_id, turn, (turn % 4 = 0 OR conv_id % 2 = 0) AND
@@ -566,18 +572,25 @@ def unanswerable_followup(spark, d):
         "text", F.col("conv_id") % 3 != 0, F.col("turn") % 4 == 0, web).alias("flag"))
 
 
-GAME = """CASE event_id % 6 WHEN 0 THEN 'C:\\Games\\CS2.exe' WHEN 1 THEN '/opt/x/codec.exe' WHEN 2 THEN 'c:\\EAC\\run.exe'
-   WHEN 3 THEN '/usr/bin/' || event_type WHEN 4 THEN 'd:\\bo6' ELSE '/a.b/eldenring.bin' END"""
+GAME_NAMES = rules.GAME_EXES[:2]
+GAME = f"""SELECT doc_id, CASE i % 5 WHEN 0 THEN 'C:\\Games\\' || w || '.EXE' WHEN 1 THEN '/usr/bin/' || w WHEN 2 THEN 'c:\\EAC\\' || w
+   WHEN 3 THEN '/games/' || w || '/{GAME_NAMES[0]}.bin' ELSE 'd:\\' || w || '\\{GAME_NAMES[1]}' END AS path, i % 5 IN (2, 3, 4) AS shaped
+   FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM (
+     SELECT doc_id, list_filter(regexp_split_to_array(text, '[ {chr(10)}]+'), lambda w: w <> '') AS ws FROM documents))"""
 
 
-@query("game_path", f"SELECT path, game, count(*) AS n FROM (SELECT {GAME} AS path, event_id % 6 IN (0, 2, 4, 5) AS game FROM events) GROUP BY ALL")
+@query("game_path", S.with_views(("g", GAME), body=f"""SELECT doc_id, count(*) AS paths, count(*) FILTER (WHERE shaped OR {S.has_any('lower(path)', rules.ANTICHEAT_HINTS)}
+   OR {S.isin("regexp_replace(regexp_extract(lower(path), '([^/{chr(92)}{chr(92)}]*)$', 1), '(.)[.][^.]*$', '{chr(92)}1')", rules.GAME_EXES)}) AS games FROM g GROUP BY doc_id"""))
 def game_path(spark, d):
-    e = V.table(spark, d, "events")
-    k = F.col("event_id") % 6
-    path = (F.when(k == 0, "C:\\Games\\CS2.exe").when(k == 1, "/opt/x/codec.exe").when(k == 2, "c:\\EAC\\run.exe")
-            .when(k == 3, F.concat(L("/usr/bin/"), "event_type")).when(k == 4, "d:\\bo6").otherwise("/a.b/eldenring.bin"))
-    p = e.select(path.alias("path"))
-    return p.groupBy("path", K.is_game_path("path").alias("game")).agg(F.count(F.lit(1)).alias("n"))
+    """Every word of every document as a part of a path."""
+    words = F.filter(F.split(TEXT, "[ \n]+"), lambda w: w != "")
+    e = V.documents(spark, d).select("doc_id", F.posexplode(words).alias("i", "w"))
+    k = F.col("i") % 5
+    path = (F.when(k == 0, F.concat(L("C:\\Games\\"), "w", L(".EXE"))).when(k == 1, F.concat(L("/usr/bin/"), "w"))
+            .when(k == 2, F.concat(L("c:\\EAC\\"), "w")).when(k == 3, F.concat(L("/games/"), "w", L(f"/{GAME_NAMES[0]}.bin")))
+            .otherwise(F.concat(L("d:\\"), "w", L(f"\\{GAME_NAMES[1]}"))))
+    return e.withColumn("path", path).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("paths"), F.count_if(K.is_game_path("path")).alias("games"))
 
 
 @query("code_editor", S.with_views("l0", body=f"SELECT app_name, {S.has_any('lower(app_name)', rules.TIGHT_HASH_APPS)} AS editor, count(*) AS n FROM l0 GROUP BY ALL"))

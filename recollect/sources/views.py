@@ -16,7 +16,7 @@ TYPE_INDEX = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
 QA_EPOCH = "2024-01-01 00:00:00"
 QUESTION_EPOCH = "2024-01-15 00:00:00"
 
-# Question shapes used by `asks`, so that every routing rule meets some rows.
+# Question shapes set around every sentence of a turn, so that each rule meets some rows.
 ASK_SHAPES = [
     "who is {}?", "tell me about {}", "what did i do with {} today", "open video about him",
     "he is a {} player, find him", "what is {} about?", "write a report of my week on {}",
@@ -131,20 +131,30 @@ def turn_time():
 
 
 def asks(spark, sf_dir):
-    """Short questions: every user turn, its first word set into a question shape."""
+    """What is said and asked: every turn as it is, and each of its sentences in a question shape."""
     return asks_of(table(spark, sf_dir, "conversations"))
 
 
-def asks_of(conversations):
-    c = conversations.filter(F.col("role") == "user")
-    subject = F.regexp_extract("text", r"^[^ \n.,]+", 0)
-    shape = (F.col("conv_id") * 3 + F.col("turn") * 5) % len(ASK_SHAPES)
-    text = F.lit("")
-    for i, s in enumerate(ASK_SHAPES):
-        head, _, tail = s.partition("{}")
-        filled = F.concat(F.lit(head), subject, F.lit(tail)) if "{}" in s else F.lit(s)
-        text = F.when(shape == i, filled).otherwise(text)
-    return c.select("conv_id", "turn", turn_time().alias("ts"), text.alias("text"))
+PARTS = 100_000  # more than a turn has sentences
+
+
+def asks_of(c):
+    """`turn` numbers the rows of a conversation; `of_turn` is the turn they come from."""
+    subjects = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.\n]+"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+
+    def shaped(subject, i):
+        shape = (F.col("conv_id") * 3 + F.col("turn") * 5 + i + 1) % len(ASK_SHAPES)
+        text = F.lit("")
+        for n, s in enumerate(ASK_SHAPES):
+            head, _, tail = s.partition("{}")
+            filled = F.concat(F.lit(head), subject, F.lit(tail)) if "{}" in s else F.lit(s)
+            text = F.when(shape == n, filled).otherwise(text)
+        return F.struct((i + 1).alias("part"), text.alias("text"))
+
+    rows = F.concat(F.array(F.struct(F.lit(0).alias("part"), "text")), F.transform(subjects, shaped))
+    out = c.select("conv_id", F.col("turn").alias("of_turn"), turn_time().alias("at"), F.explode(rows).alias("said"))
+    return out.select("conv_id", (F.col("of_turn") * PARTS + F.col("said.part")).alias("turn"), "of_turn",
+                      from_micros(micros("at") + F.col("said.part") * 1000).alias("ts"), F.col("said.text").alias("text"))
 
 
 def questions(spark, sf_dir):

@@ -228,25 +228,17 @@ def latency_window(metrics, size=100):
 
 def _cache(ttl_us, threshold, size):
     def step(rows, state):
-        ids, times, texts = (list(x) for x in state)
+        cache = [(i, t, frozenset(w)) for i, t, w in zip(*state)]
         out = []
-        for r in rows.itertuples():
-            now = int(r.ts.value // 1000)
-            live = [i for i, t in enumerate(times) if now - t < ttl_us]
-            ids, times, texts = ([x[i] for i in live] for x in (ids, times, texts))
-            mine = set(r.words)
-            hit = None
-            for i, joined in enumerate(texts):
-                other = set(joined.split(" ")) - {""}
-                if mine and other and len(mine & other) / len(mine | other) >= threshold:
-                    hit = i
-                    break
-            if hit is not None:
-                out.append((r.query_id, ids[hit]))
-                continue
-            ids, times, texts = ids + [int(r.query_id)], times + [now], texts + [" ".join(sorted(mine))]
-            ids, times, texts = ids[-size:], times[-size:], texts[-size:]
-        return pd.DataFrame(out, columns=["query_id", "hit_id"]), (ids, times, texts)
+        for query, ts, words in zip(rows["query_id"], rows["ts"], rows["words"]):
+            now, words = int(ts.value // 1000), frozenset(words)
+            cache, hit, _ = D.cached_hit(cache, now, words, ttl_us, threshold)
+            if hit:
+                out.append((query, hit[0]))
+            else:
+                cache = [*cache, (int(query), now, words)][-size:]
+        state = tuple(list(x) for x in zip(*cache)) or ([], [], [])
+        return pd.DataFrame(out, columns=["query_id", "hit_id"]), (state[0], state[1], [sorted(w) for w in state[2]])
     return step
 
 
@@ -256,5 +248,5 @@ def answer_cache(asks, ttl_s=300, threshold=0.85, size=20):
     timed = asks.withColumn("words", T.word_set("text")).withColumn(
         "_t", F.col("ts").cast("timestamp")).withWatermark("_t", DELAY)
     return stateful(timed, ["conv_id"], "query_id bigint, hit_id bigint",
-                    "ids array<bigint>, times array<bigint>, texts array<string>", ([], [], []),
+                    "ids array<bigint>, times array<bigint>, words array<array<string>>", ([], [], []),
                     _cache(ttl_s * 1_000_000, threshold, size), ["ts", "query_id"], ttl_ms=ttl_s * 1000)

@@ -280,8 +280,8 @@ def extract_answer(c):
 
 def strip_openers(c):
     """Drop one greeting or filler word from the front."""
-    pat = (rf"\A(?i:(?:{literal_pattern(rules.OPENERS_WITH_COMMA)}),? "
-           rf"|(?:{literal_pattern(rules.OPENERS_PLAIN)}) ){WS}*")
+    words = [re.escape(w.rstrip(",")) + ",?" * w.endswith(",") for w in rules.OPENERS]
+    pat = rf"\A(?i:(?:{'|'.join(words)}) ){WS}*"
     return F.regexp_replace(trim_ws(c), pat, "")
 
 

@@ -18,7 +18,7 @@ PROMPT_CHARS = 2500
 def clean_memory(c):
     """Noise and inner labels out; '' for an empty context."""
     c = T.col(c)
-    empty = (c == "") | c.contains("Context is empty") | c.contains("no relevant")
+    empty = (c == "") | c.contains(rules.NOTHING_FOUND)
     return F.when(empty, F.lit("")).otherwise(T.strip_markers(T.clean_noise_chars(c)))
 
 
@@ -38,22 +38,21 @@ def context_bundle(rows, as_of, zone="UTC", wordlist=None):
     per query."""
     clean = redact.scrub_with(rows.withColumn("memory", clean_memory("memory")), wordlist, "query_id", "memory")
     notices = X.conflict_notice(X.detect_conflicts(clean, "query_id", "memory", "web"), "query_id")
-    clock = F.concat(F.lit("Right now it is "), F.date_format(C.to_local(as_of, zone), "dd.MM.yyyy HH:mm"),
-                     F.lit(" for the user. This is the current clock time — it is NOT your knowledge "
-                           "cutoff, so never describe it as your last update."))
+    clock = F.concat(F.lit("Local time: "), F.date_format(C.to_local(as_of, zone), "dd.MM.yyyy HH:mm"),
+                     F.lit(" (by the clock; says nothing about when the model was made)."))
 
     def part(label, c):
         return F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c)))
 
     return clean.join(notices, "query_id", "left").withColumn("bundle", F.concat_ws(
-        "\n\n", clock, part("Screen history:\n", "memory"), part("Web results:\n", "web"), "notice"))
+        "\n\n", clock, part("From the screen:\n", "memory"), part("From the web:\n", "web"), "notice"))
 
 
 def prompt_table(rows, system, profile=""):
     """The chat prompt around a bundle."""
     ctx = F.substring("bundle", 1, PROMPT_CHARS)
     prefix = f"{profile}\n\n" if profile else ""
-    has = (T.trim_ws(ctx) != "") & ~ctx.contains("Context is empty")
+    has = (T.trim_ws(ctx) != "") & ~ctx.contains(rules.NOTHING_FOUND)
     user = F.when(has, F.concat(F.lit(f"<context>\n{prefix}"), ctx, F.lit("\n</context>\n\n"), "text")) \
         .otherwise(F.concat(F.lit(prefix), "text"))
     return rows.withColumn("prompt", F.concat(

@@ -41,21 +41,25 @@ def conflict_notice(conflicts, key):
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))),
                          lambda r: r["item"])
     return conflicts.groupBy(key).agg(F.concat(
-        F.lit("Data mismatch (history vs web): "), F.array_join(listed, "; "),
-        F.lit(". Check the source before answering.")).alias("notice"))
+        F.lit("Screen and web disagree: "), F.array_join(listed, "; "),
+        F.lit(". Name both values.")).alias("notice"))
 
 
 def grounding_antijoin(cases, key, answer, facts):
     """X2 in set form: answer numbers with no equal number among the case's facts.
 
     Values are compared by their sixth decimal; its neighbours are probed too,
-    so that the tolerance is the same as in the row form."""
+    so that the tolerance is the same as in the row form. Beyond 1e12 doubles lie
+    further apart than the tolerance, so there only equal values match."""
     def tokens(text):
         toks = cases.select(key, F.explode(F.array_distinct(N.number_tokens(text))).alias("tok"))
         return toks.withColumns({"val": N.num_value(F.col("tok")), "core": N.num_core(F.col("tok"))})
 
+    def small(v):
+        return F.abs(v) < 1e12
+
     def slot(v):
-        return F.floor(v * 1e6)
+        return F.when(small(v), F.floor(F.when(small(v), v) * 1e6)).otherwise(F.xxhash64(v))
 
     said = tokens(answer).filter(F.when(
         F.col("val").isNotNull(), ~((F.floor("val") == F.col("val")) & (F.abs("val") < 10)))
@@ -63,7 +67,8 @@ def grounding_antijoin(cases, key, answer, facts):
     known = tokens(facts).select(key, "val", "core")
     probe = known.filter(F.col("val").isNotNull()).select(
         key, F.col("val").alias("fact"),
-        F.explode(F.array(slot(F.col("val")) - 1, slot(F.col("val")), slot(F.col("val")) + 1)).alias("slot"))
+        F.explode(F.when(small(F.col("val")), F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: slot(F.col("val")) + i))
+                  .otherwise(F.array(slot(F.col("val"))))).alias("slot"))
     values = said.filter(F.col("val").isNotNull()).withColumn("slot", slot(F.col("val")))
     backed = values.join(probe, [key, "slot"]).filter(F.abs(F.col("fact") - F.col("val")) < 1e-6) \
         .select(key, "tok").distinct()

@@ -130,8 +130,18 @@ def knn(vectors, queries, k, metric="l2", max_shared=None):
     return _knn(vectors, queries, k, metric, max_shared)[0]
 
 
+def usable(rows, dim):
+    """Rows whose vector has `dim` components, none of them null."""
+    return rows.filter((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
+
+
 def _knn(vectors, queries, k, metric, max_shared):
+    """Rows and queries without a full vector take no part; the queries set the width."""
     max_shared = MAX_SHARED_QUERIES if max_shared is None else max_shared
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0]
+    if not dim or dim < 1:
+        return vectors.sparkSession.createDataFrame([], HITS + ", rank int"), True
+    vectors, queries = usable(vectors, dim), usable(queries, dim)
     few = queries.select("query_id").limit(max_shared + 1).count() <= max_shared
     if few:
         rows = queries.select("query_id", "embedding").collect()  # bounded by max_shared
@@ -251,7 +261,7 @@ def smart_rag(memory, summaries, questions, log_lines, as_of):
     out = F.concat(screen,
                    F.coalesce(F.concat(F.lit("Summaries (newest first):\n"), "_rolled"), F.lit("")),
                    F.coalesce(F.concat(F.lit("\n## Similar events\n"), "_raw"), F.lit("")))
-    return rows.select("query_id", "want_screen", F.when(out == "", F.lit(rules.EMPTY_CONTEXT))
+    return rows.select("query_id", "want_screen", F.when(out == "", F.lit(rules.NOTHING_FOUND))
                        .otherwise(F.substring(out, 1, CONTEXT_CHARS)).alias("context"))
 
 
@@ -284,7 +294,7 @@ def legacy_timeline(memory, questions, recent=3, k=10):
 def topic_timeline_rag(smart, memory, questions):
     """V7: `smart`, or the older timeline where a screen question found nothing."""
     smart = written(smart, "context")   # one short row per question, used twice
-    empty = (F.col("context") == rules.EMPTY_CONTEXT) & F.col("want_screen")
+    empty = (F.col("context") == rules.NOTHING_FOUND) & F.col("want_screen")
     todo = questions.join(smart.filter(empty).select("query_id"), "query_id", "left_semi")
     older = legacy_timeline(memory, todo).withColumnRenamed("context", "_older")
     return smart.join(older, "query_id", "left").select(

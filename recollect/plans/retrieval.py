@@ -272,11 +272,11 @@ def hybrid_context_union(spark, d):
 
 
 CLEANED = ("cleaned", f"SELECT query_id, text, {CLEAN} AS memory, web FROM hybrid")
-CLOCK_LINE = """'Right now it is ' || strftime(as_of, '%d.%m.%Y %H:%M') || ' for the user. This is the current clock time — it is NOT your knowledge cutoff, so never describe it as your last update.'"""
-BUNDLED = ("bundled", f"""SELECT query_id, text, concat_ws(chr(10) || chr(10), {CLOCK_LINE}, CASE WHEN memory <> '' THEN 'Screen history:' || chr(10) || memory END,
-   CASE WHEN web <> '' THEN 'Web results:' || chr(10) || web END, notice) AS bundle FROM cleaned LEFT JOIN (
-     SELECT query_id, 'Data mismatch (history vs web): ' || string_agg('«' || word || '»: local=' || local || ', web=' || web, '; ' ORDER BY word)
-       || '. Check the source before answering.' AS notice FROM conflicts GROUP BY query_id) USING (query_id), clock""")
+CLOCK_LINE = """'Local time: ' || strftime(as_of, '%d.%m.%Y %H:%M') || ' (by the clock; says nothing about when the model was made).'"""
+BUNDLED = ("bundled", f"""SELECT query_id, text, concat_ws(chr(10) || chr(10), {CLOCK_LINE}, CASE WHEN memory <> '' THEN 'From the screen:' || chr(10) || memory END,
+   CASE WHEN web <> '' THEN 'From the web:' || chr(10) || web END, notice) AS bundle FROM cleaned LEFT JOIN (
+     SELECT query_id, 'Screen and web disagree: ' || string_agg('«' || word || '»: local=' || local || ', web=' || web, '; ' ORDER BY word)
+       || '. Name both values.' AS notice FROM conflicts GROUP BY query_id) USING (query_id), clock""")
 BUNDLE = ["qa", "clock", TWO, HYBRID, CLEANED, facts_view("fa", "memory", "cleaned"), facts_view("fb", "web", "cleaned"), CONFLICTS, BUNDLED]
 
 

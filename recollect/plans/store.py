@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect import rules
 from recollect.functions import payload as J
 from recollect.functions import times as C
+from recollect.operators import retrieval as RV
 from recollect.plans import sql as S
 from recollect.plans.registry import query
 from recollect.plans.timeline import as_of
@@ -59,8 +60,10 @@ def forget_recent(spark, d):
 @query("wipe_all", "SELECT count(*) AS erased, 0::BIGINT AS left_over FROM events")
 def wipe_all(spark, d):
     path = fresh_table(spark, d, "wipe")
-    n = D.wipe_all(spark, path)
-    return D.read_memory(spark, path).agg(L(n).cast("long").alias("erased"), F.count(L(1)).alias("left_over"))
+    archive = scratch_path(spark, "wiped-archive")
+    D.archive_write(D.read_memory(spark, path).filter("level = 0"), archive, "2024-02-01")
+    n = D.wipe_all(spark, path, archive)
+    return D.read_memory(spark, path).select("id").unionByName(D.archive_read(spark, archive).select("id")).agg(L(n).cast("long").alias("erased"), F.count(L(1)).alias("left_over"))
 
 
 @query("delete_by_tag", per_date_sql("seq % 10 <> 0 AND seq % 50 <> 1"))
@@ -107,7 +110,7 @@ def archive_read(spark, d):
    UNION ALL SELECT 9, 0, count(*) FROM l0, clock WHERE epoch_us(time_start) // 3600000000 < epoch_us(as_of) // 3600000000) GROUP BY level"""))
 def compaction_job(spark, d):
     path, archive = fresh_table(spark, d, "compact"), scratch_path(spark, "compact-archive")
-    D.compact(spark, path, archive, as_of(spark, d), "2024-02-01")
+    D.compact(spark, path, archive, as_of(spark, d), "2024-02-01", lambda t, c: RV.embed_text(t, c))
     v = J.parsed("data_json")
     members = F.coalesce(F.try_variant_get(v, "$.count", "bigint"), L(0).cast("long"))
     table = D.read_memory(spark, path).groupBy("level").agg(F.count(L(1)).alias("n"), F.sum(members).alias("members"))
@@ -139,21 +142,18 @@ def token_stream_decode(spark, d):
     return D.token_stream_decode(token_lines(spark, d)).select("stream_id", F.md5("text").alias("text"))
 
 
-@query("notes_sink", """SELECT 'src ' || source AS stem, count(*) AS sections, md5(string_agg(CASE WHEN rn = 1 THEN '# src:' || source || '?' || chr(10) || stamp || chr(10) || chr(10) || text || chr(10)
-   ELSE chr(10) || chr(10) || '---' || chr(10) || stamp || chr(10) || text || chr(10) END, '' ORDER BY doc_id)) AS document FROM (
+@query("notes_sink", """SELECT 'src ' || source AS stem, rn AS pos, md5(CASE WHEN rn = 1 THEN '# src:' || source || '?' || chr(10) || stamp || chr(10) || chr(10) || text || chr(10)
+   ELSE chr(10) || chr(10) || '---' || chr(10) || stamp || chr(10) || text || chr(10) END) AS section FROM (
    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
-     '_' || strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M') || '_' AS stamp FROM documents) GROUP BY source""")
+     '_' || strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M') || '_' AS stamp FROM documents)""")
 def notes_sink(spark, d):
+    """Two batches: the later half is added to the documents of the first."""
     docs = V.documents(spark, d)
     at = C.from_micros(C.micros(L("2024-01-01 00:00:00").cast("timestamp_ntz")) + F.col("doc_id") * 60_000_000)
     notes = docs.select(F.concat(L("src:"), "source", L("?")).alias("title"), at.alias("ts"),
                         F.col("doc_id").alias("seq"), F.col("text").alias("body"))
+    half = docs.agg(F.max("doc_id")).first()[0] // 2
     path = scratch_path(spark, "notes")
-    D.write_notes(D.note_sections(notes), path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"stem=([^/]*)/", 1)
-    whole = files.groupBy(F.try_url_decode(name).alias("stem")).agg(F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("path", F.decode("content", "UTF-8").alias("c")))), lambda r: r["c"]), "").alias("doc"))
-    counts = notes.groupBy(F.regexp_replace("title", "[:?]", " ").alias("t")).agg(F.count(L(1)).alias("sections"))
-    return whole.join(counts.withColumn("stem", F.trim("t")), "stem").select(
-        "stem", "sections", F.md5("doc").alias("document"))
+    D.append_notes(notes.filter(F.col("seq") <= half), path)
+    D.append_notes(notes.filter(F.col("seq") > half), path)
+    return D.read_notes(spark, path).select("stem", "pos", F.md5("section").alias("section"))

@@ -212,8 +212,11 @@ def extract_answer(spark, d):
     return doc_md5(spark, d, raw_answer(TEXT), T.extract_answer)
 
 
+OPEN_RX = "|".join(w.replace(",", ",?") for w in rules.OPENERS)
+
+
 @query("strip_openers", doc_sql("CASE doc_id % 4 WHEN 0 THEN ' hi, ' || text WHEN 1 THEN 'And  ' || text WHEN 2 THEN 'btw ' || text ELSE text END",
-       f"regexp_replace({S.trim('x')}, '^(?i:(?:{'|'.join(rules.OPENERS_WITH_COMMA)}),? |(?:{'|'.join(rules.OPENERS_PLAIN)}) )\\s*', '')"))
+       f"regexp_replace({S.trim('x')}, '^(?i:(?:{OPEN_RX}) )\\s*', '')"))
 def strip_openers(spark, d):
     return doc_md5(spark, d, pick(4, F.concat(L(" hi, "), TEXT), F.concat(L("And  "), TEXT), F.concat(L("btw "), TEXT), TEXT),
                    T.strip_openers)
@@ -472,7 +475,7 @@ def rx(words):
     return "|".join(w.replace(".", "\\.") for w in words).replace("'", "''")
 
 
-OPEN_SQL = (f"regexp_replace({S.trim('text')}, '^(?i:(?:{rx(rules.OPENERS_WITH_COMMA)}),? |(?:{rx(rules.OPENERS_PLAIN)}) )\\s*', '')")
+OPEN_SQL = f"regexp_replace({S.trim('text')}, '^(?i:(?:{OPEN_RX}) )\\s*', '')"
 ENT1 = ("ent1", f"""SELECT *, rtrim(regexp_extract(q, '(?is)^.*?(?:{rx(rules.PERSON_LEADS)})(.*)$', 1), '?!.') AS pr,
    {S.trim(f"regexp_replace(regexp_replace({S.trim(f'''rtrim(regexp_extract(q, '(?is)^.*?(?:{rx(rules.ABOUT_LEADS)})(.*)$', 1), '?!.')''')}, '^(the )+', ''), '^(a )+', '')")} AS ab
    FROM (SELECT *, {OPEN_SQL} AS q FROM asks)""")

@@ -187,8 +187,8 @@ REPORT_VERBS = [
     "write me a report", "write up my", "report on what i", "summarize my week",
     "summarise my week", "summarize my day", "write a doc", "save a report",
 ]
-OPENERS_WITH_COMMA = ["hi", "hey", "hello", "ok", "okay", "so", "btw"]
-OPENERS_PLAIN = ["yo", "and"]
+# Words that may open a question, with a comma after them where one can stand.
+OPENERS = ["hi,", "hey,", "hello,", "ok,", "okay,", "so,", "btw,", "yo", "and"]
 PERSON_LEADS = ["who is ", "who was ", "who's ", "who are ", "who were "]
 PERSON_STOP_FIRST = ["he", "she", "they", "it", "i", "you", "we", "the", "a", "an",
                      "my", "your", "his", "her", "their", "this", "that"]
@@ -256,14 +256,12 @@ MONTHS = {
     "sept": "sep", "sep": "sep", "oct": "oct", "nov": "nov", "dec": "dec",
 }
 
-# --- fixed sentences ---------------------------------------------------------
-EMPTY_CONTEXT = "Context is empty — no relevant events."
-NO_MATCH_LINE = "The model didn't respond in time — please try again."
-NOTICE_UNVERIFIED = ("⚠️ I couldn't verify the figures against the sources. "
-                     "Showing the raw text matches instead:")
-CAVEAT = ("⚠️ No source backs this — it comes from the model's own training and may be "
-          "wrong or entirely invented. Ask me to search the web to verify.")
-SKIP_ANSWER_START = "I couldn't"
+# --- sentences shown to a reader, in this library's own words -----------------
+NOTHING_FOUND = "[no matching records]"
+NO_MATCH_LINE = "No answer arrived; ask once more."
+NOTICE_UNVERIFIED = "[unchecked figures] The sources do not hold some numbers of the answer. Matching lines:"
+CAVEAT = "[no source] Nothing stored or found on the web supports this answer; it may be wrong."
+SKIP_ANSWER_START = "[unchecked figures]"
 MIN_ANSWER_BYTES = 20
 
 # --- places ------------------------------------------------------------------

@@ -51,11 +51,21 @@ def add_event(events):
 
 # --- deletion ------------------------------------------------------------------
 
+def _folder(spark, path):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def has_rows(spark, path):
+    """Whether a folder holds partitions or files yet."""
+    fs, root = _folder(spark, path)
+    return fs.exists(root) and any(not e.getPath().getName().startswith("_") for e in fs.listStatus(root))
+
+
 def _drop_dirs(spark, path, parts):
-    jvm = spark.sparkContext._jvm
     for p in parts:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/level={p['level']}/date={p['date']}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = _folder(spark, f"{path}/level={p['level']}/date={p['date']}")
+        fs.delete(target, True)
 
 
 def _delete(spark, path, find, keep):
@@ -86,9 +96,15 @@ def forget_recent(spark, path, as_of, minutes=15):
     return _delete(spark, path, lambda t: t.filter(doomed), lambda t: t.filter(~doomed))
 
 
-def wipe_all(spark, path):
-    """M2: delete every row."""
-    return _delete(spark, path, lambda t: t, lambda t: t.filter("false"))
+def wipe_all(spark, path, archive=None):
+    """M2: delete every row of the table and of its archive; returns the table's row count."""
+    n = read_memory(spark, path).count()
+    for folder in [path] + ([archive] if archive else []):
+        fs, root = _folder(spark, folder)
+        if fs.exists(root):
+            for entry in fs.listStatus(root):
+                fs.delete(entry.getPath(), True)
+    return n
 
 
 def delete_by_tag(spark, path, app="stress_long"):
@@ -103,6 +119,8 @@ def delete_by_tag(spark, path, app="stress_long"):
 def delete_by_ids(spark, path, ids):
     """M4: delete the rows whose id is listed, by join."""
     ids = ids.select("id").distinct()
+    if ids.isEmpty():
+        return 0
     return _delete(spark, path, lambda t: t.join(ids, "id", "left_semi"),
                    lambda t: t.join(ids, "id", "left_anti"))
 
@@ -115,12 +133,9 @@ def archive_write(rows, path, day):
     spark = rows.sparkSession
     out = rows.select(*[f.name for f in ARCHIVE.fields if f.name != "archive_date"]).withColumn(
         "archive_date", F.lit(day).cast("date"))
-    try:
+    if has_rows(spark, path):
         old = archive_read(spark, path).filter(F.col("archive_date") == F.lit(day).cast("date"))
         out = out.join(old.select("id"), "id", "left_anti")
-    except Exception as missing:  # the archive does not exist yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
     out.write.mode("append").option("compression", "zstd").partitionBy("archive_date", "level").parquet(path)
 
 
@@ -139,42 +154,54 @@ def archive_read(spark, path, json_path=None):
 
 # --- compaction ----------------------------------------------------------------
 
-def hour_records(memory_rows, embed=None, limit=HOT_ROWS):
-    """Level-1 records of level-0 table rows; very full hours take several rows."""
+def hour_records(memory_rows, embed, limit=HOT_ROWS):
+    """Level-1 records of level-0 table rows; very full hours take several rows.
+
+    embed: adds `embedding` from the text column it is given. A record's id holds a
+    digest of the hour's members, so other members give another record."""
     v = J.parsed("data_json")
     rows = memory_rows.withColumns({
         "app_name": F.coalesce(J.string_field(v, "app_name"), F.lit("screen")),
         "text": F.coalesce(J.string_field(v, "text"), F.lit("")),
         "seq": F.xxhash64("id"), "hour": C.hour_bucket("time_start")})
+    digest = rows.groupBy("hour").agg(F.hex(F.bit_xor(F.xxhash64("id"))).alias("members"))
     members = G.rollup_hour_sub_events(rows, limit)
     parts = G.hour_record_parts(members)
     heads = G.rollup_hour_l1(rows)
-    out = parts.join(heads.drop("count"), "hour")
-    if embed is not None:
-        out = embed(out, "embed_text")
-    else:
-        out = out.withColumn("embedding", F.array().cast("array<float>"))
+    out = embed(parts.join(heads.drop("count"), "hour").join(digest, "hour"), "embed_text")
     return out.select(
-        F.concat(F.lit("h"), F.col("hour").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("id"),
+        F.concat_ws("-", F.concat(F.lit("h"), F.col("hour")), "part", "members").alias("id"),
         "time_start", "time_end", F.lit(1).alias("level"), F.lit(False).alias("archived"), "data_json", "embedding")
 
 
-def compact(spark, path, archive, as_of, run_day, include_open=False, embed=None):
+def _roll_up(spark, path, archive, rows, embed):
+    """Records of archived rows that the table still holds, then those rows go."""
+    rows = written(rows, "to-compact")
+    fresh = hour_records(rows, embed).join(
+        read_memory(spark, path).filter("level = 1").select("id"), "id", "left_anti")
+    append(written(fresh, "l1"), path)
+    return delete_by_ids(spark, path, rows)
+
+
+def compact(spark, path, archive, as_of, run_day, embed, include_open=False):
     """Roll closed hours up to level 1, archive their rows, then delete them.
 
-    Every step may be repeated: record ids follow from the hour, the archive
-    skips ids it holds, and sources go only after both are written."""
+    The archive says which rows a run has taken on. Rows that an earlier run archived
+    but did not finish come first, on their own, with the same members and so the same
+    record ids. Rows that arrive later, for hours compacted before or during the run,
+    are not among the ids that are deleted; the next run gives them a record of their
+    own."""
     open_hour = C.from_micros(C.hour_bucket(as_of) * C.HOUR_US)
     closed = F.col("level") == 0
     if not include_open:
         closed = closed & (F.col("date") <= F.to_date(open_hour)) & (F.col("time_start") < open_hour)
-    table = read_memory(spark, path)
-    source = table.filter(closed)
-    fresh = hour_records(source, embed).join(
-        table.filter("level = 1").select("id"), "id", "left_anti")
-    append(written(fresh, "l1"), path)
+    done = 0
+    if has_rows(spark, archive):
+        taken = archive_read(spark, archive).select("id").distinct()
+        done += _roll_up(spark, path, archive, read_memory(spark, path).filter(closed).join(taken, "id", "left_semi"), embed)
+    source = written(read_memory(spark, path).filter(closed), "closed")
     archive_write(source, archive, run_day)
-    return _delete(spark, path, lambda t: t.filter(closed), lambda t: t.filter(~closed))
+    return done + _roll_up(spark, path, archive, source, embed)
 
 
 # --- sources and sinks around the table ------------------------------------------
@@ -219,22 +246,36 @@ def token_stream_decode(lines, chunk=10_000, limit=HOT_ROWS):
     return parts.groupBy("stream_id").agg(joined("_part", "_text").alias("text"))
 
 
-def note_sections(notes, limit=HOT_ROWS):
+def note_sections(notes, before=None, limit=HOT_ROWS):
     """Notes (title, ts, seq, body) as ordered sections of one document per
     safe title.  A document is its sections in order; a popular title may have
-    any number of them, so they stay rows."""
+    any number of them, so they stay rows.
+
+    before: (stem, pos), the last section of each document that exists already."""
     rows = notes.withColumn("stem", T.sanitize_stem("title"))
     o = Ordered(rows, ["stem"], ["ts", "seq"], C.micros("ts"), limit)
     o.running_sum(F.lit(1), "pos")
+    rows = o.result()
+    if before is not None:
+        rows = rows.join(before.select("stem", F.col("pos").alias("_had")), "stem", "left").withColumn(
+            "pos", F.col("pos") + F.coalesce("_had", F.lit(0)))
     stamp = F.concat(F.lit("_"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("_"))
     section = F.when(F.col("pos") == 1, F.concat(F.lit("# "), "title", F.lit("\n"), stamp, F.lit("\n\n"), "body", F.lit("\n"))) \
         .otherwise(F.concat(F.lit("\n\n---\n"), stamp, F.lit("\n"), "body", F.lit("\n")))
-    return o.result().select("stem", "pos", section.alias("section"))
+    return rows.select("stem", "pos", section.alias("section"))
+
+
+NOTES = "stem string, pos bigint, section string"
+
+
+def append_notes(notes, path):
+    """Add notes to the documents of a folder, after the sections they have."""
+    spark = notes.sparkSession
+    before = None
+    if has_rows(spark, path):
+        before = read_notes(spark, path).groupBy("stem").agg(F.max("pos").alias("pos"))
+    note_sections(notes, before).write.mode("append").parquet(path)
 
 
-def write_notes(sections, path):
-    """Text files per document; files of a document follow its order by name.
-    A section ends with a line end, which the writer adds."""
-    (sections.repartitionByRange("stem", "pos").sortWithinPartitions("stem", "pos")
-     .select("stem", F.regexp_replace("section", r"\n\z", "").alias("value"))
-     .write.mode("append").partitionBy("stem").text(path))
+def read_notes(spark, path):
+    return spark.read.schema(NOTES).parquet(path)

@@ -32,50 +32,44 @@ def test_screen_query(values):
 
 
 def test_identity(values):
-    assert values(K.asks_user_name, ["Who am I?", "what's my name", "who is bob"]) == [True, True, False]
-    assert values(K.asks_identity, ["Who are you?!", "tell me your name", "who are they"]) == [True, True, False]
+    assert values(K.asks_user_name, ["Who am I?!", "hm, what's my name", "who is karla"]) == [True, True, False]
+    assert values(K.asks_identity, ["who are you", "please tell me your name", "who are those"]) == [True, True, False]
 
 
 def test_secrets_and_reports(values):
-    assert values(K.asks_about_secrets, ["do you have my password", "how to make a strong password"]) == [True, False]
-    assert values(K.report_days, ["write a report of my week", "make a report for the month", "write a doc", "report"]) == \
+    assert values(K.asks_about_secrets, ["do you have my old password", "how long is a good password"]) == [True, False]
+    assert values(K.report_days, ["write a report on this week", "make a report: month so far", "now write a doc", "the report"]) == \
         [7, 30, 1, None]
 
 
 def test_entities(values):
     assert values(K.person_in_question, [
-        "hi who is smoky nagata?", "who is he", "who is the best", "could u say who was Kyosuke.", "what is gravity"]) == \
-        ["smoky nagata", None, None, "Kyosuke", None]
+        "hey who is Ivo Brandt?", "who is she", "who is the oldest", "so, who was Teodora.", "what is rye"]) == \
+        ["Ivo Brandt", None, None, "Teodora", None]
     assert values(K.about_subject, [
-        "tell me about donk", "hi could u tell me about the moon?", "tell me about yourself", "tell me about him",
-        "info about x b c d e f g"]) == ["donk", "moon", None, None, None]
+        "tell me about lichen", "ok, do you know about the canal?", "tell me about yourself", "tell me about them",
+        "info about one two three four five six seven"]) == ["lichen", "canal", None, None, None]
     assert values(K.named_entity, [
-        "what is the Karakov-Feldstein theorem", "what is DNA", "explain gravity", "when did Rome fall"]) == \
-        ["Karakov-Feldstein", None, None, "Rome"]
+        "what is the Moreau-Lind inequality", "what is HTTP", "explain tides", "when did Lisbon burn"]) == \
+        ["Moreau-Lind", None, None, "Lisbon"]
 
 
 @pytest.mark.parametrize("q,kind,val", [
-    ("he is a dota 2 player, find him", "fact", "dota 2 player"), ("his nickname is LenS", "rename", "LenS"),
-    ("no his name is LenS.", "rename", "LenS"), ("nooo I am about cs 2 player", "fact", "cs 2 player"),
-    ("nope, i mean the japanese street racer", "fact", "japanese street racer"),
-    ("she's an actress", "fact", "actress"), ("what is rust", None, None), ("notes about him", None, None)])
+    ("he is a chess coach, find him", "fact", "chess coach"), ("his nickname is Moth", "rename", "Moth"),
+    ("no his name is Moth.", "rename", "Moth"), ("nope, i mean the tall rower", "fact", "tall rower"),
+    ("she's an architect", "fact", "architect"), ("what is basalt", None, None), ("a list about him", None, None)])
 def test_statements(value, q, kind, val):
     s = value(K.entity_statement, q)
     assert (s and (s["kind"], s["value"]) or (None, None)) == (kind, val)
 
 
 @pytest.mark.parametrize("q,prev,want", [
-    ("open video about him", "who is david laid", "open video about david laid"),
-    ("play her", "tell me about Adele", "play Adele"),
-    ("open video about him", "how tall is David Laid", "open video about David Laid"),
-    ("open video about it", "what is Interstellar about", "open video about Interstellar"),
-    ("search for a video about him", "who is Khabib", "search for a video about Khabib"),
-    ("what do you think about him", "who is david laid", None), ("open youtube", "who is david laid", None),
-    ("play it", "who is David Laid", None), ("open video about him", "who is he", None),
-    ("open video about him", "hmm ok", None), ("turn his last video", "who is Bulkin", "turn Bulkin last video"),
-    ("find her new song", "who is Adele", "find Adele new song"),
-    ("open video about him", "What was I just doing?", None), ("play her", "what did I do today", None),
-    ("open video about him", "what is my name", None)])
+    ("open video about her", "who is Ines Kato", "open video about Ines Kato"),
+    ("play him", "tell me about Ravel", "play Ravel"),
+    ("open video about her", "how old is Ines Kato", "open video about Ines Kato"),
+    ("what do you say about him", "who is Ines Kato", None), ("open the map", "who is Ines Kato", None),
+    ("open video about her", "who is she", None), ("open video about her", "well then", None),
+    ("find his new book", "who is Oduya", "find Oduya new book"), ("play him", "what did I do yesterday", None)])
 def test_back_references(spark, q, prev, want):
     df = spark.createDataFrame([(q, prev)], "q string, prev string").withColumn("ref", K.referent_of("prev"))
     assert df.select(K.resolve_reference("q", "ref").alias("v")).first()["v"] == want

@@ -4,11 +4,16 @@ import os
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from recollect.operators import retrieval as RV
 from recollect.plans.timeline import as_of
 from recollect.sources import store
 from recollect.sources import views
 
 
+def embed(rows, column):
+    return RV.embed_text(rows, column)
+
+
 def table(spark, tmp_path):
     path = str(tmp_path / "memory")
     store.append(store.stored(views.memory(spark, SMALL, text=True)), path)
@@ -29,10 +34,10 @@ def test_forget_touches_only_recent_partitions(spark, tmp_path):
 def test_compaction_can_be_repeated(spark, tmp_path):
     path, archive = table(spark, tmp_path), str(tmp_path / "archive")
     now = as_of(spark, SMALL)
-    n = store.compact(spark, path, archive, now, "2024-02-01")
+    n = store.compact(spark, path, archive, now, "2024-02-01", embed)
     first = sorted(r["id"] for r in store.read_memory(spark, path).select("id").collect())
     # A second run finds nothing new; one that failed before its delete changes nothing either.
-    assert store.compact(spark, path, archive, now, "2024-02-01") == 0
+    assert store.compact(spark, path, archive, now, "2024-02-01", embed) == 0
     assert first == sorted(r["id"] for r in store.read_memory(spark, path).select("id").collect())
     assert store.archive_read(spark, archive).count() == n
 
@@ -41,14 +46,60 @@ def test_compaction_after_a_failed_run(spark, tmp_path):
     path, archive = table(spark, tmp_path), str(tmp_path / "archive")
     now = as_of(spark, SMALL)
     source = store.read_memory(spark, path).filter("level = 0 and date < '2024-01-02'")
-    store.append(store.hour_records(source), path)          # the failed run got this far
+    store.append(store.hour_records(source, embed), path)          # the failed run got this far
     store.archive_write(source, archive, "2024-02-01")
-    n = store.compact(spark, path, archive, now, "2024-02-01")
+    n = store.compact(spark, path, archive, now, "2024-02-01", embed)
     t = store.read_memory(spark, path)
     assert t.select("id").distinct().count() == t.count()
     assert store.archive_read(spark, archive).count() == n
 
 
+def members(spark, path):
+    return store.read_memory(spark, path).filter("level = 1").agg(
+        F.sum(F.get_json_object("data_json", "$.count").cast("long"))).first()[0]
+
+
+def test_late_rows_reach_a_record(spark, tmp_path, monkeypatch):
+    path, archive = table(spark, tmp_path), str(tmp_path / "archive")
+    now = as_of(spark, SMALL)
+    n = store.compact(spark, path, archive, now, "2024-02-01", embed)
+    rows = spark.createDataFrame(store.archive_read(spark, archive).limit(9).collect()).select(
+        F.concat(F.lit("late"), "id").alias("id"), "time_start", "time_end", F.lit(0).alias("level"),
+        F.lit(False).alias("archived"), "data_json", F.array().cast("array<float>").alias("embedding"))
+    store.append(rows, path)
+    assert store.compact(spark, path, archive, now, "2024-02-01", embed) == 9
+    # Rows that come between the archive and the delete stay for the next run.
+    write = store.archive_write
+
+    def slow(*args):
+        write(*args)
+        store.append(rows.withColumn("id", F.concat(F.lit("x"), "id")), path)
+
+    store.append(rows.withColumn("id", F.concat(F.lit("y"), "id")), path)
+    monkeypatch.setattr(store, "archive_write", slow)
+    assert store.compact(spark, path, archive, now, "2024-02-01", embed) == 9
+    monkeypatch.setattr(store, "archive_write", write)
+    assert store.compact(spark, path, archive, now, "2024-02-01", embed) == 9
+    assert members(spark, path) == store.archive_read(spark, archive).count() == n + 27
+
+
+def test_notes_of_a_second_batch_follow(spark, tmp_path):
+    notes = lambda *rows: spark.createDataFrame(
+        rows, "title string, ts string, seq long, body string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    path = str(tmp_path / "notes")
+    store.append_notes(notes(("a", "2024-01-01 10:00:00", 1, "x"), ("a", "2024-01-02 10:00:00", 2, "y")), path)
+    store.append_notes(notes(("a", "2024-01-01 09:00:00", 3, "z"), ("b", "2024-01-01 09:00:00", 4, "w")), path)
+    got = [(r["stem"], r["pos"], "# " in r["section"]) for r in store.read_notes(spark, path).orderBy("stem", "pos").collect()]
+    assert got == [("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 1, True)]
+
+
+def test_wipe_clears_the_archive(spark, tmp_path):
+    path, archive = table(spark, tmp_path), str(tmp_path / "archive")
+    store.archive_write(store.read_memory(spark, path), archive, "2024-02-01")
+    assert store.wipe_all(spark, path, archive) == 1000
+    assert store.read_memory(spark, path).count() == store.archive_read(spark, archive).count() == 0
+
+
 def test_wipe_and_ids(spark, tmp_path):
     path = table(spark, tmp_path)
     ids = spark.createDataFrame([("1",), ("2",), ("nope",)], "id string")

@@ -33,7 +33,7 @@ def hybrid_context(questions, memory, web):
             .withColumn("web", F.when(wanted, F.coalesce("web", F.lit(""))).otherwise("")))
 
 
-def context_bundle(rows, as_of, zone="UTC", wordlist=None):
+def context_bundle(rows, as_of, wordlist, zone="UTC"):
     """Clock line, cleaned and scrubbed memory, web and conflicts, as one text
     per query."""
     clean = redact.scrub_with(rows.withColumn("memory", clean_memory("memory")), wordlist, "query_id", "memory")

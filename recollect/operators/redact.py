@@ -90,6 +90,8 @@ def scrub_seed_phrases(docs, wordlist, key, text="text", max_set=WORDLIST_MAX):
     words = wordlist.select("word").distinct().limit(max_set + 1).collect()  # bounded
     if len(words) <= max_set:
         return _scrub_with_set(docs, frozenset(r["word"] for r in words), text)
+    if docs.isStreaming:
+        raise ValueError(f"a stream takes a list of at most {max_set} words")
     return _scrub_with_join(docs, wordlist, key, text)
 
 
@@ -117,13 +119,13 @@ def secret_summary(docs, wordlist, key, by):
 
 
 def scrub_with(docs, wordlist, key, text="text"):
-    """R1, or its token and card stages alone where no word list is given."""
-    if wordlist is not None:
-        docs = scrub_seed_phrases(docs, wordlist, key, text)
+    """Seed phrases, tokens and cards. A caller without a list of seed words says so
+    with an empty one."""
+    docs = scrub_seed_phrases(docs, wordlist, key, text)
     return docs.withColumn(text, R.scrub_tokens(text)).withColumn(text, R.scrub_cards(text))
 
 
-def clipboard_filter(clips, wordlist=None, limit=HOT_ROWS):
+def clipboard_filter(clips, wordlist, limit=HOT_ROWS):
     """Trimmed clipboard texts of useful length, consecutive repeats dropped,
     items with a secret dropped whole.  The repeat check sees secret items too."""
     rows = clips.withColumn("text", T.trim_ws("text")).filter(
@@ -135,7 +137,7 @@ def clipboard_filter(clips, wordlist=None, limit=HOT_ROWS):
     return checked.filter(F.col("_clean") == F.col("text")).drop("_clean")
 
 
-def log_tail_redacted(lines, n, wordlist=None):
+def log_tail_redacted(lines, n, wordlist):
     """The last n log lines (by `seq`), content tails cut, then scrubbed."""
     tail = lines.orderBy(F.col("seq").desc()).limit(n).withColumn("line", R.redact_log_line("line"))
     return scrub_with(tail, wordlist, "seq", "line")

@@ -258,6 +258,13 @@ SEED_CLEAN = ("seedclean", f"""SELECT d.doc_id, d.source, d.lang, coalesce(c.tex
      GROUP BY doc_id, line HAVING bool_or(hit AND len >= 12)) r USING (doc_id, line) GROUP BY doc_id) c USING (doc_id)""")
 
 
+def seed_views(source, key):
+    """View `seeded`: the keys of `source` whose text holds a run of seed words."""
+    return [("ktoks", TOKS[1].replace("sdocs", source).replace("doc_id", key)),
+            ("kislands", ISLANDS[1].replace("toks", "ktoks").replace("doc_id", key)),
+            ("seeded", f"SELECT DISTINCT {key} FROM kislands WHERE hit AND len >= 12")]
+
+
 @query("seed_runs", S.with_views(SECRET_DOCS, WORDS, TOKS, ISLANDS, RUNS, body="SELECT doc_id, line, start, length FROM runs"))
 def seed_runs(spark, d):
     return X.seed_runs(secret_docs(spark, d), wordlist(spark, d), "doc_id").select(
@@ -353,10 +360,10 @@ def clips(spark, d):
    THEN '  copied ' || stream || ' ' || chr(10) ELSE text END''')} AS text FROM l0t WHERE app_name = 'clipboard'"""),
    ("fresh", """SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY stream ORDER BY time_start, seq) AS p
      FROM clips WHERE strlen(text) >= 10) WHERE p IS NULL OR p <> text"""),
-   ("a", f"SELECT *, {scrub_tokens_sql('text')} AS t1 FROM fresh"), body=f"""
-   SELECT stream, id, md5(text) AS text FROM a WHERE {scrub_cards_sql('t1')} = text"""))
+   WORDS, *seed_views("fresh", "seq"), ("a", f"SELECT *, {scrub_tokens_sql('text')} AS t1 FROM fresh"), body=f"""
+   SELECT stream, id, md5(text) AS text FROM a WHERE {scrub_cards_sql('t1')} = text AND seq NOT IN (SELECT seq FROM seeded)"""))
 def clipboard_filter(spark, d):
-    return X.clipboard_filter(clips(spark, d)).select("stream", "id", F.md5("text").alias("text"))
+    return X.clipboard_filter(clips(spark, d), wordlist(spark, d)).select("stream", "id", F.md5("text").alias("text"))
 
 
 @query("seal_open_fields", """SELECT lang, count(*) AS n, count(*) AS opened, count(*) AS sealed, count(*) AS plain_kept,
@@ -398,4 +405,4 @@ def log_line_redact(spark, d):
 @query("log_tail_redacted", S.with_views("l0", LOG, body=f"""SELECT seq, CASE WHEN seq % 4 = 2
    THEN left(line, 8) || ' sent [key redacted] ok' ELSE {CUT_LOG} END AS line FROM logs ORDER BY seq DESC LIMIT 200"""))
 def log_tail_redacted(spark, d):
-    return X.log_tail_redacted(log_lines(spark, d), 200)
+    return X.log_tail_redacted(log_lines(spark, d), 200, wordlist(spark, d))

@@ -13,6 +13,7 @@ from recollect.operators import rollup as G
 from recollect.operators import timeline as W
 from recollect.operators import web as H
 from recollect.plans import sql as S
+from recollect.plans.dedup import wordlist
 from recollect.plans.registry import query
 from recollect.plans.text import ENTITY, NUMS, VAL, CORE, audited, AUDITED
 from recollect.plans.timeline import as_of, ACTIVITY, PHRASES, KEPT, LINE
@@ -282,14 +283,14 @@ BUNDLE = ["qa", "clock", TWO, HYBRID, CLEANED, facts_view("fa", "memory", "clean
 
 @query("context_bundle", S.with_views(*BUNDLE, body="SELECT query_id, bundle FROM bundled"))
 def context_bundle(spark, d):
-    return P.context_bundle(hybrid(spark, d), as_of(spark, d)).select("query_id", "bundle")
+    return P.context_bundle(hybrid(spark, d), as_of(spark, d), wordlist(spark, d)).select("query_id", "bundle")
 
 
 @query("prompt_table", S.with_views(*BUNDLE, body="""SELECT query_id, '<|im_start|>system' || chr(10) || 'Answer briefly.<|im_end|>' || chr(10)
    || '<|im_start|>user' || chr(10) || '<context>' || chr(10) || '[USER PROFILE]' || chr(10) || 'Name: Ann' || chr(10) || chr(10) || left(bundle, 2500) || chr(10)
    || '</context>' || chr(10) || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM bundled"""))
 def prompt_table(spark, d):
-    b = P.context_bundle(hybrid(spark, d), as_of(spark, d))
+    b = P.context_bundle(hybrid(spark, d), as_of(spark, d), wordlist(spark, d))
     return P.prompt_table(b, "Answer briefly.", "[USER PROFILE]\nName: Ann").select("query_id", "prompt")
 
 

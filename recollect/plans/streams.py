@@ -70,7 +70,7 @@ def stream_clipboard_dedup(spark, d):
     m = memory_stream(spark, d, text=True).filter(F.col("app_name") == "clipboard")
     clips = m.withColumn("text", F.when(F.col("seq") % 2 == 0, F.concat(
         L("  copied "), F.col("stream").cast("string"), L(" \n"))).otherwise(F.col("text")))
-    return Z.drain(Z.clipboard(clips), "clipboard").select("stream", "seq", F.md5("text").alias("text"))
+    return Z.drain(Z.clipboard(clips, wordlist(spark, d)), "clipboard").select("stream", "seq", F.md5("text").alias("text"))
 
 
 @query("stream_frame_gate", ORACLES["frame_gate"])

@@ -74,7 +74,7 @@ def stateful(stream, keys, out_schema, state_schema, start, step, order, mode="a
     return stream.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, mode, timeout)
 
 
-def ingest(events, wordlist=None):
+def ingest(events, wordlist):
     """Capture filters, redaction and tags; stateless."""
     keep = ~R.is_private_window("window_title", "app_name") & ~R.is_blacklisted_title("window_title") \
         & ~R.is_messenger_noise("app_name", "window_title")
@@ -137,14 +137,15 @@ def _clip(rows, state):
     return rows[keep][["stream", "time_start", "seq", "text"]], (last,)
 
 
-def clipboard(clips):
+def clipboard(clips, wordlist):
     """Consecutive repeats dropped per stream, then items with a secret."""
     rows = clips.withColumn("text", T.trim_ws("text")).filter(
         F.octet_length("text") >= rules.CLIPBOARD_MIN_BYTES)
     fresh = stateful(rows.select("stream", "time_start", "seq", "text"), ["stream"],
                      "stream bigint, time_start timestamp_ntz, seq bigint, text string", "last string",
                      (None,), _clip, ["time_start", "seq"])
-    return fresh.filter(R.scrub_plain("text") == F.col("text"))
+    clean = scrub_with(fresh.withColumn("_clean", F.col("text")), wordlist, "seq", "_clean")
+    return clean.filter(F.col("_clean") == F.col("text")).drop("_clean")
 
 
 def _frames(rows, state):

@@ -90,7 +90,7 @@ def test_word_list_reaches_every_scrubber(spark):
     rows = spark.createDataFrame([(1, 1, f"copied {run}"), (1, 2, "a plain copied text")], "stream long, seq long, text string") \
         .withColumn("time_start", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     assert [r["seq"] for r in X.clipboard_filter(rows, words).collect()] == [2]
-    assert X.clipboard_filter(rows).count() == 2
+    assert X.clipboard_filter(rows, words.limit(0)).count() == 2
     flags = X.contains_secret(rows, words, "seq").orderBy("seq").collect()
     assert [r["secret"] for r in flags] == [True, False]
     log = X.log_tail_redacted(rows.select("seq", F.col("text").alias("line")), 5, words).orderBy("seq").collect()

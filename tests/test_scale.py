@@ -13,6 +13,7 @@ from recollect.operators import rollup as G
 from recollect.operators import timeline as W
 from recollect.operators.ordered import Ordered
 from recollect.sources import store
+from recollect.plans.dedup import wordlist
 from recollect.sources import views
 
 
@@ -71,7 +72,7 @@ def test_timeline_and_gate_on_hot_keys(spark):
 def test_clipboard_and_notes_on_hot_keys(spark):
     m = one_stream(views.memory(spark, SMALL, text=True)).withColumn(
         "text", F.when(F.col("seq") % 3 == 0, F.lit("same text again")).otherwise(F.substring("text", 1, 30)))
-    a, b = (R.clipboard_filter(m, limit=n) for n in (10**6, 60))
+    a, b = (R.clipboard_filter(m, wordlist(spark, SMALL), limit=n) for n in (10**6, 60))
     assert rows(a, "seq") == rows(b, "seq")
     a, b = (G.rollup_hour_sub_events(m, limit=n) for n in (10**6, 1))
     assert rows(a, "hour", "pos", "id") == rows(b, "hour", "pos", "id")

@@ -7,6 +7,7 @@ from recollect.operators import dedup as D
 from recollect.operators import joins as X
 from recollect.operators import redact as R
 from recollect.operators import rollup as G
+from recollect.plans.dedup import wordlist
 from recollect.sources import views
 from recollect.streaming import jobs as Z
 
@@ -45,8 +46,8 @@ def test_frame_gate(spark, parts):
 
 def test_clipboard(spark, parts):
     clips = lambda m: m.withColumn("text", F.concat(F.lit("copied text "), (F.col("seq") % 5 > 0).cast("string")))
-    s = Z.drain(Z.clipboard(clips(views.memory_of(parts(), spark, SMALL, text=True))), "t")
-    b = R.clipboard_filter(clips(views.memory(spark, SMALL, text=True)))
+    s = Z.drain(Z.clipboard(clips(views.memory_of(parts(), spark, SMALL, text=True)), wordlist(spark, SMALL)), "t")
+    b = R.clipboard_filter(clips(views.memory(spark, SMALL, text=True)), wordlist(spark, SMALL))
     assert rows(s, "stream", "seq", "text") == rows(b, "stream", "seq", "text")
 
 

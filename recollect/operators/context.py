@@ -37,15 +37,16 @@ def context_bundle(rows, as_of, wordlist, zone="UTC"):
     """Clock line, cleaned and scrubbed memory, web and conflicts, as one text
     per query."""
     clean = redact.scrub_with(rows.withColumn("memory", clean_memory("memory")), wordlist, "query_id", "memory")
-    notices = X.conflict_notice(X.detect_conflicts(clean, "query_id", "memory", "web"), "query_id")
+    clean = clean.withColumn("_conflicts", X.row_conflicts("memory", "web"))
     clock = F.concat(F.lit("Local time: "), F.date_format(C.to_local(as_of, zone), "dd.MM.yyyy HH:mm"),
                      F.lit(" (by the clock; says nothing about when the model was made)."))
 
     def part(label, c):
         return F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c)))
 
-    return clean.join(notices, "query_id", "left").withColumn("bundle", F.concat_ws(
-        "\n\n", clock, part("From the screen:\n", "memory"), part("From the web:\n", "web"), "notice"))
+    return clean.withColumn("bundle", F.concat_ws(
+        "\n\n", clock, part("From the screen:\n", "memory"), part("From the web:\n", "web"),
+        X.notice_of(F.col("_conflicts")))).drop("_conflicts")
 
 
 def prompt_table(rows, system, profile=""):

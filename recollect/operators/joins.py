@@ -35,6 +35,34 @@ def detect_conflicts(cases, key, memory, web, cap=5):
             .filter(F.col("rank") <= cap))
 
 
+def first_facts(text):
+    """X1 in a row: word -> the first value with a digit that follows it."""
+    pairs = T.let(T.words(text), lambda ws: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(ws) - 2, F.lit(0))),
+        lambda i: F.struct(T.trim_alnum(F.lower(F.get(ws, i))).alias("word"), i.alias("pos"), F.get(ws, i + 1).alias("value"))))
+    hits = F.filter(pairs, lambda p: p["value"].rlike("[0-9]") & (F.octet_length(p["word"]) >= 4))
+    once = T.let(F.array_sort(hits), lambda s: F.filter(
+        s, lambda p, i: (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0)))["word"] != p["word"])))
+    return F.map_from_entries(F.transform(once, lambda p: F.struct(p["word"], p["value"])))
+
+
+def row_conflicts(memory, web, cap=5):
+    """X1 as a column of a row that holds both texts: at most `cap` conflicts, by word."""
+    both = F.map_zip_with(first_facts(memory), first_facts(web), lambda k, a, b: F.when(
+        a != b, F.struct(a.alias("local"), b.alias("web"))))
+    found = F.array_sort(F.filter(F.map_entries(both), lambda e: e["value"].isNotNull()))
+    return F.slice(F.transform(found, lambda e: F.struct(
+        e["key"].alias("word"), e["value"]["local"].alias("local"), e["value"]["web"].alias("web"))), 1, cap)
+
+
+def notice_of(conflicts):
+    """The sentence for an array of conflicts; null where there are none."""
+    items = F.transform(conflicts, lambda c: F.concat(
+        F.lit("«"), c["word"], F.lit("»: local="), c["local"], F.lit(", web="), c["web"]))
+    return F.when(F.size(conflicts) > 0, F.concat(
+        F.lit("Screen and web disagree: "), F.array_join(items, "; "), F.lit(". Name both values.")))
+
+
 def conflict_notice(conflicts, key):
     """The conflicts of a case (five at most) as one sentence."""
     item = F.concat(F.lit("«"), "word", F.lit("»: local="), "local", F.lit(", web="), "web")

@@ -33,6 +33,7 @@ TOKEN_PREFIXES = [
     "sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_",
     "xox", "akey-", "akia", "asia", "ya29.", "aiza", "eyj",
 ]
+# Limits and marks of the redaction.
 TOKEN_MIN_BYTES = 20
 HEX_MIN_CHARS = 48
 EVM_HEX_MIN_CHARS = 40
@@ -67,6 +68,7 @@ VIDEO_SITES = ["youtube", "youtu.be", "twitch", "netflix", "rutube"]
 MUSIC_SITES = ["soundcloud", "spotify", "apple music"]
 CHAT_SITES = ["telegram", "discord", "whatsapp", "vk.com", "slack"]
 SEPARATORS = [" — ", " – ", " - ", " | "]
+# Application groups and limits of the frame rules.
 NON_SCREEN_APPS = ["clipboard", "system", "user"]
 NON_ACTIVITY_APPS = ["dialogue", "qa", "note"]
 SUMMARY_SKIP_APPS = ["clipboard", "system", "analyst", "user", "dialogue"]
@@ -76,6 +78,7 @@ LOOSE_HASH_BITS = 5
 BLOCK_CHANGED_BITS = 5
 DIRTY_RATIO_MIN = 0.05
 LINK_SIMILARITY = 0.90
+# File stems of games, and signs of an anti-cheat in a path.
 GAME_EXES = [
     "valorant-win64-shipping", "valorant", "csgo", "cs2", "league of legends",
     "leagueoflegends", "riotclientservices", "fortniteclient-win64-shipping",
@@ -154,6 +157,7 @@ NAME_QUESTIONS = ["what is my name", "what's my name", "whats my name", "tell me
 IDENTITY_QUESTIONS_EXACT = ["who are you", "what are you", "who r u"]
 IDENTITY_QUESTIONS = ["what is your name", "what's your name", "whats your name",
                       "tell me your name"]
+# Phrases that decide about a web search.
 WEB_REFUSED = ["don't search", "do not search", "no internet", "without internet",
                "offline", "locally", "local only"]
 WEB_LOCAL_ONLY = [
@@ -172,6 +176,7 @@ WEB_WANTED = [
     "when born", "when died", "what year", "biography", "founded in", "year founded",
     "search", "google", "look up", "on the internet", "search the web",
 ]
+# Phrases of the question rules about secrets and reports.
 SECRET_WORDS = [
     "seed phrase", "recovery phrase", "recovery words", "mnemonic", "private key",
     "private keys", "api key", "api keys", "secret key", "password", "passwords",
@@ -189,6 +194,7 @@ REPORT_VERBS = [
 ]
 # Words that may open a question, with a comma after them where one can stand.
 OPENERS = ["hi,", "hey,", "hello,", "ok,", "okay,", "so,", "btw,", "yo", "and"]
+# Leads and stop words of the subject rules.
 PERSON_LEADS = ["who is ", "who was ", "who's ", "who are ", "who were "]
 PERSON_STOP_FIRST = ["he", "she", "they", "it", "i", "you", "we", "the", "a", "an",
                      "my", "your", "his", "her", "their", "this", "that"]
@@ -207,6 +213,7 @@ FACT_LEADS = [
     "who won", "who wrote", "who created", "explain", "describe", "define",
     "when was", "when did", "where is", "where was",
 ]
+# Leads and tails of the statement rules.
 RENAME_LEADS = ["his nickname is ", "her nickname is ", "his name is ",
                 "her name is ", "his nick is ", "her nick is "]
 CLARIFY_LEADS = ["i mean ", "i meant ", "i'm talking about ", "im talking about ",
@@ -220,12 +227,14 @@ COMMAND_TAILS = [
     " look for him", " look for her", " look for them",
 ]
 DANGLING_WORDS = ["and", "then", "so", "now", "also", "plus", "please"]
+# Words that refer back.
 REFERENCE_WORDS = ["it", "its", "that", "this", "these", "those", "they", "them",
                    "their", "there", "he", "she", "his", "her", "more"]
 FOLLOWUP_STARTS = ["how ", "is he", "is she", "was he", "was she", "does he",
                    "does she", "did he", "did she", "what does he", "where is he",
                    "when did he"]
 THIRD_PERSON_CUES = ["he ", "she ", " he", " she", "his ", "her ", "him", "them", "their"]
+# Words that make a question current or local.
 FORCE_ONLINE = ["openai", "news", "today", "latest", "weather", "price"]
 LOCATION_WORDS = ["weather", "forecast", "traffic", "news"]
 

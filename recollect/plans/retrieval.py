@@ -31,19 +31,18 @@ def levels1(spark, d):
 
 L1 = ("l1", """SELECT epoch_us(time_start) // 3600000000 AS seq, min(time_start) AS time_start,
    left(coalesce(string_agg(text, ' ' ORDER BY time_start, seq) FILTER (text <> ''), ''), 200) AS preview,
-   arg_max(embedding, time_start) AS embedding FROM l0tv GROUP BY 1""".replace("min(time_start)", "min(l0tv.time_start)")
+   arg_max(vec, time_start) AS vec FROM l0tv GROUP BY 1""".replace("min(time_start)", "min(l0tv.time_start)")
       .replace("epoch_us(time_start)", "epoch_us(l0tv.time_start)").replace("ORDER BY time_start, seq", "ORDER BY l0tv.time_start, l0tv.seq")
-      .replace("arg_max(embedding, time_start)", "arg_max(l0tv.embedding, l0tv.time_start)"))
+      .replace("arg_max(vec, time_start)", "arg_max(l0tv.vec, l0tv.time_start)"))
 
 
 def near(name, src, k, cond="true", queries="questions"):
     """View of the k nearest rows of `src` for each question, by squared distance."""
     return (name, f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, seq) AS rank FROM (
-   SELECT q.query_id, m.seq, vd.dist FROM {queries} q JOIN (SELECT seq, embedding FROM {src} WHERE {cond}) m ON true
-   JOIN (SELECT a.query_id, b.embedding, list_sum(list_transform(list_zip(a.embedding, b.embedding),
+   SELECT vd.query_id, m.seq, vd.dist FROM (SELECT seq, vec FROM {src} WHERE {cond}) m
+   JOIN (SELECT a.query_id, b.vec_id AS vec, list_sum(list_transform(list_zip(a.embedding, b.embedding),
      lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist
-     FROM {queries} a, (SELECT DISTINCT embedding FROM {src}) b) vd
-     ON vd.query_id = q.query_id AND vd.embedding = m.embedding)) WHERE rank <= {k}""")
+     FROM {queries} a, embeddings b) vd ON vd.vec = m.vec)) WHERE rank <= {k}""")
 
 
 @query("knn_filtered", S.with_views("questions", "l0v", near("n", "l0v", 10, "app_name <> 'clipboard'"), body="""

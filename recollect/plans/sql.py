@@ -78,9 +78,9 @@ VIEWS = {
     "l0": f"SELECT {_BASE} FROM events",
     "l0t": f"""SELECT {_BASE}, coalesce(d.text, '') AS text FROM events e
       LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)""",
-    "l0v": f"""SELECT {_BASE}, v.embedding FROM events e
+    "l0v": f"""SELECT {_BASE}, v.embedding, v.vec_id AS vec FROM events e
       LEFT JOIN embeddings v ON v.vec_id = {_VEC}""",
-    "l0tv": f"""SELECT {_BASE}, coalesce(d.text, '') AS text, v.embedding FROM events e
+    "l0tv": f"""SELECT {_BASE}, coalesce(d.text, '') AS text, v.embedding, v.vec_id AS vec FROM events e
       LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
       LEFT JOIN embeddings v ON v.vec_id = {_VEC}""",
     "clock": "SELECT max(ts) AS as_of FROM events",

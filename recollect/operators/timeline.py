@@ -13,7 +13,6 @@ from recollect.functions import times as C
 from recollect.operators.ordered import HOT_ROWS, Ordered
 
 # Recent windows tried, in days, before the whole table is read.
-WINDOW_DAYS = (1, 8, 64)
 SERVICE_SCHEMA = "pos int, service string, label string, kind string, alias string"
 
 
@@ -80,9 +79,8 @@ def collapse_consecutive(activity, keys=(), limit=HOT_ROWS):
 def iron_log(memory, n, as_of, zone="UTC", own_markers=(), limit=HOT_ROWS):
     """The newest n distinct-in-a-row phrases as log lines.
 
-    Whether a row is kept depends on the next newer row only, so a recent window
-    that yields n lines gives the exact answer.  The window grows until it does;
-    old partitions are read only if the log needs them."""
+    Whether a row is kept depends on the next newer row only, so the newest m rows
+    give the exact answer if they yield n lines; m grows until they do."""
     feed = activity_feed(memory, own_markers)
 
     def log(rows):
@@ -91,12 +89,13 @@ def iron_log(memory, n, as_of, zone="UTC", own_markers=(), limit=HOT_ROWS):
                         F.lit(") — "), F.col("phrase"))
         return kept.orderBy(*newest_first()).limit(n).select("time_start", "seq", "category", line.alias("line"))
 
-    for days in WINDOW_DAYS:
-        since = C.from_micros(C.micros(as_of) - F.lit(days * C.DAY_US).cast("long"))
-        recent = log(feed.filter(F.col("time_start") >= since))
-        if recent.select("seq").count() >= n:
-            return recent
-    return log(feed)
+    m = 16 * n
+    while True:
+        rows = newest(feed, m)
+        lines = log(rows)
+        if lines.select("seq").count() >= n or rows.select("seq").count() < m:
+            return lines
+        m *= 16
 
 
 def top_categories(log, n=2):

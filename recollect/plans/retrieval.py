@@ -298,7 +298,7 @@ def answered(spark, d):
     n = F.col("conv_id") * 10 + F.col("turn")
     return V.qa_pairs(spark, d).select(
         n.alias("query_id"), F.concat(L("what is Zorblat "), n.cast("string")).alias("text"),
-        F.concat(L("<think>a</think><answer>It cost 4200 活 units</answer>")).alias("raw"),
+        F.concat(L("<think>a</think><answer>"), "answer", L(" It cost 4200 活 units</answer>")).alias("raw"),
         F.when(n % 3 == 0, L("")).otherwise(F.col("question")).alias("memory"),
         F.when(n % 4 == 0, L("")).when(n % 4 == 1, F.concat("answer", L(" 4,200 zorblat"))).otherwise(F.col("answer")).alias("web"))
 
@@ -306,17 +306,20 @@ def answered(spark, d):
 @query("answer_postprocess", S.with_views("qa", ("a", """SELECT conv_id * 10 + turn AS query_id, (conv_id * 10 + turn) % 4 AS m, question, answer FROM qa"""),
     ("l", f"SELECT query_id, {S.trim('line')} AS line, min(i) AS i FROM (SELECT query_id, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM a) WHERE {S.trim('line')} <> '' GROUP BY 1, 2"),
     ("b", "SELECT query_id, string_agg(line, chr(10) ORDER BY i) AS body FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 8) GROUP BY 1"), body=f"""
-    SELECT query_id, CASE WHEN m IN (2, 3) THEN {S.lit(rules.NOTICE_UNVERIFIED)} || chr(10) || chr(10) || body ELSE 'It cost 4200  units' END
+    SELECT query_id, CASE WHEN m IN (2, 3) THEN {S.lit(rules.NOTICE_UNVERIFIED)} || chr(10) || chr(10) || body ELSE answer || ' It cost 4200  units' END
       || CASE WHEN m = 1 THEN '' ELSE chr(10) || chr(10) || {S.lit(rules.CAVEAT)} END AS answer FROM a LEFT JOIN b USING (query_id)"""))
 def answer_postprocess(spark, d):
     return P.answer_postprocess(answered(spark, d)).select("query_id", "answer")
 
 
-@query("dialogue_persist", S.with_views("qa", body="""SELECT ts, md5('Q: ' || question || chr(10) || 'A: ' || answer) AS text, 'dialogue' AS app_name FROM (
-   SELECT ts, question, CASE WHEN turn % 4 = 2 THEN 'I couldn''t ' || answer WHEN conv_id % 5 = 0 THEN left(answer, 12) ELSE answer END AS answer FROM qa)
-   WHERE strlen(answer) >= 20 AND NOT starts_with(answer, 'I couldn''t')"""))
+SKIP = S.lit(rules.SKIP_ANSWER_START)
+
+
+@query("dialogue_persist", S.with_views("qa", body=f"""SELECT ts, md5('Q: ' || question || chr(10) || 'A: ' || answer) AS text, 'dialogue' AS app_name FROM (
+   SELECT ts, question, CASE WHEN turn % 4 = 2 THEN {SKIP} || ' ' || answer WHEN conv_id % 5 = 0 THEN left(answer, 12) ELSE answer END AS answer FROM qa)
+   WHERE strlen(answer) >= 20 AND NOT starts_with(answer, {SKIP})"""))
 def dialogue_persist(spark, d):
-    a = F.when(F.col("turn") % 4 == 2, F.concat(L("I couldn't "), "answer")).when(
+    a = F.when(F.col("turn") % 4 == 2, F.concat(L(rules.SKIP_ANSWER_START + " "), "answer")).when(
         F.col("conv_id") % 5 == 0, F.substring("answer", 1, 12)).otherwise(F.col("answer"))
     return P.dialogue_persist(V.qa_pairs(spark, d).withColumn("answer", a)).select("ts", F.md5("text").alias("text"), "app_name")
 

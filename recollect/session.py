@@ -37,7 +37,8 @@ def scratch_dir(spark):
     if not root:
         root = spark.conf.get("recollect.scratch.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("recollect.scratch.dir", root)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recollect import rules
 from recollect.functions import payload as J
+from recollect.functions import privacy as R
 from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators import rollup as G
@@ -15,13 +16,24 @@ from recollect.session import written
 PARTS = ["level", "date"]
 
 
-def read_memory(spark, path):
-    return spark.read.schema(MEMORY).parquet(path)
+def opened(rows, key):
+    """Rows with readable contents; without a key they stay as they are stored."""
+    return rows if key is None else rows.withColumn("data_json", R.open_sealed("data_json", F.lit(key)))
 
 
-def append(rows, path):
+def sealed(rows, key):
+    """R10 at rest: contents sealed where a key is given."""
+    return rows if key is None else rows.withColumn("data_json", R.seal("data_json", F.lit(key)))
+
+
+def read_memory(spark, path, key=None):
+    return opened(spark.read.schema(MEMORY).parquet(path), key)
+
+
+def append(rows, path, key=None):
     """S3: add whole batches of records, partitioned by level and date."""
     out = rows.withColumn("date", F.to_date("time_start")).select(*[f.name for f in MEMORY.fields])
+    out = sealed(out, key)
     # Rows of a date come together, so files are few; a large date is split by size.
     (out.hint("rebalance", *PARTS)
      .write.mode("append").partitionBy(*PARTS).parquet(path))
@@ -107,9 +119,9 @@ def wipe_all(spark, path, archive=None):
     return n
 
 
-def delete_by_tag(spark, path, app="stress_long"):
+def delete_by_tag(spark, path, app="stress_long", key=None):
     """M3: delete level-0 rows of a test app or flagged as a stress row."""
-    v = J.parsed("data_json")
+    v = J.parsed("data_json" if key is None else R.open_sealed("data_json", F.lit(key)))
     hit = (F.col("level") == 0) & (
         F.coalesce(J.string_field(v, "app_name") == app, F.lit(False))
         | F.coalesce(F.try_variant_get(v, "$.is_stress", "boolean"), F.lit(False)))
@@ -127,10 +139,12 @@ def delete_by_ids(spark, path, ids):
 
 # --- archive -------------------------------------------------------------------
 
-def archive_write(rows, path, day):
+def archive_write(rows, path, day, key=None):
     """Add rows to the archive of a day, compressed; rows already there (by
-    id) are not written twice, so a repeated run is harmless."""
+    id) are not written twice, so a repeated run is harmless. With a key, contents
+    are sealed."""
     spark = rows.sparkSession
+    rows = sealed(rows, key)
     out = rows.select(*[f.name for f in ARCHIVE.fields if f.name != "archive_date"]).withColumn(
         "archive_date", F.lit(day).cast("date"))
     if has_rows(spark, path):
@@ -139,7 +153,7 @@ def archive_write(rows, path, day):
     out.write.mode("append").option("compression", "zstd").partitionBy("archive_date", "level").parquet(path)
 
 
-def archive_read(spark, path, json_path=None):
+def archive_read(spark, path, json_path=None, key=None):
     """The archive; older JSON-lines files are added, their broken lines skipped."""
     out = spark.read.schema(ARCHIVE).parquet(path)
     if json_path:
@@ -149,7 +163,7 @@ def archive_read(spark, path, json_path=None):
             "id", C.from_micros(F.col("time_start")).alias("time_start"),
             C.from_micros(F.col("time_end")).alias("time_end"), "level", "data_json",
             F.lit(None).cast("date").alias("archive_date")))
-    return out
+    return opened(out, key)
 
 
 # --- compaction ----------------------------------------------------------------
@@ -174,23 +188,23 @@ def hour_records(memory_rows, embed, limit=HOT_ROWS):
         "time_start", "time_end", F.lit(1).alias("level"), F.lit(False).alias("archived"), "data_json", "embedding")
 
 
-def _roll_up(spark, path, archive, rows, embed):
+def _roll_up(spark, path, archive, rows, embed, key):
     """Records of archived rows that the table still holds, then those rows go."""
     rows = written(rows, "to-compact")
-    fresh = hour_records(rows, embed).join(
+    fresh = sealed(hour_records(opened(rows, key), embed), key).join(
         read_memory(spark, path).filter("level = 1").select("id"), "id", "left_anti")
     append(written(fresh, "l1"), path)
     return delete_by_ids(spark, path, rows)
 
 
-def compact(spark, path, archive, as_of, run_day, embed, include_open=False):
+def compact(spark, path, archive, as_of, run_day, embed, include_open=False, key=None):
     """Roll closed hours up to level 1, archive their rows, then delete them.
 
     The archive says which rows a run has taken on. Rows that an earlier run archived
     but did not finish come first, on their own, with the same members and so the same
     record ids. Rows that arrive later, for hours compacted before or during the run,
     are not among the ids that are deleted; the next run gives them a record of their
-    own."""
+    own. With a key, rows are opened only to make records, and nothing is written open."""
     open_hour = C.from_micros(C.hour_bucket(as_of) * C.HOUR_US)
     closed = F.col("level") == 0
     if not include_open:
@@ -198,10 +212,10 @@ def compact(spark, path, archive, as_of, run_day, embed, include_open=False):
     done = 0
     if has_rows(spark, archive):
         taken = archive_read(spark, archive).select("id").distinct()
-        done += _roll_up(spark, path, archive, read_memory(spark, path).filter(closed).join(taken, "id", "left_semi"), embed)
+        done += _roll_up(spark, path, archive, read_memory(spark, path).filter(closed).join(taken, "id", "left_semi"), embed, key)
     source = written(read_memory(spark, path).filter(closed), "closed")
     archive_write(source, archive, run_day)
-    return done + _roll_up(spark, path, archive, source, embed)
+    return done + _roll_up(spark, path, archive, source, embed, key)
 
 
 # --- sources and sinks around the table ------------------------------------------

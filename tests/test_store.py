@@ -93,6 +93,19 @@ def test_notes_of_a_second_batch_follow(spark, tmp_path):
     assert got == [("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 1, True)]
 
 
+def test_sealed_at_rest(spark, tmp_path):
+    path, archive, key = str(tmp_path / "m"), str(tmp_path / "a"), "0123456789abcdef0123456789abcdef"
+    rows = store.stored(views.memory(spark, SMALL, text=True)).filter("time_start < '2024-01-03'")
+    store.append(rows, path, key)
+    plain = lambda df: sorted((r["id"], r["data_json"]) for r in df.select("id", "data_json").collect())
+    assert plain(store.read_memory(spark, path, key)) == plain(rows)
+    assert store.read_memory(spark, path).filter(~F.col("data_json").startswith("enc1:")).isEmpty()
+    n = store.compact(spark, path, archive, as_of(spark, SMALL), "2024-02-01", embed, key=key)
+    assert n == rows.count() and plain(store.archive_read(spark, archive, key=key)) == plain(rows)
+    assert store.read_memory(spark, path).filter(~F.col("data_json").startswith("enc1:")).isEmpty()
+    assert store.read_memory(spark, path, key).agg(F.sum(F.get_json_object("data_json", "$.count").cast("long"))).first()[0] == n
+
+
 def test_wipe_clears_the_archive(spark, tmp_path):
     path, archive = table(spark, tmp_path), str(tmp_path / "archive")
     store.archive_write(store.read_memory(spark, path), archive, "2024-02-01")

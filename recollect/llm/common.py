@@ -1,6 +1,7 @@
 """Helpers the training-data operators share."""
 
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -13,15 +14,16 @@ def table(spark, sf_dir, name):
 
 
 def stored(df, name):
-    """Written under spark.checkpoint.dir and read back; then the shuffle files of
-    the job are let go, which Spark does once nothing refers to them."""
-    out = written(df, name)
-    release(df.sparkSession)
-    return out
+    """Written under spark.checkpoint.dir and read back: cuts the lineage."""
+    return written(df, name)
 
 
 def release(spark):
+    """Let go of the shuffle files of finished jobs. Spark drops them once the driver's
+    JVM has collected the plans, and Python's references to these go a moment after they
+    are collected here."""
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -38,5 +40,31 @@ def batch(schema, *columns):
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def in_parts(batches, rows=1000):
+    """Arrow batches cut to a size whose texts fit a task's memory more than once."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+class Cache(dict):
+    """What `make` gives for a key, in two generations of at most `entries` keys: a full
+    one becomes the old one, and what is asked for again moves up."""
+
+    def __init__(self, make, entries):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def utf8(value):
     return b"" if value is None else value.encode("utf-8")

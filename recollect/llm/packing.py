@@ -15,49 +15,79 @@ closes a block at `block_tokens`, which bounds its memory.
 """
 
 import zlib
-from itertools import chain
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recollect.llm.common import stored, utf8
+from recollect.llm.common import Cache, in_parts, stored, utf8
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
+MARKER = b"<|"  # added tokens begin so
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which may join letters
+LONGEST = 64  # bytes of a part that is remembered
+LATIN = "\u00ff"
 VOCABULARY = 65536  # ids are held in 16 bits
 NO_PAST = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Coder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so
-    a text is encoded by its white-space separated parts, each once."""
+    """Ids of whole texts, as 16-bit little-endian bytes.
+
+    The tokenizer drops white space and never joins across it, so the white-space
+    separated parts of a text are encoded on their own and remembered."""
 
     def __init__(self, path):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > VOCABULARY:
             raise ValueError("the vocabulary has more than 65536 ids")
-        self.cache = {}
-
-    def parts(self, texts):
-        """Lists of parts, all of them in the cache."""
-        lists = [utf8(t).split() for t in texts]
-        cache = self.cache
-        new = list({w for ws in lists for w in ws if w not in cache})
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list({w for ws in lists for w in ws})
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                cache[w] = e.ids
-        return lists
-
-    def encode(self, texts, end):
-        for words in self.parts(texts):
-            ids = list(chain.from_iterable(map(self.cache.__getitem__, words)))
-            ids.append(end)
-            yield np.array(ids, "<u2")
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.splitter = self.tokenizer.pre_tokenizer
+        self.parts = Cache(self.encode, CACHE_ENTRIES)
+        # The character the pre-tokenizer shows for each byte of such letters.
+        self.shown = {b: chr(b) for b in range(0x61, 0x7B)}
+        for code in range(0xDF, 0x100):
+            for byte, c in zip(chr(code).encode(), self.splitter.pre_tokenize_str(chr(code))[0][0] if chr(code).isalpha() else ""):
+                self.shown[byte] = c
+
+    def encode(self, part):
+        if part.isalpha() and part.islower():  # ASCII letters are one token run
+            return self.run(part.decode())
+        stem = part.rstrip(PUNCTUATION)
+        last = stem.decode("utf-8")[-1:]
+        if len(stem) < len(part) <= LONGEST and MARKER not in part and last <= LATIN and last.isalnum() and last == last.lower():
+            signs = part[len(stem):]  # letters and signs never share a token run
+            return self.parts[stem] + (self.parts[signs] if len(signs) < len(part) else self.split(signs))
+        text = part.decode("utf-8")
+        if text.isalpha() and text.islower() and max(text) <= LATIN:  # nothing to compose, one token run
+            return self.run("".join(map(self.shown.__getitem__, part)))
+        return self.split(part)
+
+    def run(self, text):
+        return array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def split(self, part):
+        text = part.decode("utf-8")
+        if MARKER in part:  # may hold an added token
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.run(p) for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)))
+
+    def text(self, text, end):
+        """Ids of a whole text, then the end id. A-Z are lower-cased early, as the
+        tokenizer does, except where an added token could then be taken for one."""
+        data = utf8(text)
+        data = data if MARKER in data else data.lower()
+        known = self.parts.__getitem__
+        return b"".join([known(p) if len(p) <= LONGEST else self.encode(p) for p in data.split()]) + end
+
+
+@lru_cache(maxsize=1)
+def coder_of(path):
+    """One for each Python worker, which serves many tasks."""
+    return Coder(path)
 
 
 def signature(ids):
@@ -74,12 +104,14 @@ def tokenise(docs, path, end=2):
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder = Coder(path)
-        for b in batches:
-            ids = list(coder.encode(b.column(1).to_pylist(), end))
+        coder = coder_of(path)
+        last = end.to_bytes(2, "little")
+        for b in in_parts(batches):
+            ids = [coder.text(t.as_py(), last) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([signature(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n", "signature"])
+                [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()),
+                 pa.array([signature(np.frombuffer(x, "<u2")) for x in ids], pa.int64())],
+                names=["doc_id", "ids", "n", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, n bigint, signature bigint")
 
@@ -89,9 +121,9 @@ def frequencies(tokens):
 
     def run(batches):
         count = np.zeros(VOCABULARY, np.int64)
-        for b in batches:
-            for ids in b.column(0):
-                count[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+        for b in in_parts(batches):
+            docs = [np.frombuffer(x.as_py(), "<u2") for x in b.column(0)]
+            count += np.bincount(_pairs(docs) % VOCABULARY, minlength=VOCABULARY)
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["id", "df"])
 
@@ -102,23 +134,33 @@ def frequencies(tokens):
     return out
 
 
+def _pairs(docs, counts=False):
+    """document * VOCABULARY + id for the ids of each document, in order, each once."""
+    number = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    small = np.uint32 if len(docs) < VOCABULARY else np.uint64
+    keys = number.astype(small) * small(VOCABULARY) + np.concatenate(docs).astype(small)
+    return np.unique(keys, return_counts=counts)
+
+
 class Index:
     """BM25 postings of a block of documents."""
 
     def __init__(self, docs, idf, mean, k1=1.2, b=0.75):
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        keys = np.repeat(np.arange(len(docs)), lengths) * VOCABULARY + np.concatenate(docs).astype(np.int64)
-        keys, tf = np.unique(keys, return_counts=True)
+        keys, tf = _pairs(docs, counts=True)
         self.n = len(docs)
-        doc, term = keys // VOCABULARY, keys % VOCABULARY
+        doc, term = (keys // VOCABULARY).astype(np.int64), (keys % VOCABULARY).astype(np.uint16)
+        self.terms, self.first = term, np.searchsorted(doc, np.arange(len(docs) + 1))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
+        self.start = np.searchsorted(term[order], np.arange(VOCABULARY))
+        self.start = np.append(self.start, len(term))
 
-    def scores(self, ids):
-        terms = np.unique(ids)
-        spans = [slice(a, z) for a, z in zip(self.start[terms].tolist(), self.start[terms.astype(np.int64) + 1].tolist()) if z > a]
+    def scores(self, seed):
+        """BM25 of every document of the block against the ids of one of them."""
+        terms = self.terms[self.first[seed]:self.first[seed + 1]].astype(np.int64)
+        spans = [slice(a, z) for a, z in zip(self.start[terms].tolist(), self.start[terms + 1].tolist())]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]),
@@ -145,7 +187,7 @@ def pack_block(docs, idf, mean, window):
         rest = (seed, start + length) if start + length < len(docs[seed]) else None
         if room:
             left = np.flatnonzero(unused)
-            ranked = left[np.argsort(-index.scores(docs[seed])[left], kind="stable")]
+            ranked = left[np.argsort(-index.scores(seed)[left], kind="stable")]
             for d in ranked.tolist():
                 length = min(room, len(docs[d]))
                 pieces.append((d, 0, length))

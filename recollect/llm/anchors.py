@@ -9,7 +9,7 @@ anchor form a run; about one run begins every (width - gram + 2) / 2 bytes.
 
 import numpy as np
 
-SEGMENT = 1 << 19  # window starts handled at once; positions must fit PLACE bits
+SEGMENT = 1 << 18  # window starts handled at once; positions must fit PLACE bits
 PLACE = 20
 _MASK = np.uint64((1 << PLACE) - 1)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recollect.llm import anchors
-from recollect.llm.common import release, stored, utf8
+from recollect.llm.common import in_parts, release, stored, utf8
 
 PLACE = ["doc_id", "part", "at"]
 
@@ -65,7 +65,7 @@ def run_rows(base, width, gram):
     """A row per run: lead, whole (content), doc_id, part, at, count (of windows)."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             for data, ends, index, start, begin in _laid_out(_texts(b, 2), width):
                 text, first, last, lead, whole = anchors.runs(data, ends, width, gram)
                 if not len(first):
@@ -153,6 +153,7 @@ def sort_and_compare(rows, buckets, name, with_edges):
     found = stored(rows.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
                    .mapInArrow(_compare(with_edges), SORTED), name)
     spark = rows.sparkSession
+    release(spark)
     # Across borders: two rows per bucket, and for the border keys two counts per bucket.
     ends = {}
     for r in found.where("kind = 2").select("bucket", "head", "lead", "whole").collect():
@@ -183,7 +184,7 @@ def window_rows(docs, edges, width):
     joined = docs.join(lists, ["doc_id", "part"]).select("doc_id", "part", "text", "runs")
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             for i, text in enumerate(_texts(b, 2)):
                 runs = b.column(3)[i].values
                 at, count, lead = (runs.field(k).to_numpy() for k in ("at", "count", "lead"))
@@ -216,7 +217,6 @@ def merge_spans(starts, ends):
 def repeated_spans(docs, width=100, gram=50, bucket_rows=400_000):
     """`doc_id`, `part`, `spans` (array of struct at, count): the repeated windows of
     each document that has some. docs: doc_id, part, text without repeated rows."""
-    spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     density = 2 / (width - gram + 2)
     buckets = max(1, int(size * density / bucket_rows) + 1)
@@ -224,7 +224,6 @@ def repeated_spans(docs, width=100, gram=50, bucket_rows=400_000):
     repeats, edges = sort_and_compare(runs, buckets, "suffix-runs", True)
     windows = window_rows(docs, edges, width)
     more, _ = sort_and_compare(windows, buckets, "suffix-windows", False)
-    release(spark)
     spans = repeats.unionByName(more)
     return spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
 
@@ -256,7 +255,7 @@ def remove_repeats(docs, width=100, gram=50, texts=False):
     last = "kept_text" if texts else "kept_sha256"
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             own, lists = b.column(0), b.column(1)
             out = [[] for _ in range(4)]
             for i, text in enumerate(map(utf8, own.field("text").to_pylist())):

@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 
+from recollect.llm.common import in_parts
+
 # Elements by role, and words in class, id and role that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -266,7 +268,7 @@ def extract_pages(pages):
     kinds = {n: pages.schema[n].dataType.simpleString() for n in ("page_id", "url")}
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             texts = [main_text(h.as_py()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

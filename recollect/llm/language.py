@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from recollect.llm.common import utf8
+from recollect.llm.common import in_parts, utf8
 
 LETTER = re.compile(r"[^\W\d_]")
 BLOCK = 4096
@@ -84,7 +84,7 @@ def identify(docs, train, min_margin=0.005, **sample):
 
     def run(batches):
         models = encoders(dictionaries)
-        for b in batches:
+        for b in in_parts(batches):
             found = [classify(t, models) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],

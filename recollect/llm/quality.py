@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.llm.common import stored, utf8
+from recollect.llm.common import in_parts, stored, utf8
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,8 +57,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RULES = {
     "word_length": ("word_chars * 10000 div n_words", 10000, True),
     "symbols": ("n_symbols * 10000 div word_chars", 200, False),
-    "dup_lines": ("n_dup_lines * 10000 div n_lines", 700, False),
-    "repeats": ("n_repeat_words * 10000 div n_words", 500, False),
+    "dup_lines": ("n_dup_lines * 10000 div n_lines", 1150, False),
+    "repeats": ("n_repeat_words * 10000 div n_words", 650, False),
 }
 
 
@@ -67,7 +67,7 @@ def measures(docs):
     kinds = {n: docs.schema[n].dataType.simpleString() for n in ("doc_id", "lang", "source")}
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             rows = np.array([measure(t.as_py()) for t in b.column(3)], np.int64).reshape(b.num_rows, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, rows.T.copy())],
                                              names=["doc_id", "lang", "source", *COUNTS])

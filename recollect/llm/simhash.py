@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from recollect.llm.bktree import BKTree, forest
-from recollect.llm.common import batch, stored, utf8
+from recollect.llm.common import batch, in_parts, stored, utf8
 from recollect.llm.components import components
 
 BITS = 64
@@ -59,7 +59,7 @@ def fingerprints(docs, shingle=3):
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 

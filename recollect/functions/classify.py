@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from recollect import rules
 from recollect.functions import text as T
-from recollect.functions.text import ALNUM, WS, col, contains_any, starts_any
+from recollect.functions.text import ALNUM, col, contains_any, starts_any
 
 
 def auto_tag(text, app, title):

@@ -1,7 +1,6 @@
 """Column functions on text: cleaning, splitting, titles and small parsers."""
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -318,8 +317,3 @@ def word_set(c):
 def after_lead(c, leads):
     """Text after the leftmost of the leads, ignoring case; '' when none occurs."""
     return F.regexp_extract(col(c), rf"(?is)\A.*?(?:{literal_pattern(leads)})(.*)\z", 1)
-
-
-def reduce_when(pairs, default):
-    """CASE over (condition, value) pairs in order."""
-    return reduce(lambda acc, p: F.when(p[0], p[1]).otherwise(acc), reversed(list(pairs)), default)

@@ -1,7 +1,5 @@
 """Timeline operators: recent activity, snapshots, dialogue history, preferences."""
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators.ordered import HOT_ROWS, Ordered
 
-# Recent windows tried, in days, before the whole table is read.
 SERVICE_SCHEMA = "pos int, service string, label string, kind string, alias string"
 
 

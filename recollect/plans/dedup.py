@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from recollect import rules
-from recollect.functions import classify as K
 from recollect.functions import numbers as N
 from recollect.functions import privacy as R
 from recollect.functions import text as T

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from recollect import rules
-from recollect.functions import numbers as N
 from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators import context as P
@@ -15,7 +14,7 @@ from recollect.operators import web as H
 from recollect.plans import sql as S
 from recollect.plans.dedup import wordlist
 from recollect.plans.registry import query
-from recollect.plans.text import ENTITY, NUMS, VAL, CORE, audited, AUDITED
+from recollect.plans.text import NUMS, VAL, CORE, audited, AUDITED
 from recollect.plans.timeline import as_of, ACTIVITY, PHRASES, KEPT, LINE
 from recollect.sources import views as V
 

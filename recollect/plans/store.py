@@ -4,7 +4,6 @@ Each job writes a table of its own under the scratch folder and reads it back.""
 
 from pyspark.sql import functions as F
 
-from recollect import rules
 from recollect.functions import payload as J
 from recollect.functions import times as C
 from recollect.operators import retrieval as RV

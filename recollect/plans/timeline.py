@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 from recollect import rules
 from recollect.functions import classify as K
-from recollect.functions import payload as J
-from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators import rollup as G
 from recollect.operators import timeline as W

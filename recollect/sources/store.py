@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from recollect import rules
 from recollect.functions import payload as J
 from recollect.functions import privacy as R
 from recollect.functions import text as T

@@ -18,7 +18,7 @@ def op3_sharding(spark, sf_dir):
     keys = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text_of("text")) + 8).cast("long").alias("size"),
         F.crc32(text_of("text").cast("binary")).alias("text_crc32"))
-    return assign(keys, shards=24).select(
+    return assign(keys, shards=24, tied=True).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 

@@ -29,17 +29,24 @@ def place(column):
     return F.conv(hexadecimal, 16, 10).cast("long")
 
 
-def ring(spark, shards, replicas):
-    """One row: the shards of all points in clockwise order, and their places."""
+def ring(spark, shards, replicas, tied=False):
+    """One row: the shards of all points in clockwise order, and their places.
+
+    tied: a point is named by its shard and its number within that, so a further shard
+    only adds points. Otherwise points are numbered through and dealt to the shards in
+    turn, and a further shard gives nearly all of them another owner.
+    """
+    owner, own = F.floor(F.col("id") / replicas), F.col("id") % replicas
+    name = F.concat(F.lit("shard-"), owner, F.lit("-"), own) if tied else F.concat(F.lit("shard-"), F.col("id"))
     points = spark.range(shards * replicas).select(
-        place(F.concat(F.lit("shard-"), F.col("id"))).alias("at"), (F.col("id") % shards).cast("int").alias("shard"))
+        place(name).alias("at"), (owner if tied else F.col("id") % shards).cast("int").alias("shard"))
     return points.groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "shard"))).alias("points"))
 
 
-def arcs(spark, shards, replicas):
+def arcs(spark, shards, replicas, tied=False):
     """Arc number and place range by cell, for an equality join that a range then narrows."""
-    points = ring(spark, shards, replicas).select(F.posexplode("points").alias("arc", "p"), F.size("points").alias("n"),
-                                                  "points")
+    points = ring(spark, shards, replicas, tied).select(F.posexplode("points").alias("arc", "p"),
+                                                        F.size("points").alias("n"), "points")
     before = F.when(F.col("arc") == 0, F.lit(-1)).otherwise(F.get("points", F.col("arc") - 1)["at"])
     own = points.select("arc", (before + 1).alias("lo"), F.col("p.at").alias("hi"))
     wrap = points.where(F.col("arc") == F.col("n") - 1).select(
@@ -71,12 +78,13 @@ aggregate(
 """
 
 
-def assign(keys, shards=24, replicas=64, slack=0.0, part_rows=4096):
+def assign(keys, shards=24, replicas=64, slack=0.0, part_rows=4096, tied=False):
     """Put rows into shards.
 
     keys: any frame with `doc_id`, `size`, `text_crc32`; other columns are left out.
     Returns one row per row: those three, `shard`, `slot` (gapless from 0 in a shard).
     slack: room above the even share, as a part of it; 0 gives counts at most one apart.
+    tied: see `ring`; needed wherever the number of shards may change.
 
     A null doc_id stands where the empty text stands. Repeated rows are told apart by
     a running number and may lie in different shards. Ties on the ring are broken by
@@ -86,7 +94,7 @@ def assign(keys, shards=24, replicas=64, slack=0.0, part_rows=4096):
     rows = stored(
         keys.select("doc_id", "size", "text_crc32").groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("at", place(F.col("doc_id"))).withColumn("cell", F.shiftright("at", RING_BITS - CELL_BITS))
-        .join(F.broadcast(arcs(spark, shards, replicas)), "cell").where("at between lo and hi")
+        .join(F.broadcast(arcs(spark, shards, replicas, tied)), "cell").where("at between lo and hi")
         .drop("cell", "lo", "hi"), "ring-keys")
     total = rows.agg(F.sum("copies")).first()[0] or 0
     parts_bits = min(40, max(0, (total // part_rows).bit_length()))
@@ -101,19 +109,19 @@ def assign(keys, shards=24, replicas=64, slack=0.0, part_rows=4096):
     ranked = ranked.withColumn("rank", F.explode(F.sequence(
         F.col("start") + F.col("rank"), F.col("start") + F.col("rank") + F.col("copies") - 1)))
 
-    return ranked.join(F.broadcast(pieces(rows, total, shards, replicas, slack)), "arc").where(
+    return ranked.join(F.broadcast(pieces(rows, total, shards, replicas, slack, tied)), "arc").where(
         "rank >= lo and rank < hi").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
-def pieces(rows, total, shards, replicas, slack):
+def pieces(rows, total, shards, replicas, slack, tied=False):
     """Which ranks of each arc go to which shard, and the slot of the first of them."""
     spark = rows.sparkSession
     even, more = divmod(total, shards)
     room = [max(int(-(-total * (1 + slack) // shards)), even + (s < more)) if slack else even + (s < more)
             for s in range(shards)]
     per_arc = rows.groupBy("arc").agg(F.sum("copies").alias("n"))
-    owner = ring(spark, shards, replicas).select(F.posexplode("points").alias("arc", "p")).select("arc", "p.shard")
+    owner = ring(spark, shards, replicas, tied).select(F.posexplode("points").alias("arc", "p")).select("arc", "p.shard")
     filled = owner.join(per_arc, "arc", "left").select("arc", "shard", F.coalesce("n", F.lit(0)).alias("n"))
     both = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("arc", "shard", "n"))).alias("arcs")).select(
         F.transform("arcs", lambda x: x["n"]).alias("counts"), F.transform("arcs", lambda x: x["shard"]).alias("owners"))

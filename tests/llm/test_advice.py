@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_contracts import SMALL, rows_of
 
 from recollect.llm import sharding
+from recollect.llm.language import classify, encoders, identify, is_held_out, learn
 from recollect.llm.queries import QUERIES
 
 
@@ -43,3 +44,21 @@ def test_sharding_query_uses_the_tied_ring(spark):
     ids = [r["doc_id"] for r in rows_of(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id"))]
     assert len(set(ids)) == len(ids)
     assert {r["doc_id"]: r["shard"] for r in rows_of(QUERIES["op3_sharding"](spark, SMALL))} == brute_tied(ids, 24, 64)
+
+
+# 10 language
+
+def test_short_texts_find_their_language(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 50 or doc_id % 7 = 0")
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(~is_held_out())
+    got = [r for r in rows_of(identify(df.select("doc_id", "text", F.col("lang").alias("truth")), train)) if r["lang_pred"] != "und"]
+    for rows in (got, [r for r in got if len(r["text"]) < 50]):
+        assert len(rows) > 5 and sum(r["accepted"] for r in rows) >= 0.9 * len(rows)
+        assert sum(r["accepted"] and r["lang_pred"] == r["truth"] for r in rows) >= 0.85 * len(rows)
+
+
+def test_ties_of_whole_bytes_are_measured_again(spark):
+    models = encoders(learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(~is_held_out())))
+    tie = "Anouble thwh."
+    assert len({len(m.compress(tie.lower().encode())) for _, m, _ in models}) == 1
+    assert classify(tie, models)[0] == "en" and classify(tie, models)[1] >= 0.005

@@ -20,6 +20,7 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "head title script style noscript template nav footer aside form button select textarea input option fieldset "
     "iframe object embed applet svg math canvas audio video map menu dialog datalist".split())
+WRAPPERS = frozenset("form fieldset".split())  # may hold a whole page
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
@@ -33,6 +34,9 @@ FURNITURE = frozenset(
     "pagination popup popups promo promoted promotion recommend recommended recommendations related replies respond "
     "rss search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored sponsors subscribe "
     "subscription taboola tags toolbar topbar widget widgets alert warning disclaimer navlinks sitemap teaser".split())
+REPLIES = frozenset("comment comments commentlist disqus replies respond".split())
+LITTLE = 1 / 3  # of a page's paragraph text: a wrapper or a container with such a name that holds more stays
+NEARLY_ALL = 0.9  # the same for replies, which often outweigh an article
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 UNFINISHED = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
@@ -117,26 +121,52 @@ def _names(attrs):
 
 
 def prune(root):
-    """Take out what is never article text."""
+    """Take out what is never article text.
+
+    Forms and containers named like furniture may be wrapped around an article, so they
+    go by the share they hold of the paragraph text that the step before has left."""
     holds = {}  # an article's title or the main part lies below
     for node in reversed(list(walk(root))):
         holds[id(node)] = any(x.tag in ("main", "h1") or holds[id(x)] for x in node.nodes())
+    _without(root, lambda x, inside: _never_text(x, inside))
+    for names, share in ((REPLIES, NEARLY_ALL), (FURNITURE - REPLIES, LITTLE)):
+        own = _prose(root)
+        most = share * own[id(root)]
+        _without(root, lambda x, inside: own[id(x)] <= most and (
+            names is not REPLIES and x.tag in WRAPPERS or not holds[id(x)] and _named(x, names)))
+    for node in [x for x in walk(root) if x.tag in WRAPPERS]:  # only their controls go
+        _without(node, lambda x, inside: x.tag in ("label", "legend"))
+
+
+def _without(root, gone):
+    """Take out the nodes below root for which gone(node, inside an article) holds."""
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.items = [x for x in node.items if isinstance(x, str) or not _furniture(x, inside, holds[id(x)])]
+        node.items = [x for x in node.items if isinstance(x, str) or not gone(x, inside)]
         stack.extend((x, inside) for x in node.nodes())
 
 
-def _furniture(node, inside, holds_title):
-    if node.tag in DROPPED or node.tag == "header" and not inside:
+def _prose(root):
+    """Unlinked text in paragraphs below each node; of a page without any: all unlinked text."""
+    sizes = _measure(root)
+    own = {}
+    for node in reversed(list(walk(root))):
+        text, link = sizes[id(node)]
+        own[id(node)] = text - link if node.tag in PARAGRAPHS else sum(own[id(x)] for x in node.nodes() if x.tag != "a")
+    return own if own[id(root)] else {k: text - link for k, (text, link) in sizes.items()}
+
+
+def _named(node, names):
+    return node.tag not in ("body", "main") and bool(names.intersection(_names(node.attrs)))
+
+
+def _never_text(node, inside):
+    if node.tag in DROPPED and node.tag not in WRAPPERS or node.tag == "header" and (not inside or _named(node, FURNITURE)):
         return True
     style = node.attrs.get("style")
-    if "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or style and HIDDEN.search(style):
-        return True
-    named = node.tag not in ("body", "main") and FURNITURE.intersection(_names(node.attrs))
-    return bool(named) and (node.tag == "header" or not holds_title)
+    return "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or bool(style and HIDDEN.search(style))
 
 
 def _measure(root):
@@ -237,19 +267,21 @@ def main_nodes(root):
         best, high = up, max(high, up.points)
     if best.parent is None:
         return [best]
-    out = []
-    for x in best.parent.nodes():
-        if x is best:
-            out.append(x)
+    kept = []
+    around = best.parent.items
+    for i, x in enumerate(around):
+        if isinstance(x, str):
             continue
         text, _ = sizes[id(x)]
         links = density(x, sizes)
         like = x.points * (1.0 - links) >= max(10.0, 0.2 * high) and x.tag in CONTAINERS
         prose = x.tag == "p" and (text > 80 and links < 0.25 or 0 < text <= 80 and links == 0)
         title = x.tag in ("h1", "h2", "h3") and not links
-        if like or prose or title:
-            out.append(x)
-    return out
+        if x is best or like or prose or title:
+            kept.append(i)
+    # Between them, whatever is not mostly links: lists, tables, short sections, bare text.
+    return [x for i, x in enumerate(around[kept[0]:kept[-1] + 1], kept[0])
+            if i in kept or isinstance(x, str) or density(x, sizes) < 0.25]
 
 
 def main_text(html):

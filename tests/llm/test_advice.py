@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 from test_contracts import SMALL, rows_of
 
-from recollect.llm import sharding
+from recollect.llm import html, sharding
 from recollect.llm.language import classify, encoders, identify, is_held_out, learn
 from recollect.llm.queries import QUERIES
 
@@ -62,3 +62,26 @@ def test_ties_of_whole_bytes_are_measured_again(spark):
     tie = "Anouble thwh."
     assert len({len(m.compress(tie.lower().encode())) for _, m, _ in models}) == 1
     assert classify(tie, models)[0] == "en" and classify(tie, models)[1] >= 0.005
+
+
+# 6 extraction
+
+LONG = ["The first paragraph of the article, long enough, with commas, to count.", "Another one, also long, which belongs to it, of course."]
+BODY = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+def test_wrapped_articles_stay():
+    form = f'<body><form id="aspnetForm"><label>Find</label><input><button>Go</button><div class="search">Search</div><h1>T</h1>{BODY}</form></body>'
+    for page in (form, form.replace("form", "fieldset"), f'<body><div class="content has-sidebar"><h2>T</h2>{BODY}</div></body>',
+                 f'<body><article class="post category-social"><h2>T</h2>{BODY}</article></body>'):
+        assert html.main_text(page).split("\n\n") == ["T", *LONG], page
+    furniture = f'<form><p>Sign up, now.</p></form><div class="promo"><p>Buy this.</p></div><div class="comments">{"<p>Nice, I like it.</p>" * 30}</div>'
+    page = f'<body><div class="content has-sidebar"><h2>T</h2>{BODY}{furniture}</div></body>'
+    assert html.main_text(page).split("\n\n") == ["T", *LONG]
+
+
+def test_siblings_between_sections_stay():
+    more = "<ul><li>Item</li></ul><section><p>Short one.</p></section><pre>code</pre><table><tr><td>Cell</td></tr></table>"
+    links = "<ul><li><a href=a>Elsewhere</a></li></ul>"
+    page = f"<body><section>{BODY * 4}</section>{more}{links}<section>{BODY * 2}</section></body>"
+    assert html.main_text(page).split("\n\n") == LONG * 4 + ["Item", "Short one.", "code", "Cell"] + LONG * 2

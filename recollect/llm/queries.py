@@ -69,6 +69,22 @@ def op10_language_id(spark, sf_dir):
     return out.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_centroids(spark, sf_dir):
+    from recollect.llm.centroids import cluster
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark, sf_dir):
+    from recollect.llm.multiset import edited_fingerprints
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_whitening(spark, sf_dir):
+    from recollect.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_packing, op3_sharding, op4_suffix_dedup, op5_quality_rules, op6_html_extraction, op7_simhash,
-    op8_top_k, op9_sentencepiece, op10_language_id)}
+    op8_top_k, op9_sentencepiece, op10_language_id, op11_centroids,
+    op12_fingerprints, op13_whitening)}

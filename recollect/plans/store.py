@@ -117,6 +117,32 @@ def compaction_job(spark, d):
         L(9).alias("level"), L(0).cast("long").alias("n"), F.count(L(1)).alias("members")))
 
 
+@query("week_compaction_job", S.with_views("l0t", "clock", ("hours", """SELECT epoch_us(l0t.time_start) // 3600000000 AS hour,
+   min(l0t.time_start) AS time_start, max(l0t.time_end) AS time_end,
+   left(coalesce(string_agg(text, ' ' ORDER BY l0t.time_start, seq) FILTER (text <> ''), ''), 200) AS preview
+   FROM l0t, clock WHERE epoch_us(l0t.time_start) // 3600000000 < epoch_us(as_of) // 3600000000 GROUP BY 1"""), ("weeks", """
+   SELECT epoch_us(h.time_start) // 604800000000 AS week, min(h.time_start) AS time_start, max(h.time_end) AS time_end, count(*) AS count,
+     (epoch_us(max(h.time_end)) - epoch_us(min(h.time_start))) // 86400000000 AS span_days,
+     md5(left(string_agg(preview, chr(10) ORDER BY h.time_start, hour), 300)) AS summary
+   FROM hours h GROUP BY 1 HAVING count(*) >= 3 AND (SELECT count(*) FROM hours) >= 5"""), body="""
+   SELECT w.*, (SELECT count(*) FROM hours) - (SELECT sum(count) FROM weeks) AS hours_left, (SELECT sum(count) FROM weeks) AS hours_archived
+   FROM weeks w"""))
+def week_compaction_job(spark, d):
+    """Both levels of compaction over a stored table; the week records as they stand there."""
+    path, archive = fresh_table(spark, d, "weeks"), scratch_path(spark, "weeks-archive")
+    embed = lambda t, c: RV.embed_text(t, c)
+    D.compact(spark, path, archive, as_of(spark, d), "2024-02-01", embed)
+    D.compact_weeks(spark, path, archive, "2024-02-02", embed)
+    v = J.parsed("data_json")
+    left = D.read_memory(spark, path).agg(F.count_if(F.col("level") == 1).alias("hours_left"))
+    kept = D.archive_read(spark, archive).agg(F.count_if(F.col("level") == 1).alias("hours_archived"))
+    weeks = D.read_memory(spark, path).filter("level = 2").select(
+        C.week_bucket("time_start").alias("week"), "time_start", "time_end",
+        *[F.try_variant_get(v, f"$.{c}", "bigint").alias(c) for c in ("count", "span_days")],
+        F.md5(F.try_variant_get(v, "$.summary", "string")).alias("summary"))
+    return weeks.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(kept))  # one row each
+
+
 @query("storage_usage")
 def storage_usage(spark, d):
     return D.storage_usage(spark, d)

@@ -1,5 +1,7 @@
 """The memory table on disk: append, forget, archive, compact, export."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recollect.functions import payload as J
@@ -11,6 +13,8 @@ from recollect.operators.ordered import HOT_ROWS, Ordered
 from recollect.operators.timeline import newest
 from recollect.schema import ARCHIVE, MEMORY
 from recollect.session import written
+from recollect.sources import changes
+from recollect.sources.changes import entries, file_of, folder, recover, rewrite
 
 PARTS = ["level", "date"]
 
@@ -29,13 +33,26 @@ def read_memory(spark, path, key=None):
     return opened(spark.read.schema(MEMORY).parquet(path), key)
 
 
-def append(rows, path, key=None):
-    """S3: add whole batches of records, partitioned by level and date."""
+def append(rows, path, key=None, run=None):
+    """S3: add whole batches of records, partitioned by level and date.
+
+    run: (name, number) of a batch whose repetition must change nothing; the numbers of a
+    name rise."""
     out = rows.withColumn("date", F.to_date("time_start")).select(*[f.name for f in MEMORY.fields])
     out = sealed(out, key)
+    if run:
+        return changes.append_once(out, path, *run, PARTS)
     # Rows of a date come together, so files are few; a large date is split by size.
-    (out.hint("rebalance", *PARTS)
-     .write.mode("append").partitionBy(*PARTS).parquet(path))
+    out.hint("rebalance", *PARTS).write.mode("append").partitionBy(*PARTS).parquet(path)
+    return True
+
+
+def sink(path, run, key=None):
+    """For `foreachBatch`: every batch of a stream enters the table exactly once. A run
+    belongs to one checkpoint of the stream."""
+    def save(batch, number):
+        append(batch, path, key, (run, number))
+    return save
 
 
 def stored(memory):
@@ -62,59 +79,52 @@ def add_event(events):
 
 # --- deletion ------------------------------------------------------------------
 
-def _folder(spark, path):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def has_rows(spark, path):
     """Whether a folder holds partitions or files yet."""
-    fs, root = _folder(spark, path)
-    return fs.exists(root) and any(not e.getPath().getName().startswith("_") for e in fs.listStatus(root))
-
-
-def _drop_dirs(spark, path, parts):
-    for p in parts:
-        fs, target = _folder(spark, f"{path}/level={p['level']}/date={p['date']}")
-        fs.delete(target, True)
+    return any(not name.startswith("_") for name in entries(spark, path))
 
 
 def _delete(spark, path, find, keep):
-    """Rewrite only the partitions that hold doomed rows; returns their number.
-
-    Kept rows are written out before anything is replaced, so a lost executor
-    or a failed job loses nothing."""
-    doomed = find(read_memory(spark, path))
-    hit = doomed.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
+    """Rewrite the files that hold doomed rows; returns the number of these rows.
+
+    The kept rows of those files are written first and then replace just the files that were
+    read: rows that others append meanwhile are in files of their own and stay. A failed job
+    leaves the table as it was or is ended by the next change (see `changes`)."""
+    recover(spark, path)
+    doomed = find(read_memory(spark, path).withColumn("_file", file_of()))
+    hit = doomed.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per file that changes
     if not hit:
         return 0
-    touched = spark.createDataFrame([(r["level"], r["date"]) for r in hit], "level int, date date")
-    rows = read_memory(spark, path).filter(
-        F.col("date").between(min(r["date"] for r in hit), max(r["date"] for r in hit)))
-    rows = rows.join(F.broadcast(touched), PARTS, "left_semi")  # at most one row per partition
-    kept = written(keep(rows).select(*[f.name for f in MEMORY.fields]), "kept")
-    left = {(r["level"], r["date"]) for r in kept.select(*PARTS).distinct().collect()}
-    (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*PARTS).parquet(path))
-    _drop_dirs(spark, path, [r for r in hit if (r["level"], r["date"]) not in left])
+
+    def kept(files):
+        rows = spark.read.schema(MEMORY).option("basePath", path).parquet(*files)
+        return keep(rows).select(*[f.name for f in MEMORY.fields])
+
+    rewrite(spark, path, uuid.uuid4().hex, PARTS, [r["_file"] for r in hit], kept)
     return sum(r["n"] for r in hit)
 
 
+def _delete_where(spark, path, doomed):
+    doomed = F.coalesce(doomed, F.lit(False))  # a row that cannot be judged stays
+    return _delete(spark, path, lambda t: t.filter(doomed), lambda t: t.filter(~doomed))
+
+
 def forget_recent(spark, path, as_of, minutes=15):
     """M1: delete level-0 rows that began in the last `minutes`."""
     since = C.from_micros(C.micros(as_of) - F.lit(minutes * 60_000_000).cast("long"))
     doomed = (F.col("level") == 0) & (F.col("date") >= F.to_date(since)) & (F.col("time_start") >= since)
-    return _delete(spark, path, lambda t: t.filter(doomed), lambda t: t.filter(~doomed))
+    return _delete_where(spark, path, doomed)
 
 
 def wipe_all(spark, path, archive=None):
     """M2: delete every row of the table and of its archive; returns the table's row count."""
+    recover(spark, path)
     n = read_memory(spark, path).count()
-    for folder in [path] + ([archive] if archive else []):
-        fs, root = _folder(spark, folder)
-        if fs.exists(root):
-            for entry in fs.listStatus(root):
-                fs.delete(entry.getPath(), True)
+    for root in [path] + ([archive] if archive else []):
+        for name in entries(spark, root):
+            if name != changes.DONE:  # batches that were added stay known
+                fs, entry = folder(spark, f"{root}/{name}")
+                fs.delete(entry, True)
     return n
 
 
@@ -124,7 +134,7 @@ def delete_by_tag(spark, path, app="stress_long", key=None):
     hit = (F.col("level") == 0) & (
         F.coalesce(J.string_field(v, "app_name") == app, F.lit(False))
         | F.coalesce(F.try_variant_get(v, "$.is_stress", "boolean"), F.lit(False)))
-    return _delete(spark, path, lambda t: t.filter(hit), lambda t: t.filter(~hit))
+    return _delete_where(spark, path, hit)
 
 
 def delete_by_ids(spark, path, ids):
@@ -187,34 +197,79 @@ def hour_records(memory_rows, embed, limit=HOT_ROWS):
         "time_start", "time_end", F.lit(1).alias("level"), F.lit(False).alias("archived"), "data_json", "embedding")
 
 
-def _roll_up(spark, path, archive, rows, embed, key):
+def week_records(hour_rows, embed):
+    """Level-2 records of level-1 table rows. A record's id holds a digest of the week's
+    members, so other members give another record."""
+    v = J.parsed("data_json")
+    rows = hour_rows.select("id", "time_start", "time_end", F.col("id").alias("hour"),
+                            J.text_preview("data_json", v).alias("preview"))
+    digest = rows.groupBy(C.week_bucket("time_start").alias("week")).agg(F.hex(F.bit_xor(F.xxhash64("id"))).alias("members"))
+    heads = G.rollup_week_l2(rows, 1, 1).join(digest, "week")
+    out = embed(heads.withColumn("_text", F.concat(F.lit("Topic node: "), "summary")), "_text")
+    return out.select(
+        F.concat_ws("-", F.concat(F.lit("w"), F.col("week")), "members").alias("id"), "time_start", "time_end",
+        F.lit(2).alias("level"), F.lit(False).alias("archived"),
+        F.to_json(F.struct("summary", "span_days", "count")).alias("data_json"), "embedding")
+
+
+def _roll_up(spark, path, rows, records, level, key):
     """Records of archived rows that the table still holds, then those rows go."""
     rows = written(rows, "to-compact")
-    fresh = sealed(hour_records(opened(rows, key), embed), key).join(
-        read_memory(spark, path).filter("level = 1").select("id"), "id", "left_anti")
-    append(written(fresh, "l1"), path)
+    fresh = sealed(records(opened(rows, key)), key).join(
+        read_memory(spark, path).filter(F.col("level") == level).select("id"), "id", "left_anti")
+    append(written(fresh, "records"), path)
     return delete_by_ids(spark, path, rows)
 
 
-def compact(spark, path, archive, as_of, run_day, embed, include_open=False, key=None):
-    """Roll closed hours up to level 1, archive their rows, then delete them.
+def _compact(spark, path, archive, chosen, level, records, run_day, key):
+    """Roll rows of a level up to the next, archive them, then delete them.
 
-    The archive says which rows a run has taken on. Rows that an earlier run archived
-    but did not finish come first, on their own, with the same members and so the same
-    record ids. Rows that arrive later, for hours compacted before or during the run,
-    are not among the ids that are deleted; the next run gives them a record of their
-    own. With a key, rows are opened only to make records, and nothing is written open."""
-    open_hour = C.from_micros(C.hour_bucket(as_of) * C.HOUR_US)
-    closed = F.col("level") == 0
-    if not include_open:
-        closed = closed & (F.col("date") <= F.to_date(open_hour)) & (F.col("time_start") < open_hour)
+    chosen: the rows of the level to take on, from the table as it is then. The archive says
+    which rows a run has taken on. Rows that an earlier run archived but did not finish come
+    first, on their own, with the same members and so the same record ids."""
+    recover(spark, path)
     done = 0
     if has_rows(spark, archive):
-        taken = archive_read(spark, archive).select("id").distinct()
-        done += _roll_up(spark, path, archive, read_memory(spark, path).filter(closed).join(taken, "id", "left_semi"), embed, key)
-    source = written(read_memory(spark, path).filter(closed), "closed")
+        taken = archive_read(spark, archive).filter(F.col("level") == level).select("id").distinct()
+        rest = read_memory(spark, path).filter(F.col("level") == level).join(taken, "id", "left_semi")
+        done += _roll_up(spark, path, rest, records, level + 1, key)
+    source = chosen(read_memory(spark, path).filter(F.col("level") == level))
+    if source is None:
+        return done
+    source = written(source, "closed")
     archive_write(source, archive, run_day)
-    return done + _roll_up(spark, path, archive, source, embed, key)
+    return done + _roll_up(spark, path, source, records, level + 1, key)
+
+
+def compact(spark, path, archive, as_of, run_day, embed, include_open=False, key=None):
+    """Roll closed hours up to level 1, archive their rows, then delete them.
+
+    Rows that arrive at any moment, for hours compacted before or during the run, are not
+    among the ids that are deleted; the next run gives them a record of their own. With a
+    key, rows are opened only to make records, and nothing is written open."""
+    open_hour = C.from_micros(C.hour_bucket(as_of) * C.HOUR_US)
+
+    def closed(rows):
+        if include_open:
+            return rows
+        return rows.filter((F.col("date") <= F.to_date(open_hour)) & (F.col("time_start") < open_hour))
+
+    return _compact(spark, path, archive, closed, 0, lambda rows: hour_records(rows, embed), run_day, key)
+
+
+def compact_weeks(spark, path, archive, run_day, embed, min_total=5, min_group=3, key=None):
+    """Roll hour records up to level 2, archive them, then delete them.
+
+    A table of fewer than `min_total` hour records stays as it is, and so does a week of
+    fewer than `min_group`. Archived hour records lie in the level-1 partitions of the day."""
+    def full(rows):
+        if rows.limit(min_total).count() < min_total:
+            return None
+        week = C.week_bucket("time_start").alias("week")
+        weeks = rows.groupBy(week).count().filter(F.col("count") >= min_group).select("week")
+        return rows.withColumn("week", week).join(weeks, "week", "left_semi").drop("week")
+
+    return _compact(spark, path, archive, full, 1, lambda rows: week_records(rows, embed), run_day, key)
 
 
 # --- sources and sinks around the table ------------------------------------------

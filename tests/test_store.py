@@ -1,11 +1,13 @@
 """Table maintenance is safe to repeat and touches only what it must."""
 import os
 
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from recollect.operators import retrieval as RV
 from recollect.plans.timeline import as_of
+from recollect.sources import changes
 from recollect.sources import store
 from recollect.sources import views
 
@@ -125,3 +127,138 @@ def test_export_lines(spark):
     line = store.export_recent(views.memory(spark, SMALL, text=True), 3)
     assert line.count() == 3
     assert line.filter(F.get_json_object("line", "$.data.app_name").isNotNull()).count() == 3
+
+
+# --- whatever is added meanwhile stays -----------------------------------------------
+
+def late(spark, path, tag, n=5):
+    """Rows that another writer adds: copies of stored rows under new ids."""
+    rows = store.read_memory(spark, path).filter("level = 0").limit(n).drop("date")
+    rows = rows.withColumn("id", F.concat(F.lit(tag), "id")).collect()
+    store.append(spark.createDataFrame(rows, store.read_memory(spark, path).drop("date").schema), path)
+    return {r["id"] for r in rows}
+
+
+def ids(spark, path):
+    rows = [r["id"] for r in store.read_memory(spark, path).select("id").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("where", ["stage", "finish", "_move"])
+def test_rows_appended_during_a_delete_stay(spark, tmp_path, monkeypatch, where):
+    path = table(spark, tmp_path)
+    before, added, real = ids(spark, path), set(), getattr(changes, where)
+
+    def busy(*args):
+        if not added:
+            added.update(late(spark, path, "x"))
+        return real(*args)
+
+    monkeypatch.setattr(changes, where, busy)
+    doomed = spark.createDataFrame([("1",), ("2",), ("17",)], "id string")
+    assert store.delete_by_ids(spark, path, doomed) == 3
+    assert len(added) == 5 and ids(spark, path) == before - {"1", "2", "17"} | added
+
+
+@pytest.mark.parametrize("where", ["archive_write", "hour_records", "delete_by_ids", "rewrite"])
+def test_rows_appended_during_a_compaction_stay(spark, tmp_path, monkeypatch, where):
+    path, archive = table(spark, tmp_path), str(tmp_path / "archive")
+    now, added, real = as_of(spark, SMALL), set(), getattr(store, where)
+    level0 = lambda: {r["id"] for r in store.read_memory(spark, path).filter("level = 0").select("id").collect()}
+    open_rows = {r["id"] for r in store.read_memory(spark, path).filter(F.col("time_start") >= F.date_trunc("hour", F.lit(now))).collect()}
+
+    def busy(*args, **named):
+        if not added:
+            added.update(late(spark, path, "x"))
+        return real(*args, **named)
+
+    monkeypatch.setattr(store, where, busy)
+    n = store.compact(spark, path, archive, now, "2024-02-01", embed)
+    monkeypatch.setattr(store, where, real)
+    assert level0() == open_rows | added
+    assert store.compact(spark, path, archive, now, "2024-02-01", embed) == len(added) == 5
+    assert members(spark, path) == store.archive_read(spark, archive).count() == n + 5
+
+
+@pytest.mark.parametrize("where", ["_move", "_mark"])
+def test_a_delete_that_was_cut_short_is_ended(spark, tmp_path, monkeypatch, where):
+    path = table(spark, tmp_path)
+    before = ids(spark, path)
+
+    def cut(*args):
+        raise OSError("cut")
+
+    if where == "_mark":  # the files have moved, the old ones are still there
+        real = changes._move
+        monkeypatch.setattr(changes, "_move", lambda *a: (real(*a), cut()))
+    else:
+        monkeypatch.setattr(changes, "_move", cut)
+    doomed = spark.createDataFrame([("1",), ("2",)], "id string")
+    with pytest.raises(OSError, match="cut"):
+        store.delete_by_ids(spark, path, doomed)
+    monkeypatch.undo()
+    changes.recover(spark, path)
+    assert ids(spark, path) == before - {"1", "2"}
+    changes.recover(spark, path)
+    assert store.delete_by_ids(spark, path, doomed) == 0 and ids(spark, path) == before - {"1", "2"}
+
+
+def test_rows_that_cannot_be_judged_stay(spark, tmp_path):
+    path = table(spark, tmp_path)
+    odd = spark.createDataFrame([("n1", None, None, False, "{broken", None, 0), ("n2", None, None, False, None, None, 0)],
+                                store.read_memory(spark, path).drop("date").schema)
+    store.append(odd, path)
+    store.forget_recent(spark, path, as_of(spark, SMALL), 60 * 24)
+    store.delete_by_tag(spark, path)
+    assert {"n1", "n2"} <= ids(spark, path)
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    rows = store.stored(views.memory(spark, SMALL, text=True))
+    first, second = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    save = store.sink(path, "screen")
+    save(first, 0)
+    save(first, 0)
+    assert len(ids(spark, path)) == first.count()
+    real = changes._move
+    monkeypatch.setattr(changes, "_mark", lambda *a: (_ for _ in ()).throw(OSError("cut")))
+    with pytest.raises(OSError):
+        save(second, 1)  # its files are in place, but not noted
+    monkeypatch.undo()
+    assert real is changes._move
+    store.sink(path, "screen")(second, 1)
+    store.sink(path, "screen")(first, 0)
+    store.sink(path, "other")(first.limit(0), 0)
+    assert ids(spark, path) == {r["id"] for r in rows.select("id").collect()}
+
+
+def test_weeks_roll_up_once(spark, tmp_path):
+    path, archive = table(spark, tmp_path), str(tmp_path / "archive")
+    now = as_of(spark, SMALL)
+    assert store.compact_weeks(spark, path, archive, "2024-02-02", embed) == 0
+    rows = store.compact(spark, path, archive, now, "2024-02-01", embed)
+    hours = store.read_memory(spark, path).filter("level = 1").count()
+    done = store.compact_weeks(spark, path, archive, "2024-02-02", embed)
+    t = store.read_memory(spark, path)
+    weeks = t.filter("level = 2").agg(F.count("*"), F.sum(F.get_json_object("data_json", "$.count").cast("long"))).first()
+    assert 0 < done <= hours and weeks[0] > 0 and weeks[1] == done
+    assert t.filter("level = 1").count() == hours - done
+    assert store.archive_read(spark, archive).groupBy("level").count().orderBy("level").collect() == [(0, rows), (1, done)]
+    assert store.compact_weeks(spark, path, archive, "2024-02-02", embed) == 0
+    assert ids(spark, path)
+
+
+def test_weeks_after_a_failed_run(spark, tmp_path):
+    path, archive = table(spark, tmp_path), str(tmp_path / "archive")
+    store.compact(spark, path, archive, as_of(spark, SMALL), "2024-02-01", embed)
+    source = store.read_memory(spark, path).filter("level = 1")
+    store.append(store.week_records(source, embed), path)          # the failed run got this far
+    store.archive_write(source, archive, "2024-02-02")
+    n = source.count()
+    assert store.compact_weeks(spark, path, archive, "2024-02-03", embed) == n
+    t = store.read_memory(spark, path)
+    assert t.filter("level = 1").count() == 0 and ids(spark, path)
+    assert t.filter("level = 2").agg(F.sum(F.get_json_object("data_json", "$.count").cast("long"))).first()[0] == n
+    assert store.archive_read(spark, archive).filter("level = 1").count() == n

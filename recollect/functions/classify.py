@@ -288,9 +288,9 @@ def referent_of(question):
     after_about = F.when(low.contains(" about "), T.trim_ws(
         F.regexp_extract(p, r"(?is)\A.* about (.*)\z", 1)))
     cand = F.coalesce(after_lead, after_about, _capitalized_run(p))
-    toks = T.squeeze(F.btrim(cand, F.lit("\"'«»")))
-    tail = "|".join(rules.CONNECTORS + rules.REFERENT_TAIL_WORDS)
-    toks = F.regexp_replace(toks, rf"(?i)(?:(?:\A| )(?:{tail}))+\z", "")
+    tail = rules.CONNECTORS + rules.REFERENT_TAIL_WORDS
+    toks = T.let(T.words(F.btrim(cand, F.lit("\"'«»"))), lambda ws: F.array_join(F.slice(
+        ws, F.lit(1), T.last_place(ws, lambda w: ~F.lower(w).isin(tail))), " "))
     return T.let(toks, lambda t: F.when(
         F.length(t).between(2, 60) & (F.size(F.split(t, " ")) <= 6)
         & ~F.lower(t).isin(rules.PRONOUNS)

@@ -288,9 +288,28 @@ def strip_trailing_command(c):
     """Cut a fact at its imperative tail and drop dangling connectives."""
     cut = F.regexp_replace(col(c), rf"(?is)(?:{literal_pattern(rules.COMMAND_TAILS)}).*\z", "")
     s = trim_ws(F.rtrim(trim_ws(cut), F.lit(",.—-")))
-    dangling = literal_pattern(rules.DANGLING_WORDS)
-    tail = rf"(?i)(?:\A|(?:{WS}|[,.])*{WS})(?:(?:{dangling})[,.]*(?:{WS}+|\z))+\z"
-    return F.regexp_replace(s, tail, "")
+
+    def dangles(w):
+        return F.lower(F.rtrim(w, F.lit(",."))).isin(rules.DANGLING_WORDS) | (w == "")
+
+    def without(x):
+        # Pieces between single blanks keep every character's place, so the end of the last
+        # piece that stays is a number of characters. Lists have any length; a pattern that
+        # repeats a group would recurse.
+        n = last_place(x["pieces"], lambda w: ~dangles(w))
+        end = F.aggregate(F.slice(x["pieces"], F.lit(1), n), F.lit(0), lambda a, w: a + F.length(w) + 1)
+        kept = F.rtrim(F.substring(x["s"], F.lit(1), end - 1), F.lit(",." + WS_CHARS))
+        return F.when(n == F.size(x["pieces"]), x["s"]).when(n == 0, F.lit("")).otherwise(kept)
+
+    ends = rf"(?i)(?:\A|{WS})(?:{literal_pattern(rules.DANGLING_WORDS)})[,.]*\z"
+    return let(s, lambda t: F.when(~t.rlike(ends), t).otherwise(
+        let(F.struct(t.alias("s"), F.split(t, WS).alias("pieces")), without)))
+
+
+def last_place(items, good):
+    """Place (from 1) of the last item that is good; 0 where there is none."""
+    back = F.array_position(F.transform(F.reverse(items), good), True).cast("int")
+    return F.when(back > 0, F.size(items) - back + 1).otherwise(0)
 
 
 def truncate_chars(c, n):

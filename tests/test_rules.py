@@ -2,6 +2,7 @@
 import pytest
 
 from recollect.functions import classify as K
+from recollect.functions import text as T
 
 
 def test_tags(value):
@@ -97,3 +98,15 @@ def test_followups(spark):
                                "q string, p boolean")
     from pyspark.sql import functions as F
     assert [r[0] for r in df.select(K.is_followup("q", F.col("p"))).collect()] == [True, False, False, True]
+
+
+def test_long_runs_do_not_recurse(values):
+    """Blanks, connectives and connectors in any number, which a repeated group could not walk."""
+    n = 50_000
+    out = values(T.strip_trailing_command, [
+        "Foo" + " " * n + "and", "Foo ,. and, then. " + "so " * n, "and " * n, "Foo" + "\n\t , " * n + "please", " " * n, "Foo and" + " x" * n,
+        "Foo" + "," * n, "Foo . and"])
+    assert out == ["Foo", "Foo", "", "Foo", "", "Foo and" + " x" * n, "Foo", "Foo"]
+    assert values(K.referent_of, ["who is Ann" + " of" * n, "tell me about " + "by " * n, "about " * n, "what is Foo Bar mean like OF?"]) == [
+        "Ann", None, None, "Foo Bar"]
+    assert values(K.query_route, ["he is tall" + " and" * n, "who is he" + " with" * n]) is not None

@@ -10,6 +10,7 @@ from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators.ordered import HOT_ROWS
 from recollect.operators.timeline import with_turn_order
+from recollect.session import written
 
 
 def memory_projection(payloads):
@@ -74,7 +75,8 @@ def routed(asks, limit=HOT_ROWS):
 
 
 def query_mix(routed_asks):
-    """Q5: questions per day, route and follow-up flag, with their share of the day."""
+    """Q5: questions per day, route and follow-up flag, with their share of the day. What else
+    `routed` adds is not computed here."""
     per = routed_asks.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "route", "followup").agg(
         F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("day"))
@@ -82,21 +84,29 @@ def query_mix(routed_asks):
 
 
 def subject_index(asks, docs, doc_key="doc_id"):
-    """Q6: subjects named in questions and the number of documents that hold one
-    of their words.  Words are matched by equality on a shuffled or broadcast
-    key, whichever fits; documents send each word once."""
+    """Q6: subjects named in questions and the number of documents that hold one of their words.
+
+    doc_key: a whole number. The documents that hold a word are bitmaps, one for each range of
+    32768 keys; subjects with the same words are counted once, one word by the bits of its
+    bitmaps, several by the bits of their union. Nothing grows with subjects times documents."""
     subj = asks.withColumn("subject", K.named_entity("text")).filter(F.col("subject").isNotNull())
     stats = subj.groupBy("subject").agg(F.count(F.lit(1)).alias("asked"),
                                         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    toks = stats.select("subject", F.explode(F.array_distinct(F.filter(F.transform(
-        T.words("subject"), lambda w: F.lower(T.trim_alnum(w))), lambda w: F.length(w) >= 3))).alias("word"))
-    words = docs.select(doc_key, F.explode(F.array_distinct(F.transform(
-        T.words("text"), lambda w: F.lower(T.trim_alnum(w))))).alias("word"))
-    # Only words some subject uses go on; a common word is counted per document.
-    used = words.join(toks.select("word").distinct(), "word", "left_semi")
-    hits = toks.join(used, "word").groupBy("subject", doc_key).agg(F.lit(1).alias("_one")) \
-        .groupBy("subject").agg(F.count(F.lit(1)).alias("docs"))
-    return stats.join(hits, "subject", "left").withColumn("docs", F.coalesce("docs", F.lit(0).cast("long")))
+    stats = written(stats.withColumn("_words", F.array_sort(F.array_distinct(F.filter(F.transform(
+        T.words("subject"), lambda w: F.lower(T.trim_alnum(w))), lambda w: F.length(w) >= 3)))), "subjects")
+    wanted = stats.select("_words").distinct()
+    used = wanted.select(F.explode("_words").alias("word")).distinct()
+    words = docs.filter(F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("long").alias("_doc"), F.explode(F.array_distinct(
+        F.transform(T.words("text"), lambda w: F.lower(T.trim_alnum(w))))).alias("word"))
+    maps = written(words.join(used, "word", "left_semi").groupBy("word", F.bitmap_bucket_number("_doc").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_doc")).alias("_bits")), "word-bitmaps")
+    single = wanted.filter(F.size("_words") == 1).withColumn("word", F.col("_words")[0]).join(
+        maps.groupBy("word").agg(F.sum(F.bitmap_count("_bits")).alias("docs")), "word").select("_words", "docs")
+    several = wanted.filter(F.size("_words") > 1).withColumn("word", F.explode("_words")).join(maps, "word").groupBy(
+        "_words", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits")).groupBy("_words").agg(
+        F.sum(F.bitmap_count("_bits")).alias("docs"))
+    return stats.join(single.unionByName(several), "_words", "left").select(
+        "subject", "asked", "first_ts", "last_ts", F.coalesce("docs", F.lit(0).cast("long")).alias("docs"))
 
 
 def code_skeletons(docs):

@@ -40,13 +40,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df, key):
+def spread(df, *key):
     """Give a scan at least one partition per core.
 
     A large table has more splits than cores and is left alone; one small file
     would otherwise keep all text work on a single core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
 
 
 def lookup(c, mapping):
@@ -132,7 +132,7 @@ def turn_time():
 
 def asks(spark, sf_dir):
     """What is said and asked: every turn as it is, and each of its sentences in a question shape."""
-    return asks_of(table(spark, sf_dir, "conversations"))
+    return asks_of(spread(table(spark, sf_dir, "conversations"), "conv_id", "turn"))
 
 
 PARTS = 100_000  # more than a turn has sentences

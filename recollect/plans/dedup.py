@@ -9,6 +9,7 @@ from recollect.functions import text as T
 from recollect.operators import dedup as D
 from recollect.operators import redact as X
 from recollect.operators import retrieval as RV
+from recollect.operators import similar as SM
 from recollect.plans import sql as S
 from recollect.plans.registry import query
 from recollect.sources import views as V
@@ -57,6 +58,9 @@ def cosine_similarity(spark, d):
     return v.join(nxt, "vec_id").select("vec_id", F.round(D.cosine("embedding", "_next"), 6).alias("cosine"))
 
 
+HASH_RADIUS = 10
+
+
 def hash_sql(cells):
     """Signed 64-bit value of the average hash of a list."""
     raw = (f"list_sum(list_transform({cells}, lambda x, i: CASE WHEN x > list_sum({cells})::BIGINT // len({cells}) "
@@ -152,6 +156,58 @@ def jaccard_cache_join(spark, d):
     return D.jaccard_cache_join(q, "conv_id")
 
 
+SETS = [("sets", f"SELECT doc_id, list_sort({WORD_SET}) AS w FROM documents"),
+        ("classes", "SELECT w, min(doc_id) AS class_id, len(w) AS n FROM sets WHERE len(w) > 0 GROUP BY w"),
+        ("words", "SELECT class_id, n, unnest(w) AS word FROM classes"),
+        ("pairs", """SELECT x.class_id AS a, y.class_id AS b, count(*) AS common, count(*) / (x.n + y.n - count(*)) AS similarity
+   FROM words x JOIN words y ON x.word = y.word AND x.class_id < y.class_id GROUP BY x.class_id, y.class_id, x.n, y.n
+   HAVING count(*) * 185 >= (x.n + y.n) * 85""")]
+
+
+def set_rows(spark, d):
+    return V.documents(spark, d).select("doc_id", T.word_set("text").alias("w"))
+
+
+@query("similar_sets", S.with_views(*SETS, body="SELECT a, b, common, round(similarity, 9) AS similarity FROM pairs"))
+def similar_sets(spark, d):
+    """Pairs of word sets (by the smallest document of each) at 0.85 or more."""
+    pairs, _ = SM.similar_sets(set_rows(spark, d), "doc_id", "w", 0.85)
+    return pairs.withColumn("similarity", F.round("similarity", 9))
+
+
+def groups_sql(pairs, members):
+    """Rows of `members` with links and the smallest class reachable over `pairs`."""
+    return [("ends", f"SELECT a, b FROM {pairs} UNION ALL SELECT b, a FROM {pairs}"),
+            ("reach", """SELECT class_id AS a, class_id AS c FROM (SELECT DISTINCT class_id FROM members)
+   UNION SELECT e.b, r.c FROM reach r JOIN ends e ON e.a = r.a WHERE r.c < e.b"""),
+            ("least", "SELECT a, min(c) AS component_id FROM reach GROUP BY a"),
+            ("degree", "SELECT a, count(*) AS links FROM ends GROUP BY a")]
+
+
+GROUPED = """SELECT m.key, m.class_id, coalesce(links, 0) AS links, component_id FROM members m
+   JOIN least l ON l.a = m.class_id LEFT JOIN degree g ON g.a = m.class_id"""
+
+
+@query("similar_set_groups", S.with_views(*SETS, ("members", "SELECT doc_id AS key, class_id FROM sets JOIN classes USING (w)"),
+    *groups_sql("pairs", "members"), body=GROUPED).replace("WITH ", "WITH RECURSIVE ", 1))
+def similar_set_groups(spark, d):
+    return SM.linked(*SM.similar_sets(set_rows(spark, d), "doc_id", "w", 0.85))
+
+
+HASHED = ("hashed", f"""SELECT vec_id AS key, {hash_sql('cells')} AS h FROM (SELECT vec_id, list_transform(embedding,
+   lambda x: floor((x::DOUBLE + 1.0) * 1000)::BIGINT) AS cells FROM embeddings)""")
+
+
+@query("hamming_groups", S.with_views(HASHED, ("members", "SELECT key, min(key) OVER (PARTITION BY h) AS class_id, h FROM hashed"),
+    ("pairs", f"""SELECT x.key AS a, y.key AS b FROM members x JOIN members y ON x.key = x.class_id AND y.key = y.class_id
+   AND x.key < y.key AND bit_count(xor(x.h, y.h)) <= {HASH_RADIUS}"""), *groups_sql("pairs", "members"), body=GROUPED)
+       .replace("WITH ", "WITH RECURSIVE ", 1))
+def hamming_groups(spark, d):
+    """All pairs of image hashes within the radius, as links and groups of every vector."""
+    v = V.table(spark, d, "embeddings").select("vec_id", D.average_hash(F.transform("embedding", V.grey)).alias("h"))
+    return SM.linked(*SM.near_hashes(v, "vec_id", "h", HASH_RADIUS))
+
+
 @query("embed_once", S.with_views("l0t", body="""SELECT count(*) AS n_rows, count(DISTINCT seq) AS n_ids,
    count(*) AS with_vector FROM l0t"""))
 def embed_once(spark, d):

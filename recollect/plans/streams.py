@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recollect import rules
 from recollect.functions import classify as K
+from recollect.functions import payload as J
 from recollect.operators import dedup as D
 from recollect.plans import sql as S
 from recollect.plans.dedup import (ISLANDS, MARKED, SEED_CLEAN, TOKS, WORDS, lagged, scrub_cards_sql,
@@ -65,6 +66,28 @@ def stream_rollup_hour(spark, d):
     return Z.drain(Z.rollup_hours(memory_stream(spark, d)), "rollup")
 
 
+@query("stream_hour_records", S.with_views("l0t", "clock", body=f"""SELECT epoch_us(l0t.time_start) // 3600000000 AS hour,
+   min(l0t.time_start) AS time_start, max(time_end) AS time_end, count(*) AS count,
+   md5(left(coalesce(string_agg(text, chr(10) ORDER BY l0t.time_start, seq) FILTER (text <> ''), ''), 2000)) AS embed_text,
+   bit_xor(('0x' || left(md5(id || ' ' || app_name || ' ' || text), 15))::BIGINT) AS members
+   FROM l0t WHERE {CLOSED.replace('time_start', 'l0t.time_start')} GROUP BY 1"""))
+def stream_hour_records(spark, d):
+    """Records of closed hours and a digest of their members, from one stream."""
+    records = Z.drain(Z.hour_records(memory_stream(spark, d, text=True)), "hour-records")
+    text = F.concat_ws(" ", "id", "act", F.concat("ocr_full", "clipboard"))
+    members = Z.members_of(records).groupBy("hour").agg(
+        F.bit_xor(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")).alias("members"))
+    heads = Z.merge_hours(records).withColumn("embed_text", F.md5("embed_text"))
+    return heads.join(members, "hour")
+
+
+@query("stream_sessions", ORACLES["sessions"].replace("GROUP BY stream, session",
+    "GROUP BY stream, session HAVING max(time_start) + INTERVAL 40 MINUTE <= (SELECT max(time_start) FROM l0)"))
+def stream_sessions(spark, d):
+    """Sessions that the watermark has closed."""
+    return Z.drain(Z.sessions(memory_stream(spark, d)), "sessions")
+
+
 @query("stream_clipboard_dedup", ORACLES["clipboard_filter"].replace("SELECT stream, id, md5(text)", "SELECT stream, seq, md5(text)"))
 def stream_clipboard_dedup(spark, d):
     m = memory_stream(spark, d, text=True).filter(F.col("app_name") == "clipboard")
@@ -113,28 +136,33 @@ def stream_answer_cache(spark, d):
     return Z.drain(Z.answer_cache(asks.withColumn("query_id", F.col("conv_id") * 1_000_000_000 + F.col("turn"))), "cache")
 
 
+def into_table(spark, memory, run):
+    """A stream of memory rows written into a fresh table, each batch once."""
+    path, state = scratch_path(spark, "sink"), scratch_path(spark, "sink-checkpoint")
+    q = (store.stored(memory).writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+         .foreachBatch(store.sink(path, run)).start())
+    q.awaitTermination()
+    return path
+
+
 @query("stream_forget", S.with_views("l0", "clock", body="""SELECT strftime(time_start, '%Y-%m-%d') AS date, count(*) AS n
    FROM l0, clock WHERE time_start < as_of - INTERVAL 3000 MINUTE GROUP BY ALL"""))
 def stream_forget(spark, d):
     """Rows streamed into the table, then the newest ones forgotten there."""
-    path, state = scratch_path(spark, "sink"), scratch_path(spark, "sink-checkpoint")
-
-    def save(df, batch):
-        store.append(df, path)
-
-    rows = store.stored(memory_stream(spark, d, text=True))
-    q = (rows.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-         .foreachBatch(save).start())
-    q.awaitTermination()
+    path = into_table(spark, memory_stream(spark, d, text=True), "forget")
     store.forget_recent(spark, path, as_of(spark, d), 3000)
     return store.read_memory(spark, path).groupBy(F.col("date").cast("string").alias("date")).agg(F.count(L(1)).alias("n"))
 
 
 @query("ingest_stream", S.with_views("l0t", body="""SELECT CASE WHEN app_name = 'clipboard' THEN 'Clipboard' ELSE window_title END AS window_title, app_name,
-   count(*) AS n FROM l0t GROUP BY ALL"""))
+   count(*) AS n, sum(length(text))::BIGINT AS chars, bit_xor(('0x' || left(md5(id || text), 15))::BIGINT) AS texts FROM l0t GROUP BY ALL"""))
 def ingest_stream(spark, d):
-    """Screen and clipboard events into memory rows."""
-    m = memory_stream(spark, d)
+    """Screen and clipboard events, with their texts, into the memory table."""
+    m = memory_stream(spark, d, text=True)
     title = F.when(F.col("app_name") == "clipboard", L("Clipboard")).otherwise(F.col("window_title"))
-    out = Z.drain(m.select("id", "time_start", "app_name", title.alias("window_title")), "events")
-    return out.groupBy("window_title", "app_name").agg(F.count(L(1)).alias("n"))
+    path = into_table(spark, m.withColumn("window_title", title), "events")
+    v = J.parsed("data_json")
+    rows = store.read_memory(spark, path).select("id", *[J.string_field(v, c).alias(c) for c in ("window_title", "app_name", "text")])
+    return rows.groupBy("window_title", "app_name").agg(
+        F.count(L(1)).alias("n"), F.sum(F.length("text")).alias("chars"),
+        F.bit_xor(F.conv(F.substring(F.md5(F.concat("id", "text")), 1, 15), 16, 10).cast("bigint")).alias("texts"))

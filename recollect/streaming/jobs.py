@@ -2,23 +2,30 @@
 
 Order-dependent jobs keep a small state per key.  Within a micro-batch the rows
 of a key are sorted by time; the batch size (files per trigger) bounds what one
-key can bring at once.
+key can bring at once.  The state of a key that falls silent is dropped by an
+event-time timer; rows older than the watermark are late and are left out.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from recollect import rules
 from recollect.functions import classify as K
+from recollect.functions import payload as J
 from recollect.functions import privacy as R
 from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators import dedup as D
+from recollect.operators import rollup as G
+from recollect.operators import timeline as W
 from recollect.operators.redact import scrub_with
 from recollect.session import scratch_path, use_utc
 
 DELAY = "10 minutes"
+TTL = 90 * 86_400  # seconds of silence after which the state of a key goes
 
 
 def read_table(spark, sf_dir, name, max_files=100):
@@ -49,29 +56,64 @@ def drain(stream, name, mode="append"):
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
 
 
-def stateful(stream, keys, out_schema, state_schema, start, step, order, mode="append", ttl_ms=None):
-    """Run `step(rows, state) -> (out, state)` per key on rows in order.
+class _Keyed(StatefulProcessor):
+    """`step(rows, state) -> (out, state)` on the rows of a key in order, and a timer that
+    drops the state when the key has been silent for `ttl_ms`."""
 
-    With a TTL (and a watermark on the stream) the state of a key that falls
-    silent is dropped."""
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = [f for f in frames if len(f)]
+    def __init__(self, step, schema, start, order, ttl_ms):
+        self.step, self.schema, self.start, self.order, self.ttl_ms = step, schema, start, order, ttl_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+        self.seen = handle.getValueState("seen", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [f for f in rows if len(f)]
         if not parts:
             return
-        rows = pd.concat(parts).sort_values(order)
-        out, after = step(rows, state.get if state.exists else start)
-        state.update(after)
-        if ttl_ms is not None:
-            seen = int(rows[order[0]].iloc[-1].value // 1_000_000)
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + ttl_ms)
+        rows = pd.concat(parts).sort_values(self.order) if len(parts) > 1 else parts[0].sort_values(self.order)
+        out, after = self.step(rows, self.state.get() if self.state.exists() else self.start)
+        self.state.update(after)
+        if self.ttl_ms is not None:
+            last = int(rows[self.order[0]].iloc[-1].value // 1_000_000)
+            before = self.seen.get()[0] if self.seen.exists() else None
+            if before is None or last > before:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.ttl_ms)
+                self.handle.registerTimer(last + self.ttl_ms)
+                self.seen.update((last,))
         if out is not None and len(out):
             yield out
 
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.EventTimeTimeout
-    return stream.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, mode, timeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        self.seen.clear()
+        yield from ()
+
+    def close(self):
+        pass
+
+
+def stateful(stream, keys, out_schema, state_schema, start, step, order, mode="append", ttl=None, time=None, delay=None):
+    """Run a step per key on rows in order, with its state in RocksDB.
+
+    ttl: seconds of event time (column `time`) after which the state of a silent key goes."""
+    use_rocksdb(stream.sparkSession)
+    if ttl is not None:
+        stream = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", delay or DELAY)
+    processor = _Keyed(step, state_schema, start, order, None if ttl is None else ttl * 1000)
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        processor, StructType.fromDDL(out_schema), mode, "None" if ttl is None else "EventTime")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark):
+    """Keyed state with timers needs the provider that keeps it off the heap."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def ingest(events, wordlist):
@@ -82,34 +124,49 @@ def ingest(events, wordlist):
     return rows.withColumn("tags", K.auto_tag("text", "app_name", "window_title"))
 
 
+def _same(column, first):
+    """Whether each value equals the one before it (`first` before the first); nulls equal nothing."""
+    now = column.to_numpy(object)
+    before = np.concatenate(([first], now[:-1]))
+    return np.array([a is not None and a == b for a, b in zip(now, before)], bool)
+
+
+def _vectors(vectors):
+    """(matrix padded with zeros, lengths); a null vector has length -1."""
+    size = np.array([-1 if v is None else len(v) for v in vectors])
+    out = np.zeros((len(size), max(size.max(), 1)))
+    for i, v in enumerate(vectors):
+        if size[i] > 0:
+            out[i, :size[i]] = np.asarray(v, np.float64)
+    return out, size
+
+
 def _link(threshold):
     def step(rows, state):
         app, title, emb, fact = state
-        emb = list(emb) if emb is not None else None
-        facts, linked = [], []
-        for r in rows.itertuples():
-            cur = list(r.embedding)
-            same = app == r.app_name and title == r.window_title and emb is not None
-            if same:
-                ab = sum(x * y for x, y in zip(emb, cur))
-                n = (sum(x * x for x in emb) * sum(y * y for y in cur)) ** 0.5
-                same = n > 0 and ab / n >= threshold
-            app, title, emb = r.app_name, r.window_title, [float(x) for x in cur]
-            fact = fact if same else int(r.seq)
-            facts.append(fact)
-            linked.append(bool(same))
+        at, size = _vectors([emb, *rows["embedding"]])
+        dots = np.einsum("ij,ij->i", at[:-1], at[1:])
+        norms = np.sqrt(np.einsum("ij,ij->i", at, at))
+        both = norms[:-1] * norms[1:]
+        near = np.divide(dots, both, out=np.full(len(dots), -2.0), where=both > 0) >= threshold
+        linked = near & (size[:-1] == size[1:]) & _same(rows["app_name"], app) & _same(rows["window_title"], title)
+        seq = rows["seq"].to_numpy(np.int64)
+        begins = np.maximum.accumulate(np.where(linked, -1, np.arange(len(seq))))
+        facts = np.where(begins >= 0, seq[begins], -1 if fact is None else fact)
         out = pd.DataFrame({"stream": rows["stream"], "time_start": rows["time_start"], "seq": rows["seq"],
                             "fact": facts, "linked": linked})
-        return out, (app, title, emb, fact)
+        last = rows.iloc[-1]
+        vector = None if last["embedding"] is None else [float(x) for x in last["embedding"]]
+        return out, (last["app_name"], last["window_title"], vector, int(facts[-1]))
     return step
 
 
-def chronos(events, threshold=rules.LINK_SIMILARITY):
+def chronos(events, threshold=rules.LINK_SIMILARITY, ttl=TTL):
     """The fact each row belongs to; state is the last row of a stream."""
     return stateful(events, ["stream"],
                     "stream bigint, time_start timestamp_ntz, seq bigint, fact bigint, linked boolean",
                     "app string, title string, embedding array<double>, fact bigint",
-                    (None, None, None, None), _link(threshold), ["time_start", "seq"])
+                    (None, None, None, None), _link(threshold), ["time_start", "seq"], ttl=ttl, time="time_start")
 
 
 def hourly_counts(events, delay=DELAY):
@@ -128,22 +185,119 @@ def rollup_hours(events, delay=DELAY):
         (F.unix_timestamp("window.start") / 3600).cast("long").alias("hour"), "time_start", "time_end", "count")
 
 
+class _Hour(StatefulProcessor):
+    """The record of one share of an hour: span, count, and its first texts as far as they
+    fill the text to embed. It is given out when the watermark has passed the hour; its members
+    are given out as they come."""
+
+    def __init__(self, chars):
+        self.chars = chars
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("head", "first bigint, last bigint, n bigint")
+        self.texts = handle.getValueState("texts", "at array<bigint>, seq array<bigint>, text array<string>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        first, last, n = self.state.get() if self.state.exists() else (None, None, 0)
+        kept = list(zip(*self.texts.get())) if self.texts.exists() else []
+        for f in rows:
+            if not len(f):
+                continue
+            at, end = _micros(f["time_start"]), _micros(f["time_end"])
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            last = int(end.max()) if last is None else max(last, int(end.max()))
+            text = f["text"].fillna("").to_numpy(object)
+            some = np.flatnonzero(text != "")
+            n += len(f)
+            kept = _first([*kept, *zip(at[some].tolist(), f["seq"].to_numpy()[some].tolist(),
+                                       (t[:self.chars] for t in text[some]))], self.chars)
+            yield f[MEMBER].assign(**dict.fromkeys(HEAD))
+        if n:
+            if not self.state.exists():
+                self.handle.registerTimer((int(key[0]) + 1) * 3_600_000)
+            self.state.update((first, last, n))
+            self.texts.update(tuple(list(c) for c in zip(*kept)) if kept else ([], [], []))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        head, kept = self.state.get(), list(zip(*self.texts.get()))
+        self.state.clear()
+        self.texts.clear()
+        texts = [{"at": a, "seq": s, "text": t} for a, s, t in kept]
+        yield pd.DataFrame([(int(key[0]), *[None] * 6, *head, texts)], columns=[*MEMBER, *HEAD])
+
+    def close(self):
+        pass
+
+
+def _micros(column):
+    return column.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def _first(texts, chars):
+    """The first texts in order, up to the one that reaches `chars` characters."""
+    out, total = [], 0
+    for t in sorted(texts):
+        if total > chars:
+            break
+        out.append(t)
+        total += len(t[2]) + 1
+    return out
+
+
+MEMBER = ["hour", "id", "seq", "t", "act", "ocr_full", "clipboard"]
+MEMBER_SCHEMA = "hour bigint, id string, seq bigint, t bigint, act string, ocr_full string, clipboard string"
+HEAD = ["first", "last", "n", "kept"]
+HEAD_SCHEMA = "first bigint, last bigint, n bigint, kept array<struct<at:bigint,seq:bigint,text:string>>"
+SHARES = 16  # an hour's rows are dealt to so many states: all rows of a stream fall into few hours
+
+
+def hour_records(events, delay=DELAY, shares=SHARES, chars=G.EMBED_CHARS):
+    """The members of hours as rows (with `id`), and when an hour has closed, `shares` partial
+    records of it (with `n`), which `merge_hours` joins. Late rows are in neither.
+
+    events: id, time_start, time_end, seq, app_name, text. State is bounded: of the texts only
+    those that can reach the first `chars` characters are held."""
+    use_rocksdb(events.sparkSession)
+    e = J.sub_event(C.micros("time_start"), "app_name", "text")
+    timed = events.select(
+        "id", "seq", "time_start", "time_end", "text", e.alias("e"), C.hour_bucket("time_start").alias("hour"),
+        F.pmod(F.xxhash64("seq"), F.lit(shares)).cast("int").alias("share"),
+        F.col("time_start").cast("timestamp").alias("_t")).select("*", "e.*").drop("e").withWatermark("_t", delay)
+    return timed.groupBy("hour", "share").transformWithStateInPandas(
+        _Hour(chars), StructType.fromDDL(MEMBER_SCHEMA + ", " + HEAD_SCHEMA), "append", "EventTime")
+
+
+def members_of(records):
+    return records.filter(F.col("id").isNotNull()).select(*MEMBER)
+
+
+def merge_hours(records, chars=G.EMBED_CHARS):
+    """Hour records as `rollup_hour_l1` gives them, from their shares: a few bounded rows an hour."""
+    texts = F.transform(F.array_sort(F.flatten(F.collect_list("kept"))), lambda t: t["text"])
+    return records.filter(F.col("n").isNotNull()).groupBy("hour").agg(
+        C.from_micros(F.min("first")).alias("time_start"), C.from_micros(F.max("last")).alias("time_end"),
+        F.sum("n").alias("count"), F.substring(F.array_join(texts, "\n"), 1, chars).alias("embed_text"))
+
+
+def sessions(events, keys=("stream",), gap="30 minutes", delay=DELAY):
+    """Closed sessions of a stream (see `operators.timeline.sessions`)."""
+    timed = events.withColumn("_t", F.col("time_start").cast("timestamp")).withWatermark("_t", delay)
+    return W.sessions(timed, keys, gap)
+
+
 def _clip(rows, state):
-    (last,) = state
-    keep = []
-    for t in rows["text"]:
-        keep.append(t != last)
-        last = t
-    return rows[keep][["stream", "time_start", "seq", "text"]], (last,)
+    same = _same(rows["text"], state[0])
+    return rows[~same][["stream", "time_start", "seq", "text"]], (rows["text"].iloc[-1],)
 
 
-def clipboard(clips, wordlist):
+def clipboard(clips, wordlist, ttl=TTL):
     """Consecutive repeats dropped per stream, then items with a secret."""
     rows = clips.withColumn("text", T.trim_ws("text")).filter(
         F.octet_length("text") >= rules.CLIPBOARD_MIN_BYTES)
     fresh = stateful(rows.select("stream", "time_start", "seq", "text"), ["stream"],
                      "stream bigint, time_start timestamp_ntz, seq bigint, text string", "last string",
-                     (None,), _clip, ["time_start", "seq"])
+                     (None,), _clip, ["time_start", "seq"], ttl=ttl, time="time_start")
     clean = scrub_with(fresh.withColumn("_clean", F.col("text")), wordlist, "seq", "_clean")
     return clean.filter(F.col("_clean") == F.col("text")).drop("_clean")
 
@@ -160,11 +314,11 @@ def _frames(rows, state):
     return rows[keep][["stream", "time_start", "seq"]], (last, blocks)
 
 
-def frame_gate(hashed):
+def frame_gate(hashed, ttl=TTL):
     """State is the last accepted frame."""
     rows = hashed.withColumn("need", D.hash_threshold("app_name"))
     return stateful(rows, ["stream"], "stream bigint, time_start timestamp_ntz, seq bigint",
-                    "phash bigint, blocks array<bigint>", (0, []), _frames, ["time_start", "seq"])
+                    "phash bigint, blocks array<bigint>", (0, []), _frames, ["time_start", "seq"], ttl=ttl, time="time_start")
 
 
 def _remind(cap):
@@ -181,31 +335,32 @@ def _remind(cap):
 
 def reminder_cap(reminders, cap=2):
     """State is what was already sent on a day; old days are dropped."""
-    timed = reminders.withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", DELAY)
-    return stateful(timed, ["day"], "day string, reminder string, ts timestamp_ntz, rank int",
-                    "sent array<string>", ([],), _remind(cap), ["ts", "seq"], ttl_ms=C.DAY_US // 1000)
+    return stateful(reminders, ["day"], "day string, reminder string, ts timestamp_ntz, rank int",
+                    "sent array<string>", ([],), _remind(cap), ["ts", "seq"], ttl=86_400, time="ts")
+
+
+GATES = ("consent", "incognito", "cpu", "game")
 
 
 def _gates(cpu_max):
     def step(rows, state):
-        now = dict(zip(("consent", "incognito", "cpu", "game"), state))
-        out = []
-        for r in rows.itertuples():
-            if r.kind == 0:
-                now[r.gate] = float(r.state)
-            else:
-                out.append((r.stream, r.ts, r.seq, now["consent"] > 0 and now["incognito"] == 0
-                            and now["cpu"] <= cpu_max and now["game"] == 0))
-        return (pd.DataFrame(out, columns=["stream", "ts", "seq", "kept"]),
-                tuple(now[g] for g in ("consent", "incognito", "cpu", "game")))
+        signal = (rows["kind"] == 0).to_numpy()
+        name, value = rows["gate"].to_numpy(object), rows["state"].to_numpy(np.float64, na_value=np.nan)
+        now = {}
+        for g, known in zip(GATES, state):  # the last known value at every row
+            set_at = np.maximum.accumulate(np.where(signal & (name == g), np.arange(len(rows)), -1))
+            now[g] = np.where(set_at >= 0, value[set_at], known)
+        kept = (now["consent"] > 0) & (now["incognito"] == 0) & (now["cpu"] <= cpu_max) & (now["game"] == 0)
+        out = rows[~signal][["stream", "ts", "seq"]].assign(kept=kept[~signal])
+        return out, tuple(float(now[g][-1]) for g in GATES)
     return step
 
 
-def gate(merged, cpu_max=70.0):
+def gate(merged, cpu_max=70.0, ttl=TTL):
     """One stream of control signals (kind 0) and events (kind 1)."""
     return stateful(merged, ["stream"], "stream bigint, ts timestamp_ntz, seq bigint, kept boolean",
                     "consent double, incognito double, cpu double, game double", (0.0, 0.0, 0.0, 0.0),
-                    _gates(cpu_max), ["ts", "kind", "seq"])
+                    _gates(cpu_max), ["ts", "kind", "seq"], ttl=ttl, time="ts")
 
 
 def _ring(size):
@@ -246,8 +401,6 @@ def _cache(ttl_us, threshold, size):
 def answer_cache(asks, ttl_s=300, threshold=0.85, size=20):
     """A cached answer serves a similar question within the TTL; a served
     question is not cached again.  Silent conversations lose their state."""
-    timed = asks.withColumn("words", T.word_set("text")).withColumn(
-        "_t", F.col("ts").cast("timestamp")).withWatermark("_t", DELAY)
-    return stateful(timed, ["conv_id"], "query_id bigint, hit_id bigint",
+    return stateful(asks.withColumn("words", T.word_set("text")), ["conv_id"], "query_id bigint, hit_id bigint",
                     "ids array<bigint>, times array<bigint>, words array<array<string>>", ([], [], []),
-                    _cache(ttl_s * 1_000_000, threshold, size), ["ts", "query_id"], ttl_ms=ttl_s * 1000)
+                    _cache(ttl_s * 1_000_000, threshold, size), ["ts", "query_id"], ttl=ttl_s, time="ts")

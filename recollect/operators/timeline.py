@@ -1,6 +1,10 @@
 """Timeline operators: recent activity, snapshots, dialogue history, preferences."""
 
-from pyspark.sql import Window
+import uuid
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect import rules
@@ -10,6 +14,7 @@ from recollect.functions import text as T
 from recollect.functions import times as C
 from recollect.operators.ordered import HOT_ROWS, Ordered
 
+SHARED_BYTES = 16 << 20  # of aliases handed to every task
 SERVICE_SCHEMA = "pos int, service string, label string, kind string, alias string"
 
 
@@ -134,9 +139,11 @@ def _haystack():
 def service_alias_join(activity, services=None):
     """Services whose alias occurs in the activity text, one row per pair.
 
-    The registry is a short fixed list, so it becomes one array literal per row
-    and an explode; no join and no shuffle."""
+    services: a table (pos, service, label, kind, alias) of any size, or a short list, which
+    becomes one array literal per row and an explode; no join and no shuffle."""
     hay = _haystack()
+    if isinstance(services, DataFrame):
+        return alias_hits(activity, hay, services)
     hits = F.array_compact(F.array(*[
         F.when(T.contains_any(hay, aliases),
                F.struct(F.lit(i).alias("pos"), F.lit(sid).alias("service"),
@@ -145,6 +152,68 @@ def service_alias_join(activity, services=None):
     return activity.withColumn("_hit", F.explode(hits)).select("*", "_hit.*").drop("_hit")
 
 
+def alias_hits(rows, text, aliases, share=SHARED_BYTES):
+    """Rows with each entry (pos, service, label, kind) of a table that has an alias in `text`.
+
+    Up to `share` bytes of aliases go to every task as one automaton, which finds all of them
+    in one walk over a text. More are met by a key: every alias has one gram of three
+    characters (or all it has), every distinct text its grams, and what meets is checked."""
+    kinds = ["pos", "service", "label", "kind"]
+    names = aliases.filter(F.length("alias") > 0)
+    size = names.agg(F.sum(F.octet_length("alias") + 16)).first()[0] or 0
+    if size <= share:
+        names = names.select(*kinds, "alias").collect()  # at most `share` bytes
+        entries = sorted({tuple(r[k] for k in kinds) for r in names}, key=repr)
+        places = {e: i for i, e in enumerate(entries)}
+        by_alias = {}
+        for r in names:
+            by_alias.setdefault(r["alias"], set()).add(places[tuple(r[k] for k in kinds)])
+        if not by_alias:
+            return rows.limit(0).withColumns({k: F.lit(None).cast(aliases.schema[k].dataType) for k in kinds})
+        found = _automaton(rows.sparkSession.sparkContext.broadcast(by_alias))
+        table = F.broadcast(rows.sparkSession.createDataFrame(  # no more than the aliases
+            [(i, *e) for i, e in enumerate(entries)], "_entry int, pos int, service string, label string, kind string"))
+        return rows.withColumn("_entry", F.explode(found(text))).join(table, "_entry").drop("_entry")
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+    hay = rows.select(text.alias("_hay")).distinct().filter(F.length("_hay") > 0)
+    pieces = F.array_distinct(F.flatten(F.array(*[
+        F.when(F.length("_hay") >= n, grams(F.col("_hay"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
+    # The gram of an alias that the fewest aliases hold; which one is only a matter of speed.
+    held = names.select("alias").distinct().withColumn("_gram", F.explode(F.array_distinct(
+        F.when(F.length("alias") >= 3, grams(F.col("alias"), 3)).otherwise(F.array("alias")))))
+    rare = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    key = held.join(rare, "_gram").groupBy("alias").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    met = hay.withColumn("_gram", F.explode(pieces)).join(key, "_gram").filter(F.col("_hay").contains(F.col("alias")))
+    hits = met.select("_hay", "alias").join(names, "alias").select("_hay", *kinds).distinct()
+    return rows.withColumn("_hay", text).join(hits, "_hay").drop("_hay")
+
+
+_MACHINES = {}  # the automaton this worker built last, by its name
+
+
+def _machine(name, shared):
+    if name not in _MACHINES:
+        machine = ahocorasick.Automaton()
+        for alias, places in shared.value.items():
+            machine.add_word(alias, sorted(places))
+        machine.make_automaton()
+        _MACHINES.clear()
+        _MACHINES[name] = machine
+    return _MACHINES[name]
+
+
+def _automaton(shared):
+    """A column function: the places whose alias occurs in a text."""
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series) -> pd.Series:
+        machine = _machine(name, shared)
+        return texts.map(lambda t: sorted(set().union(*(places for _, places in machine.iter(t)))) if t else [])
+
+    return found
+
+
 def preferred_service(activity, want, keys=("stream",), window=300, services=None):
     """Per key, the service with the best recency-weighted score for a kind.
 
@@ -163,6 +232,9 @@ def preferred_service(activity, want, keys=("stream",), window=300, services=Non
 
 def most_recent_service(activity, keys=("stream",), services=None):
     """Per key, the first registered service matching the newest match."""
+    if isinstance(services, DataFrame):
+        hits = service_alias_join(activity, services)
+        return hits.groupBy(*keys).agg(F.max_by("service", F.struct("time_start", "seq", -F.col("pos"))).alias("service"))
     hay = _haystack()
     svc = F.coalesce(*[F.when(T.contains_any(hay, aliases), F.lit(sid))
                        for sid, _, _, aliases in (services or rules.SERVICES)])
@@ -170,6 +242,17 @@ def most_recent_service(activity, keys=("stream",), services=None):
             .groupBy(*keys).agg(F.max_by("service", F.struct("time_start", "seq")).alias("service")))
 
 
+def sessions(events, keys=("stream",), gap="30 minutes"):
+    """Runs of events of a key without a pause of `gap`: first and last time, number of events.
+
+    A batch, or a stream with a watermark on `_t` (see `streaming.jobs.sessions`). Spark merges
+    sessions on the map side first, so a key with very many events sends few of them."""
+    w = F.session_window("_t", gap)
+    timed = events if "_t" in events.columns else events.withColumn("_t", F.col("time_start").cast("timestamp"))
+    return timed.groupBy(*keys, w).agg(
+        F.min("time_start").alias("first_ts"), F.max("time_start").alias("last_ts"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
 def history_messages(qa_rows, n=20):
     """The newest n stored pairs as user/ai rows, oldest first."""
     pair = J.parse_qa("text")

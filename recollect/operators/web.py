@@ -1,5 +1,6 @@
 """Jobs over stored web pages: result extraction, links, sources."""
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,84 +11,102 @@ from recollect.functions import text as T
 from recollect.functions.text import col
 
 RESULT = "struct<title:string,href:string,snippet:string>"
+LAYOUTS = f"struct<grouped:array<{RESULT}>,flat:array<{RESULT}>>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
         "track", "wbr"}
+GROUPED = {"box": "result", "title": "result__a", "snippet": "result__snippet"}
+FLAT = {"title": "result-link", "snippet": "result-snippet"}
 
 
-class _Marked(HTMLParser):
-    """Text and link of the elements that carry one of the wanted classes."""
+class _Pages(HTMLParser):
+    """Both result layouts of a page in one pass, linear in its length.
 
-    def __init__(self, wanted):
+    A title or snippet is given to the open boxes that lack one as soon as it begins; a text
+    is a range of the page's pieces of text."""
+
+    def __init__(self, grouped, flat):
         super().__init__()
-        self.wanted, self.open, self.found = wanted, [], []
+        self.grouped, self.flat = grouped, flat
+        self.wanted = {*grouped.values(), *flat.values()}
+        self.pieces, self.open, self.depth = [], [], Counter()
+        self.boxes, self.links, self.snippets = [], [], []
+        self.lacks = {"title": [], "snippet": []}  # open boxes, the innermost last
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         classes = set((attrs.get("class") or "").split()) & self.wanted
         item = None
         if classes:
-            item = {"classes": classes, "tag": tag, "href": attrs.get("href") or "", "text": [],
-                    "inside": [x for _, x in self.open if x is not None]}
-            self.found.append(item)
-        if tag not in VOID:
+            item = {"href": attrs.get("href") or "", "from": len(self.pieces), "to": None, "title": None, "snippet": None}
+            for role, boxes in self.lacks.items():
+                if self.grouped[role] in classes:
+                    for b in boxes:
+                        b[role] = item
+                    boxes.clear()
+            if self.grouped["box"] in classes:
+                self.boxes.append(item)
+                if tag not in VOID:
+                    for boxes in self.lacks.values():
+                        boxes.append(item)
+            if self.flat["title"] in classes and tag == "a":
+                self.links.append(item)
+            if self.flat["snippet"] in classes:
+                self.snippets.append(item)
+        if tag in VOID:
+            if item:
+                item["to"] = item["from"]
+        else:
             self.open.append((tag, item))
+            self.depth[tag] += 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        if not self.depth[tag]:
+            return
+        while True:
+            name, item = self.open.pop()
+            self.depth[name] -= 1
+            if item:
+                item["to"] = len(self.pieces)
+                for boxes in self.lacks.values():
+                    if boxes and boxes[-1] is item:
+                        boxes.pop()
+            if name == tag:
                 return
 
     def handle_data(self, data):
-        for _, item in self.open:
-            if item is not None:
-                item["text"].append(data)
-
-
-def _marked(html, *classes):
-    p = _Marked(set(classes))
-    p.feed(html or "")
-    p.close()
-    return p.found
-
+        self.pieces.append(data)
 
-def _row(title, snippet):
-    return {"title": "".join(title["text"]).strip() if title else "",
-            "href": title["href"] if title else "",
-            "snippet": "".join(snippet["text"]).strip() if snippet else ""}
+    def text(self, item):
+        return "".join(self.pieces[item["from"]:item["to"]]).strip() if item else ""
 
+    def row(self, title, snippet):
+        return {"title": self.text(title), "href": title["href"] if title else "", "snippet": self.text(snippet)}
 
-def _grouped(html, box, title, snippet):
-    found = _marked(html, box, title, snippet)
-    rows = []
-    for b in (x for x in found if box in x["classes"]):
-        mine = [x for x in found if any(o is b for o in x["inside"])]
-        rows.append(_row(next((x for x in mine if title in x["classes"]), None),
-                         next((x for x in mine if snippet in x["classes"]), None)))
-    return rows
+    def results(self):
+        pairs = zip(self.links, self.snippets + [None] * len(self.links))
+        return {"grouped": [self.row(b["title"], b["snippet"]) for b in self.boxes],
+                "flat": [self.row(t, s) for t, s in pairs]}
 
 
-def _flat(html, title, snippet):
-    found = _marked(html, title, snippet)
-    snips = [x for x in found if snippet in x["classes"]]
-    links = [x for x in found if title in x["classes"] and x["tag"] == "a"]
-    return [_row(t, snips[i] if i < len(snips) else None) for i, t in enumerate(links)]
-
+def _results(html, grouped, flat):
+    if not html:
+        return {"grouped": [], "flat": []}
+    p = _Pages(grouped, flat)
+    p.feed(html)
+    p.close()
+    return p.results()
 
-def grouped_results(box="result", title="result__a", snippet="result__snippet"):
-    """H1 parser: results inside containers.  One page in, its results out."""
-    @F.pandas_udf(f"array<{RESULT}>")
-    def parse(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: _grouped(h, box, title, snippet))
-    return parse
 
+def page_results(html, grouped=GROUPED, flat=FLAT):
+    """H1-H3 parser: results inside containers, and titles and snippets as parallel lists, in
+    one pass. A page that cannot hold one of the class names does not reach Python."""
+    @F.pandas_udf(LAYOUTS)
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_results(h, grouped, flat) for h in pages], columns=["grouped", "flat"])
 
-def flat_results(title="result-link", snippet="result-snippet"):
-    """H2 parser: titles and snippets as two parallel lists."""
-    @F.pandas_udf(f"array<{RESULT}>")
-    def parse(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: _flat(h, title, snippet))
-    return parse
+    html = col(html)
+    named = T.contains_any(html, sorted({grouped["box"], *flat.values()}))
+    return parse(F.when(named | html.rlike(r"(?i)class\s*=[^&>]*&"), html))
 
 
 def decode_redirect(href):
@@ -109,27 +128,24 @@ def usable(results, question, domain="vk.com", keyword="vk", cap=5):
         r["title"].alias("title"), decode_redirect(r["href"]).alias("url"), r["snippet"].alias("snippet")))
 
 
+def _parsed(pages):
+    return pages.withColumn("_raw", page_results("html"))
+
+
 def extract_results(pages, question):
     """H1."""
-    raw = pages.withColumn("_raw", grouped_results()("html"))
-    return raw.withColumn("results", usable("_raw", question)).drop("_raw")
+    return _parsed(pages).withColumn("results", usable("_raw.grouped", question)).drop("_raw")
 
 
 def extract_results_flat(pages, question):
     """H2."""
-    raw = pages.withColumn("_raw", flat_results()("html"))
-    return raw.withColumn("results", usable("_raw", question)).drop("_raw")
+    return _parsed(pages).withColumn("results", usable("_raw.flat", question)).drop("_raw")
 
 
 def fallback_source(pages, question):
-    """H3: the container layout, or the flat one where it yields nothing.
-
-    A page goes through the second parser only if the first found nothing."""
-    first = extract_results(pages, question).withColumnRenamed("results", "_first")
-    left = F.when(F.size("_first") == 0, F.col("html")).otherwise("")
-    raw = first.withColumn("_raw", flat_results()(left))
-    return raw.withColumn("results", F.when(F.size("_first") > 0, F.col("_first")).otherwise(
-        usable("_raw", question))).drop("_raw", "_first")
+    """H3: the container layout, or the flat one where it yields nothing."""
+    first, second = usable("_raw.grouped", question), usable("_raw.flat", question)
+    return _parsed(pages).withColumn("results", F.when(F.size(first) > 0, first).otherwise(second)).drop("_raw")
 
 
 def domain_filter(links, href, question, domain="vk.com", keyword="vk"):

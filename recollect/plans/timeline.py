@@ -142,6 +142,38 @@ def most_recent_service(spark, d):
     return W.most_recent_service(W.activity_feed(V.memory(spark, d)))
 
 
+@query("service_alias_table", S.with_views("l0", ACTIVITY, SERVICES, HITS, body="""SELECT service, stream,
+   count(*) AS n FROM hits GROUP BY ALL"""))
+def service_alias_table(spark, d):
+    """The same join with the aliases as a table."""
+    hits = W.service_alias_join(W.activity_feed(V.memory(spark, d)), W.service_dimension(spark))
+    return hits.groupBy("service", "stream").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("alias_table_hits", S.with_views(("aliases", """SELECT source AS service, lang AS kind, lower(w) AS alias FROM (
+   SELECT source, lang, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) BETWEEN 5 AND 12 GROUP BY ALL"""),
+   ("hay", "SELECT conv_id, turn, lower(text) AS hay FROM conversations"),
+   ("words", "SELECT DISTINCT alias FROM aliases"),
+   ("met", "SELECT h.conv_id, h.turn, w.alias FROM hay h JOIN words w ON contains(h.hay, w.alias)"), body="""
+   SELECT service, kind, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, service, kind FROM met JOIN aliases USING (alias)) GROUP BY ALL"""))
+def alias_table_hits(spark, d):
+    """A table of aliases made of all words of the documents, met with every turn."""
+    docs = V.documents(spark, d).select("source", "lang", F.explode(F.split("text", " ")).alias("w"))
+    words = docs.filter(F.length("w").between(5, 12)).select(
+        F.lit(0).alias("pos"), F.col("source").alias("service"), F.lit("").alias("label"), F.col("lang").alias("kind"),
+        F.lower("w").alias("alias")).distinct()
+    hits = W.alias_hits(V.table(spark, d, "conversations").select("conv_id", "turn", "text"), F.lower("text"), words)
+    return hits.groupBy("service", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sessions", S.with_views("l0", ("marked", """SELECT *, CASE WHEN time_start - lag(time_start) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+   FROM l0 WINDOW w AS (PARTITION BY stream ORDER BY time_start, seq)"""), ("numbered", """SELECT *, sum(fresh) OVER (PARTITION BY stream
+   ORDER BY time_start, seq) AS session FROM marked"""), body="""SELECT stream, min(time_start) AS first_ts, max(time_start) AS last_ts, count(*) AS n
+   FROM numbered GROUP BY stream, session"""))
+def sessions(spark, d):
+    return W.sessions(V.memory(spark, d))
+
+
 @query("history_messages", S.with_views("qa", body=f"""SELECT ts, role, message FROM (SELECT * FROM (
      SELECT ts, unnest([0, 1]) AS pos, unnest(['user', 'ai']) AS role,
      unnest([{S.trim('question')}, {S.trim('answer')}]) AS message FROM (

@@ -17,17 +17,20 @@ closes a block at `block_tokens`, which bounds its memory.
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from recollect.llm.common import Cache, in_parts, stored, utf8
 
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 MARKER = b"<|"  # added tokens begin so
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which may join letters
+BYTES = 16 << 20  # of texts whose parts are looked up together
 LONGEST = 64  # bytes of a part that is remembered
 LATIN = "\u00ff"
 VOCABULARY = 65536  # ids are held in 16 bits
@@ -53,14 +56,21 @@ class Coder:
             for byte, c in zip(chr(code).encode(), self.splitter.pre_tokenize_str(chr(code))[0][0] if chr(code).isalpha() else ""):
                 self.shown[byte] = c
 
+    def part(self, part):
+        """Ids of a white-space separated part. Letters and the signs behind them never share a
+        token run, so a word is remembered once, whatever stands behind it."""
+        if len(part) > LONGEST:
+            return self.encode(part)
+        stem = part.rstrip(PUNCTUATION)
+        if 0 < len(stem) < len(part) and MARKER not in part:
+            last = stem.decode("utf-8")[-1:]
+            if last <= LATIN and last.isalnum() and last == last.lower():
+                return self.parts[stem] + self.parts[part[len(stem):]]
+        return self.parts[part]
+
     def encode(self, part):
         if part.isalpha() and part.islower():  # ASCII letters are one token run
             return self.run(part.decode())
-        stem = part.rstrip(PUNCTUATION)
-        last = stem.decode("utf-8")[-1:]
-        if len(stem) < len(part) <= LONGEST and MARKER not in part and last <= LATIN and last.isalnum() and last == last.lower():
-            signs = part[len(stem):]  # letters and signs never share a token run
-            return self.parts[stem] + (self.parts[signs] if len(signs) < len(part) else self.split(signs))
         text = part.decode("utf-8")
         if text.isalpha() and text.islower() and max(text) <= LATIN:  # nothing to compose, one token run
             return self.run("".join(map(self.shown.__getitem__, part)))
@@ -75,13 +85,33 @@ class Coder:
             return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(self.run(p) for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)))
 
+    def texts(self, texts, end):
+        """Ids of whole texts, each with the end id. A-Z are lower-cased early, as the
+        tokenizer does, except where an added token could then be taken for one. Each
+        distinct part of some texts is looked up once."""
+        for some in _runs(list(map(utf8, texts))):
+            split = [(t if MARKER in t else t.lower()).split() for t in some]
+            ids = dict.fromkeys(chain.from_iterable(split))
+            for p in ids:
+                ids[p] = self.part(p)
+            for parts in split:
+                yield b"".join(map(ids.__getitem__, parts)) + end
+
     def text(self, text, end):
-        """Ids of a whole text, then the end id. A-Z are lower-cased early, as the
-        tokenizer does, except where an added token could then be taken for one."""
-        data = utf8(text)
-        data = data if MARKER in data else data.lower()
-        known = self.parts.__getitem__
-        return b"".join([known(p) if len(p) <= LONGEST else self.encode(p) for p in data.split()]) + end
+        return next(self.texts([text], end))
+
+
+def _runs(texts):
+    """Consecutive texts of about BYTES together."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > BYTES:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
 
 
 @lru_cache(maxsize=1)
@@ -90,44 +120,65 @@ def coder_of(path):
     return Coder(path)
 
 
-def signature(ids):
-    """Smallest mixed hash of three consecutive ids, as a signed long."""
-    x = ids.astype(np.uint64)
-    if len(x) >= 3:
-        x = x[:-2] * np.uint64(VOCABULARY ** 2) + x[1:-1] * np.uint64(VOCABULARY) + x[2:]
-    x = (x ^ (x >> np.uint64(31))) * NO_PAST
-    return int((x ^ (x >> np.uint64(29))).min() >> np.uint64(1))
+def signatures(docs):
+    """For each document its smallest mixed hash of three consecutive ids (of all it has, if
+    fewer), as signed longs. No document is empty: each has the end id."""
+    size = np.fromiter(map(len, docs), np.int64, len(docs))
+    first = np.cumsum(size) - size
+    x = np.concatenate(docs).astype(np.uint64)
+    triple = x.copy()
+    triple[:-2] = x[:-2] * np.uint64(VOCABULARY ** 2) + x[1:-1] * np.uint64(VOCABULARY) + x[2:]
+    place = np.arange(len(x)) - np.repeat(first, size)
+    inside = place + 2 < np.repeat(size, size)
+    short = np.repeat(size < 3, size)
+    triple = np.where(short, x, triple)
+    mixed = (triple ^ (triple >> np.uint64(31))) * NO_PAST
+    mixed = mixed ^ (mixed >> np.uint64(29))
+    mixed[~inside & ~short] = np.iinfo(np.uint64).max
+    return (np.minimum.reduceat(mixed, first) >> np.uint64(1)).astype(np.int64)
 
 
 def tokenise(docs, path, end=2):
-    """doc_id, ids (16-bit little-endian, the end id last), n, signature."""
+    """doc_id, ids (16-bit little-endian, the end id last), n, signature; and at the end of each
+    task a row with `held` alone, the number of its documents that hold each id."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         coder = coder_of(path)
         last = end.to_bytes(2, "little")
+        count = np.zeros(VOCABULARY, np.int64)
+        kind = None
         for b in in_parts(batches):
-            ids = [coder.text(t.as_py(), last) for t in b.column(1)]
+            if not b.num_rows:
+                continue
+            ids = list(coder.texts(b.column(1).to_pylist(), last))
+            arrays = [np.frombuffer(x, "<u2") for x in ids]
+            count += np.bincount(_pairs(arrays) % VOCABULARY, minlength=VOCABULARY)
+            kind = b.column(0).type
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) for x in arrays], pa.int64()),
+                 pa.array(signatures(arrays)), pa.nulls(len(ids), pa.binary())], names=names)
+        if kind is not None:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()),
-                 pa.array([signature(np.frombuffer(x, "<u2")) for x in ids], pa.int64())],
-                names=["doc_id", "ids", "n", "signature"])
+                [pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                 pa.array([count.tobytes()], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, n bigint, signature bigint")
+    names = ["doc_id", "ids", "n", "signature", "held"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, n bigint, signature bigint, held binary")
 
 
-def frequencies(tokens):
+def frequencies(held):
     """Documents that hold each id, as an array over the vocabulary (65,536 counts)."""
 
     def run(batches):
         count = np.zeros(VOCABULARY, np.int64)
-        for b in in_parts(batches):
-            docs = [np.frombuffer(x.as_py(), "<u2") for x in b.column(0)]
-            count += np.bincount(_pairs(docs) % VOCABULARY, minlength=VOCABULARY)
+        for b in batches:
+            for x in b.column(0):
+                count += np.frombuffer(x.as_py(), np.int64)
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["id", "df"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id bigint, df bigint").groupBy("id").agg(F.sum("df").alias("df")).collect()
+    rows = held.select("held").mapInArrow(run, "id bigint, df bigint").groupBy("id").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(VOCABULARY, np.int64)
     for r in rows:
         out[r["id"]] = r["df"]
@@ -160,11 +211,22 @@ class Index:
     def scores(self, seed):
         """BM25 of every document of the block against the ids of one of them."""
         terms = self.terms[self.first[seed]:self.first[seed + 1]].astype(np.int64)
-        spans = [slice(a, z) for a, z in zip(self.start[terms].tolist(), self.start[terms + 1].tolist())]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]),
-                           np.concatenate([self.weight[s] for s in spans]), self.n)
+        size = self.start[terms + 1] - self.start[terms]
+        at = np.repeat(self.start[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.doc[at], self.weight[at], self.n)
+
+
+def ranked(scores, left, some=32):
+    """The documents `left` by falling score, ties to the earlier one; only as many as are
+    asked for are sorted."""
+    s = scores[left]
+    if len(left) > 2 * some:
+        edge = np.partition(s, len(s) - some)[len(s) - some]
+        above = np.flatnonzero(s > edge)
+        yield from left[above[np.argsort(-s[above], kind="stable")]].tolist()
+        yield from left[s == edge].tolist()
+        left, s = left[s < edge], s[s < edge]
+    yield from left[np.argsort(-s, kind="stable")].tolist()
 
 
 def pack_block(docs, idf, mean, window):
@@ -186,9 +248,7 @@ def pack_block(docs, idf, mean, window):
         pieces, room = [(seed, start, length)], window - length
         rest = (seed, start + length) if start + length < len(docs[seed]) else None
         if room:
-            left = np.flatnonzero(unused)
-            ranked = left[np.argsort(-index.scores(seed)[left], kind="stable")]
-            for d in ranked.tolist():
+            for d in ranked(index.scores(seed), np.flatnonzero(unused)):
                 length = min(room, len(docs[d]))
                 pieces.append((d, 0, length))
                 unused[d] = False
@@ -267,13 +327,14 @@ def pack(docs, tokenizer, window=4096, end=2, shard_tokens=1 << 20, block_tokens
     the window fills several. An empty table gives an empty table.
     """
     id_type = docs.schema["doc_id"].dataType
-    tokens = stored(tokenise(docs, tokenizer, end), "token-ids")
+    written = stored(tokenise(docs, tokenizer, end), "token-ids")
+    frequency = frequencies(written.where("held is not null"))
+    tokens = written.where("n is not null")
     rows, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequency = frequencies(tokens)
     shards = max(1, -(-total // shard_tokens))
     placed = tokens.select("doc_id", "ids", "signature").repartitionByRange(shards, "signature", "doc_id")
     tail = ", ids array<int>" if with_ids else ""
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    arrow = to_arrow_type(id_type)
     out = placed.sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(
         _packer(frequency, rows, total, window, block_tokens, with_ids, arrow),
         f"doc_id {id_type.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "

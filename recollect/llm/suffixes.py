@@ -29,6 +29,16 @@ from recollect.llm import anchors
 from recollect.llm.common import in_parts, release, stored, utf8
 
 PLACE = ["doc_id", "part", "at"]
+COUNT = 10  # bits of a row's `spot` that hold the number of windows; the rest is where they begin
+
+
+def spots(at, count):
+    return (at << COUNT) | count
+
+
+def names_of(rows):
+    """The columns that name a document: `part` only where an id has several texts."""
+    return [c for c in ("doc_id", "part") if c in rows.columns]
 
 
 def _texts(batch_, column):
@@ -62,25 +72,38 @@ def _joined(pieces):
 
 
 def run_rows(base, width, gram):
-    """A row per run: lead, whole (content), doc_id, part, at, count (of windows)."""
+    """A row per run: lead, whole (content), the document's name, spot (place and windows)."""
+    named = names_of(base)
 
     def run(batches):
         for b in in_parts(batches):
-            for data, ends, index, start, begin in _laid_out(_texts(b, 2), width):
+            for data, ends, index, start, begin in _laid_out(_texts(b, len(named)), width):
                 text, first, last, lead, whole = anchors.runs(data, ends, width, gram)
                 if not len(first):
                     continue
                 rows = pa.array(index[text])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)), b.column(0).take(rows),
-                     b.column(1).take(rows), pa.array(first - begin[text] + start[text]), pa.array(last - first + 1)],
-                    names=["lead", "whole", *PLACE, "count"])
+                    [pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)),
+                     *[b.column(i).take(rows) for i in range(len(named))],
+                     pa.array(spots(first - begin[text] + start[text], last - first + 1))],
+                    names=["lead", "whole", *named, "spot"])
 
-    return base.mapInArrow(run, "lead bigint, whole bigint, doc_id bigint, part bigint, at bigint, count bigint")
+    return base.mapInArrow(run, "lead bigint, whole bigint, " + "".join(f"{c} bigint, " for c in named) + "spot bigint")
+
+
+def joined_up(docs, at, count):
+    """Windows in order as (rows, at, count): those that touch the row before them, in the same
+    document, are one. A run of equal bytes, whose windows are rows of their own, becomes short."""
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] < at[:-1]) | (at[1:] > at[:-1] + count[:-1])
+    for d in docs:
+        new[1:] |= d[1:] != d[:-1]
+    first = np.flatnonzero(new)
+    return first, at[first], np.maximum.reduceat(at + count, first) - at[first]
 
 
 def _compare(with_edges):
-    """Neighbours of a sorted bucket. Rows out: kind 0: a repeat; kind 1: the first of
+    """Neighbours of a sorted bucket. Rows out: kind 0: repeats; kind 1: the first of
     its content here, with `open` 0 (its leading key begins and ends in this bucket), 1
     (the leading key of the bucket's first row) or 2 (that of its last row); kind 2: the
     bucket's first and last row. `head` marks the first row of the bucket."""
@@ -93,11 +116,11 @@ def _compare(with_edges):
         first = last = None
         held = []  # firsts of the leading key that may go on
 
-        def rows(kind, head, lead, whole, places, count):
+        def rows(kind, head, lead, whole, docs, at, count):
             n = len(lead)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, kind, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(head), pa.array(lead),
-                 pa.array(whole), *places, pa.array(count), pa.array(np.full(n, bucket, np.int32))], names=names)
+                 pa.array(whole), *docs, at, pa.array(count), pa.array(np.full(n, bucket, np.int32))], names=names)
 
         def opened(part, open_):
             return part.set_column(1, "open", pa.array(open_.astype(np.int32)))
@@ -105,7 +128,14 @@ def _compare(with_edges):
         for b in batches:
             if not b.num_rows:
                 continue
-            lead, whole, count = (b.column(i).to_numpy() for i in (0, 1, 5))
+            lead, whole, spot = (b.column(i).to_numpy() for i in (0, 1, b.num_columns - 1))
+            at, count = spot >> COUNT, spot & ((1 << COUNT) - 1)
+            docs = [b.column(i) for i in range(2, b.num_columns - 1)]
+
+            def docs_at(places):
+                taken = [d.take(pa.array(places)) for d in docs]
+                return taken if len(taken) == 2 else [*taken, pa.array(np.zeros(len(places), np.int64))]
+
             before = last
             same = np.empty(len(lead), bool)
             same[1:] = (lead[1:] == lead[:-1]) & (whole[1:] == whole[:-1])
@@ -114,16 +144,16 @@ def _compare(with_edges):
             last = (lead[-1], whole[-1])
             repeat, new = np.flatnonzero(same), np.flatnonzero(~same)
             if len(repeat):
-                none = np.zeros(len(repeat), np.int64)
-                yield rows(0, none.astype(bool), none, none, [b.column(i).take(pa.array(repeat)) for i in (2, 3, 4)],
-                           count[repeat])
+                first_of, start, n = joined_up([d.to_numpy()[repeat] for d in docs], at[repeat], count[repeat])
+                none = np.zeros(len(n), np.int64)
+                yield rows(0, none.astype(bool), none, none, docs_at(repeat[first_of]), pa.array(start), n)
             if not with_edges:
                 new = new[:before is None]  # of the firsts, only the bucket's first row is asked for
             if not len(new):
                 continue
             head = np.zeros(len(new), bool)
             head[0] = before is None
-            held.append(rows(1, head, lead[new], whole[new], [b.column(i).take(pa.array(new)) for i in (2, 3, 4)], count[new]))
+            held.append(rows(1, head, lead[new], whole[new], docs_at(new), pa.array(at[new]), count[new]))
             part = pa.concat_batches(held)
             leads = part.column(3).to_numpy()
             cut = int(np.argmax(leads == leads[-1]))
@@ -136,7 +166,8 @@ def _compare(with_edges):
             for part in held:
                 yield opened(part, np.full(part.num_rows, 1 if part.column(3)[0].as_py() == first[0] else 2))
             keys = np.array([first, last], np.int64)
-            yield rows(2, np.array([True, False]), keys[:, 0], keys[:, 1], [pa.nulls(2, pa.int64())] * 3, np.zeros(2, np.int64))
+            none = pa.nulls(2, pa.int64())
+            yield rows(2, np.array([True, False]), keys[:, 0], keys[:, 1], [none, none], none, np.zeros(2, np.int64))
 
     return run
 
@@ -148,8 +179,8 @@ SORTED = ("kind int, open int, head boolean, lead bigint, whole bigint, doc_id b
 def sort_and_compare(rows, buckets, name, with_edges):
     """Repeats and (if asked for) the firsts whose leading key has other content too.
 
-    rows: lead, whole, doc_id, part, at, count. Both results have the place and count."""
-    keys = ["lead", "whole", *PLACE]
+    rows: lead, whole, name, spot. Both results have the place and count."""
+    keys = ["lead", "whole", *names_of(rows), "spot"]
     found = stored(rows.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
                    .mapInArrow(_compare(with_edges), SORTED), name)
     spark = rows.sparkSession
@@ -179,14 +210,15 @@ def sort_and_compare(rows, buckets, name, with_edges):
 
 
 def window_rows(docs, edges, width):
-    """A row per window of the edge runs: lead, whole (the window's fingerprint), place."""
-    lists = edges.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "count", "lead")).alias("runs"))
-    joined = docs.join(lists, ["doc_id", "part"]).select("doc_id", "part", "text", "runs")
+    """A row per window of the edge runs: lead, whole (the window's fingerprint), name, spot."""
+    named = names_of(docs)
+    lists = edges.groupBy(*named).agg(F.collect_list(F.struct("at", "count", "lead")).alias("runs"))
+    joined = docs.join(lists, named).select(*named, "text", "runs")
 
     def run(batches):
         for b in in_parts(batches):
-            for i, text in enumerate(_texts(b, 2)):
-                runs = b.column(3)[i].values
+            for i, text in enumerate(_texts(b, len(named))):
+                runs = b.column(len(named) + 1)[i].values
                 at, count, lead = (runs.field(k).to_numpy() for k in ("at", "count", "lead"))
                 data = np.frombuffer(text, np.uint8)
                 for start in range(0, len(data), anchors.SEGMENT):
@@ -199,11 +231,11 @@ def window_rows(docs, edges, width):
                     whole = anchors.Hashes(part, 1).of(places - start, places - start + width)
                     one = pa.array(np.full(len(places), i))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(lead[mine], n)), pa.array(whole.view(np.int64)), b.column(0).take(one),
-                         b.column(1).take(one), pa.array(places), pa.array(np.ones(len(places), np.int64))],
-                        names=["lead", "whole", *PLACE, "count"])
+                        [pa.array(np.repeat(lead[mine], n)), pa.array(whole.view(np.int64)),
+                         *[b.column(k).take(one) for k in range(len(named))], pa.array(spots(places, 1))],
+                        names=["lead", "whole", *named, "spot"])
 
-    return joined.mapInArrow(run, "lead bigint, whole bigint, doc_id bigint, part bigint, at bigint, count bigint")
+    return joined.mapInArrow(run, "lead bigint, whole bigint, " + "".join(f"{c} bigint, " for c in named) + "spot bigint")
 
 
 def merge_spans(starts, ends):
@@ -216,11 +248,14 @@ def merge_spans(starts, ends):
 
 def repeated_spans(docs, width=100, gram=50, bucket_rows=400_000):
     """`doc_id`, `part`, `spans` (array of struct at, count): the repeated windows of
-    each document that has some. docs: doc_id, part, text without repeated rows."""
+    each document that has some. docs: doc_id, part (where an id has several texts), text;
+    no repeated rows."""
+    if width - gram + 1 >= 1 << COUNT:
+        raise ValueError(f"a run may hold at most {(1 << COUNT) - 1} windows: choose a longer gram")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     density = 2 / (width - gram + 2)
     buckets = max(1, int(size * density / bucket_rows) + 1)
-    runs = run_rows(docs.select("doc_id", "part", "text"), width, gram)
+    runs = run_rows(docs, width, gram)
     repeats, edges = sort_and_compare(runs, buckets, "suffix-runs", True)
     windows = window_rows(docs, edges, width)
     more, _ = sort_and_compare(windows, buckets, "suffix-windows", False)
@@ -248,7 +283,7 @@ def remove_repeats(docs, width=100, gram=50, texts=False):
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     kept = docs.columns if texts else ["doc_id", "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), key.alias("doc_id"), part.alias("part"))
-    base = rows.select("doc_id", "part", F.coalesce("row.text", F.lit("")).alias("text"))
+    base = rows.select("doc_id", *["part"] * repeated, F.coalesce("row.text", F.lit("")).alias("text"))
     spans = repeated_spans(base.distinct() if repeated else base, width, gram)
     joined = rows.join(spans, ["doc_id", "part"], "left").select("row", "spans")
     head = joined.schema["row"] if texts else docs.schema["doc_id"]

@@ -43,20 +43,25 @@ def mark_links(memory, threshold=rules.LINK_SIMILARITY, limit=HOT_ROWS):
     return o.result()
 
 
-def chronos_facts(marked):
+def chronos_facts(marked, details=None):
     """One row per fact.  Later texts stay rows of `chronos_deltas`: a fact
-    may be extended any number of times, so an array would have no bound."""
+    may be extended any number of times, so an array would have no bound.
+
+    A fact's text is that of its first row, whose seq names the fact. details: adds
+    texts to rows with a seq; linking then needs no texts, only keys, titles and vectors."""
     at = F.struct("time_start", "seq")
-    return marked.groupBy("stream", "fact").agg(
+    text = [] if details else [F.min_by("text", at).alias("text")]
+    facts = marked.groupBy("stream", "fact").agg(
         F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
         F.first("app_name").alias("app_name"), F.first("window_title").alias("window_title"),
-        F.min_by("text", at).alias("text"), F.max_by("embedding", at).alias("embedding"),
-        (F.count(F.lit(1)) - 1).alias("deltas"))
+        *text, F.max_by("embedding", at).alias("embedding"), (F.count(F.lit(1)) - 1).alias("deltas"))
+    return details(facts.withColumn("seq", F.col("fact"))).drop("seq") if details else facts
 
 
-def chronos_deltas(marked):
+def chronos_deltas(marked, details=None):
     """The later texts of each fact as rows."""
-    return marked.filter("linked").select("stream", "fact", C.micros("time_start").alias("t"), "text")
+    later = marked.filter("linked")
+    return (details(later) if details else later).select("stream", "fact", C.micros("time_start").alias("t"), "text")
 
 
 def stability_rate(marked):

@@ -163,9 +163,16 @@ def knn_filtered(memory, queries, k, condition=None, metric="l2"):
     return rows.drop("embedding").join(F.broadcast(hits) if few else hits, "seq")
 
 
-def find_relevant(memory, queries, k):
-    """V2: the texts nearest to each query."""
-    return knn_filtered(memory, queries, k).select("query_id", "rank", "text")
+def _detailed(hits, details):
+    return hits if details is None else details(hits)
+
+
+def find_relevant(memory, queries, k, details=None):
+    """V2: the texts nearest to each query.
+
+    details: adds the texts to the hits, so that a search reads keys and vectors only; without
+    it `memory` has them. So in all searches below."""
+    return _detailed(knn_filtered(memory, queries, k), details).select("query_id", "rank", "text")
 
 
 def count_relevant(memory, summaries, queries, cap=5):
@@ -177,7 +184,7 @@ def count_relevant(memory, summaries, queries, cap=5):
 
 
 def search_by_filter(memory, queries, limit, time_from=None, time_to=None, app=None,
-                     mode="postfilter"):
+                     mode="postfilter", details=None):
     """V4: nearest rows, then time range and app; newest first.
 
     `postfilter` looks at 4 x limit neighbours and may return fewer rows;
@@ -197,8 +204,8 @@ def search_by_filter(memory, queries, limit, time_from=None, time_to=None, app=N
     w = Window.partitionBy("query_id").orderBy(*newest_first())
     line = F.concat(F.lit("["), C.fmt_ts("time_start"), F.lit("] ["), "app_name", F.lit("] "),
                     F.substring("text", 1, 200))
-    return (hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
-            .select("query_id", "pos", line.alias("line")))
+    chosen = hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
+    return _detailed(chosen, details).select("query_id", "pos", line.alias("line"))
 
 
 def archive_keyword_search(archive, keyword, limit):
@@ -231,13 +238,14 @@ def _by_time_desc():
     return [(-C.micros("time_start")).alias("_t"), (-F.col("seq")).alias("_s")]
 
 
-def smart_rag(memory, summaries, questions, log_lines, as_of):
+def smart_rag(memory, summaries, questions, log_lines, as_of, details=None, previews=None):
     """V6: per question, recent screen log, nearest summaries and nearest events.
 
     memory / summaries  rows with vectors; log_lines is one text, already built
-    questions           query_id, text, embedding"""
+    questions           query_id, text, embedding
+    details / previews  add the texts of memory and summary hits, where the rows lack them"""
     asked = questions.select("query_id", K.is_screen_query("text").alias("want_screen"))
-    rolled = knn_filtered(summaries, questions, 5)
+    rolled = _detailed(knn_filtered(summaries, questions, 5), previews)
     piece = F.concat(F.lit("["), C.fmt_ts("time_start"), F.lit(" · "), C.rel_age("time_start", as_of),
                      F.lit("] "), "preview", F.lit("\n\n"))
     rolled = _joined(rolled, _by_time_desc(), piece).withColumnRenamed("_block", "_rolled")
@@ -246,7 +254,7 @@ def smart_rag(memory, summaries, questions, log_lines, as_of):
     keep = ~F.col("app_name").isin("user", "system") & (
         F.col("want_screen") | F.col("app_name").isin("dialogue", "note"))
     w = Window.partitionBy("query_id").orderBy(*newest_first())
-    raw = raw.filter(keep).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 5)
+    raw = _detailed(raw.filter(keep).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 5), details)
     s = C.age_seconds("time_start", as_of)
     age = F.when(s < 3600, F.concat(C.div(s, F.lit(60).cast("long")).cast("string"), F.lit(" min ago"))) \
         .otherwise(F.concat(C.div(s, F.lit(3600).cast("long")).cast("string"), F.lit(" h ago")))
@@ -275,9 +283,9 @@ def screen_block(log, snapshot=None):
     return F.lit(f"[CURRENT_SCREEN {last['at']}]\n{last['text']}\n\n" if last else "")
 
 
-def legacy_timeline(memory, questions, recent=3, k=10):
+def legacy_timeline(memory, questions, recent=3, k=10, details=None):
     """V8: the nearest rows newest first; three in full, the rest compressed."""
-    hits = knn_filtered(memory, questions, k)
+    hits = _detailed(knn_filtered(memory, questions, k), details)
     w = Window.partitionBy("query_id").orderBy(*newest_first())
     ranked = hits.withColumn("_n", F.row_number().over(w))
     full = F.concat(F.lit("["), C.fmt_ts("time_start"), F.lit("] "), "app_name", F.lit(" / "),
@@ -291,11 +299,11 @@ def legacy_timeline(memory, questions, recent=3, k=10):
         F.concat(F.lit("## Recent events\n"), "_block", tail), 1, CONTEXT_CHARS).alias("context"))
 
 
-def topic_timeline_rag(smart, memory, questions):
+def topic_timeline_rag(smart, memory, questions, details=None):
     """V7: `smart`, or the older timeline where a screen question found nothing."""
     smart = written(smart, "context")   # one short row per question, used twice
     empty = (F.col("context") == rules.NOTHING_FOUND) & F.col("want_screen")
     todo = questions.join(smart.filter(empty).select("query_id"), "query_id", "left_semi")
-    older = legacy_timeline(memory, todo).withColumnRenamed("context", "_older")
+    older = legacy_timeline(memory, todo, details=details).withColumnRenamed("context", "_older")
     return smart.join(older, "query_id", "left").select(
         "query_id", "want_screen", F.coalesce("_older", "context").alias("context"))

@@ -32,7 +32,7 @@ def lagged(src):
    max(time_end) AS time_end, any_value(app_name) AS app_name, any_value(window_title) AS window_title,
    md5(arg_min(text, time_start)) AS text_md5, count(*) - 1 AS deltas FROM marked GROUP BY stream, fact"""))
 def chronos_link(spark, d):
-    facts = D.chronos_facts(D.mark_links(V.memory(spark, d, text=True, vectors=True)))
+    facts = D.chronos_facts(D.mark_links(V.memory(spark, d, vectors=True)), lambda rows: V.with_text(rows, spark, d))
     return facts.select("stream", "fact", "time_start", "time_end", "app_name", "window_title",
                         F.md5("text").alias("text_md5"), "deltas")
 
@@ -40,7 +40,7 @@ def chronos_link(spark, d):
 @query("delta_timeline", S.with_views("l0tv", lagged("l0tv"), MARKED, body="""SELECT stream, fact,
    epoch_us(time_start) AS t, md5(text) AS text_md5 FROM marked WHERE linked"""))
 def delta_timeline(spark, d):
-    rows = D.chronos_deltas(D.mark_links(V.memory(spark, d, text=True, vectors=True)))
+    rows = D.chronos_deltas(D.mark_links(V.memory(spark, d, vectors=True)), lambda rows: V.with_text(rows, spark, d))
     return rows.select("stream", "fact", "t", F.md5("text").alias("text_md5"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from recollect import rules
 from recollect.functions import text as T
 from recollect.functions import times as C
+from recollect.operators import approximate as A
 from recollect.operators import context as P
 from recollect.operators import joins as X
 from recollect.operators import retrieval as R
@@ -16,16 +17,34 @@ from recollect.plans.dedup import wordlist
 from recollect.plans.registry import query
 from recollect.plans.text import NUMS, VAL, CORE, audited, AUDITED
 from recollect.plans.timeline import as_of, ACTIVITY, PHRASES, KEPT, LINE
+from recollect.session import scratch_path
+from recollect.sources import store
 from recollect.sources import views as V
 
 L = F.lit
 
 
-def levels1(spark, d):
-    """Hour records with a preview and the vector of their newest row."""
-    m = V.memory(spark, d, text=True, vectors=True).withColumn("hour", C.hour_bucket("time_start"))
-    vec = m.groupBy("hour").agg(F.max_by("embedding", F.struct("time_start", "seq")).alias("embedding"))
-    return G.hour_previews(m).join(vec, "hour").withColumn("seq", F.col("hour"))
+def texts(spark, d):
+    """Adds the texts to rows that were found."""
+    return lambda rows: V.with_text(rows, spark, d)
+
+
+def hour_vectors(spark, d):
+    """Hour records with the vector of their newest row; `seq` is the hour."""
+    m = V.memory(spark, d, vectors=True).withColumn("hour", C.hour_bucket("time_start"))
+    return m.groupBy("hour").agg(
+        F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
+        F.max_by("embedding", F.struct("time_start", "seq")).alias("embedding")).withColumnRenamed("hour", "seq")
+
+
+def hour_texts(spark, d):
+    """Adds the previews to hour records that were found, reading the texts of those hours only."""
+    def add(rows):
+        hours = rows.select(F.col("seq").alias("hour")).distinct()
+        m = V.memory(spark, d).withColumn("hour", C.hour_bucket("time_start")).join(hours, "hour", "left_semi")
+        found = G.hour_previews(V.with_text(m, spark, d)).select(F.col("hour").alias("seq"), "preview")
+        return rows.join(found, "seq")
+    return add
 
 
 L1 = ("l1", """SELECT epoch_us(time_start) // 3600000000 AS seq, min(time_start) AS time_start,
@@ -52,17 +71,24 @@ def knn_filtered(spark, d):
     return hits.select("query_id", "seq", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("approx_knn")
+def approx_knn(spark, d):
+    """About the ten nearest rows of every 50th vector; its recall is tested."""
+    v = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    return A.approx_knn(v, v.filter(F.col("seq") % 50 == 0).select(F.col("seq").alias("query_id"), "embedding"), 10)
+
+
 @query("find_relevant", S.with_views("questions", "l0tv", near("n", "l0tv", 5), body="""
    SELECT query_id, rank, md5(text) AS text FROM n JOIN l0tv USING (seq)"""))
 def find_relevant(spark, d):
-    hits = R.find_relevant(V.memory(spark, d, text=True, vectors=True), V.questions(spark, d), 5)
+    hits = R.find_relevant(V.memory(spark, d, vectors=True), V.questions(spark, d), 5, texts(spark, d))
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.md5("text").alias("text"))
 
 
 @query("count_relevant", S.with_views("questions", body="""SELECT query_id,
    least(5, (SELECT count(*) FROM events)) AS raw, least(5, (SELECT count(DISTINCT epoch_us(ts) // 3600000000) FROM events)) AS rolled FROM questions"""))
 def count_relevant(spark, d):
-    return R.count_relevant(V.memory(spark, d, vectors=True), levels1(spark, d), V.questions(spark, d))
+    return R.count_relevant(V.memory(spark, d, vectors=True), hour_vectors(spark, d), V.questions(spark, d))
 
 
 T0, T1 = 1704844800, 1705708800   # 2024-01-10 and 2024-01-20, inclusive
@@ -80,14 +106,14 @@ COND = f"epoch_us(time_start) // 1000000 BETWEEN {T0} AND {T1} AND contains(lowe
 
 @query("search_by_filter", filtered_sql(near("n", "l0tv", 40), COND))
 def search_by_filter(spark, d):
-    return R.search_by_filter(V.memory(spark, d, text=True, vectors=True), V.questions(spark, d), 10, T0, T1,
-                              "Fire").withColumn("pos", F.col("pos").cast("bigint"))
+    return R.search_by_filter(V.memory(spark, d, vectors=True), V.questions(spark, d), 10, T0, T1,
+                              "Fire", details=texts(spark, d)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("search_by_filter_pre", filtered_sql(near("n", "(SELECT * FROM l0tv WHERE " + COND + ")", 10), "true"))
 def search_by_filter_pre(spark, d):
-    return R.search_by_filter(V.memory(spark, d, text=True, vectors=True), V.questions(spark, d), 10, T0, T1,
-                              "Fire", "prefilter").withColumn("pos", F.col("pos").cast("bigint"))
+    return R.search_by_filter(V.memory(spark, d, vectors=True), V.questions(spark, d), 10, T0, T1,
+                              "Fire", "prefilter", texts(spark, d)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("archive_keyword_search", S.with_views("l0t", body=f"""SELECT time_start, '[' || {S.fmt_ts('time_start')} || '] ' || p AS line
@@ -95,7 +121,11 @@ def search_by_filter_pre(spark, d):
      WHEN 2 THEN '{{"app_name":"x","text":' || id ELSE left(text, 200) END AS p FROM l0t)
    WHERE contains(lower(p), 'tion') ORDER BY time_start DESC, seq DESC LIMIT 50"""))
 def archive_keyword_search(spark, d):
-    return R.archive_keyword_search(V.payloads(spark, d), "Tion", 50)
+    """Over an archive that was written first."""
+    path = scratch_path(spark, "searched-archive")
+    store.archive_write(V.payloads(spark, d), path, "2024-02-01")
+    archive = store.archive_read(spark, path).withColumn("seq", F.col("id").cast("bigint"))
+    return R.archive_keyword_search(archive, "Tion", 50)
 
 
 def mixed_questions(spark, d):
@@ -127,8 +157,8 @@ def smart(spark, d):
     now = as_of(spark, d)
     log = W.iron_log(V.memory(spark, d), 8, now)
     block = R.screen_block(log, lambda: W.last_screen_snapshot(V.memory(spark, d, text=True)))
-    return R.smart_rag(V.memory(spark, d, text=True, vectors=True), levels1(spark, d),
-                       mixed_questions(spark, d), block, now)
+    return R.smart_rag(V.memory(spark, d, vectors=True), hour_vectors(spark, d), mixed_questions(spark, d), block, now,
+                       texts(spark, d), hour_texts(spark, d))
 
 
 @query("smart_rag", S.with_views(*RAG, body="SELECT query_id, want_screen, context FROM smart"))
@@ -138,8 +168,7 @@ def smart_rag(spark, d):
 
 @query("topic_timeline_rag", S.with_views(*RAG, body="SELECT query_id, want_screen, context FROM smart"))
 def topic_timeline_rag(spark, d):
-    return R.topic_timeline_rag(smart(spark, d), V.memory(spark, d, text=True, vectors=True),
-                                mixed_questions(spark, d))
+    return R.topic_timeline_rag(smart(spark, d), V.memory(spark, d, vectors=True), mixed_questions(spark, d), texts(spark, d))
 
 
 @query("legacy_timeline", S.with_views("questions", "l0tv", near("n", "l0tv", 10), ("r", """SELECT n.query_id, m.*,
@@ -149,7 +178,7 @@ def topic_timeline_rag(spark, d):
      || left(string_agg(app_name || ' (' || window_title || '): ' || left(text, 120), chr(10) ORDER BY i) FILTER (i > 3), 300), ''), 2500) AS context
    FROM r GROUP BY query_id"""))
 def legacy_timeline(spark, d):
-    return R.legacy_timeline(V.memory(spark, d, text=True, vectors=True), V.questions(spark, d))
+    return R.legacy_timeline(V.memory(spark, d, vectors=True), V.questions(spark, d), details=texts(spark, d))
 
 
 @query("embed_text", "SELECT doc_id, 384 AS dims FROM documents")
@@ -314,13 +343,19 @@ def answer_postprocess(spark, d):
 SKIP = S.lit(rules.SKIP_ANSWER_START)
 
 
-@query("dialogue_persist", S.with_views("qa", body=f"""SELECT ts, md5('Q: ' || question || chr(10) || 'A: ' || answer) AS text, 'dialogue' AS app_name FROM (
-   SELECT ts, question, CASE WHEN turn % 4 = 2 THEN {SKIP} || ' ' || answer WHEN conv_id % 5 = 0 THEN left(answer, 12) ELSE answer END AS answer FROM qa)
+@query("dialogue_persist", S.with_views("qa", ("short", """SELECT ts, question, CASE WHEN turn % 4 = 2 THEN """ + SKIP + """ || ' ' || answer ELSE answer END AS answer FROM qa
+   UNION ALL SELECT ts, question, left(answer, 12) FROM qa WHERE conv_id % 5 = 0"""), body=f"""SELECT time_start, md5('Q: ' || question || chr(10) || 'A: ' || answer) AS text,
+   'dialogue' AS app_name FROM (SELECT ts AS time_start, question, answer FROM short)
    WHERE strlen(answer) >= 20 AND NOT starts_with(answer, {SKIP})"""))
 def dialogue_persist(spark, d):
-    a = F.when(F.col("turn") % 4 == 2, F.concat(L(rules.SKIP_ANSWER_START + " "), "answer")).when(
-        F.col("conv_id") % 5 == 0, F.substring("answer", 1, 12)).otherwise(F.col("answer"))
-    return P.dialogue_persist(V.qa_pairs(spark, d).withColumn("answer", a)).select("ts", F.md5("text").alias("text"), "app_name")
+    """Whole answers, some of them refusals, and short ones beside them, stored and read back."""
+    a = F.when(F.col("turn") % 4 == 2, F.concat(L(rules.SKIP_ANSWER_START + " "), "answer")).otherwise(F.col("answer"))
+    qa = V.qa_pairs(spark, d)
+    rows = qa.withColumn("answer", a).unionByName(qa.filter(F.col("conv_id") % 5 == 0).withColumn("answer", F.substring("answer", 1, 12)))
+    said = P.dialogue_persist(rows).select("ts", "text", F.col("app_name").alias("source"), F.col("window_title").alias("event_type"))
+    path = scratch_path(spark, "dialogue")
+    store.add_events(said, path)
+    return store.read_events(spark, path).select("time_start", F.md5("text").alias("text"), "app_name")
 
 
 ACT7 = ("act7", """SELECT string_agg(line, chr(10) ORDER BY n DESC, app_name) AS activity FROM (SELECT app_name, n, '- ' || app_name || ' (' || n || ' events)'

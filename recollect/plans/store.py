@@ -46,7 +46,35 @@ def add_event(spark, d):
     e = V.table(spark, d, "events").select(
         "ts", F.col("props").alias("text"), F.concat(L("ext:"), "event_type").alias("source"),
         F.concat(L("user "), F.col("user_id").cast("string")).alias("event_type"))
-    return D.add_event(e).select("time_start", "app_name", "window_title", "text")
+    path = scratch_path(spark, "external")
+    D.add_events(e, path)
+    return D.read_events(spark, path).select("time_start", "app_name", "window_title", "text")
+
+
+def leveled_table(spark, d):
+    """A stored table with rows of levels 0, 1 and 2."""
+    path, archive = fresh_table(spark, d, "levels"), scratch_path(spark, "levels-archive")
+    embed = lambda t, c: RV.embed_text(t, c)
+    D.compact(spark, path, archive, as_of(spark, d), "2024-02-01", embed)
+    D.compact_weeks(spark, path, archive, "2024-02-02", embed)
+    D.append(D.stored(V.memory(spark, d, text=True)), path)
+    return path
+
+
+@query("stored_level_scan", S.with_views("l0", "clock", ("timed", """SELECT l0.time_start, epoch_us(l0.time_start) // 3600000000 AS hour,
+   epoch_us(as_of) // 3600000000 AS open_hour FROM l0, clock"""),
+   ("hours", "SELECT hour, min(time_start) AS time_start FROM timed WHERE hour < open_hour GROUP BY 1"),
+   ("weeks", "SELECT epoch_us(time_start) // 604800000000 AS week, min(time_start) AS time_start, count(*) AS n FROM hours GROUP BY 1"), body="""
+   SELECT 0 AS level, count(*) + count(*) FILTER (hour >= open_hour) AS n, min(time_start) AS first_ts FROM timed
+   UNION ALL SELECT 1, count(*), min(h.time_start) FROM hours h JOIN weeks w ON w.week = epoch_us(h.time_start) // 604800000000
+     WHERE w.n < 3 HAVING count(*) > 0
+   UNION ALL SELECT 2, count(*), min(time_start) FROM weeks WHERE n >= 3"""))
+def stored_level_scan(spark, d):
+    """S1 over a stored table: one pruned scan for each of the level predicates 0, 1 and >= 1."""
+    path = leveled_table(spark, d)
+    scan = lambda c: D.read_memory(spark, path).filter(c).groupBy("level").agg(
+        F.count(L(1)).alias("n"), F.min("time_start").alias("first_ts"))
+    return scan("level = 0").unionByName(scan("level = 1")).unionByName(scan("level >= 1").filter("level > 1"))
 
 
 @query("forget_recent", per_date_sql("time_start < as_of - INTERVAL 3000 MINUTE"))

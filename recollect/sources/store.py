@@ -77,6 +77,20 @@ def add_event(events):
         F.col("source").alias("app_name"), F.col("event_type").alias("window_title"), "text")
 
 
+def add_events(events, path, key=None, run=None):
+    """External events into the table."""
+    return append(stored(add_event(events)), path, key, run)
+
+
+def read_events(spark, path, level=0, key=None):
+    """The rows of a level with their app, title and text as columns; only the files of that
+    level are read."""
+    v = J.parsed("data_json")
+    return read_memory(spark, path, key).filter(F.col("level") == level).select(
+        "id", "time_start", "time_end", "level", "date", J.string_field(v, "app_name").alias("app_name"),
+        J.string_field(v, "window_title").alias("window_title"), J.string_field(v, "text").alias("text"))
+
+
 # --- deletion ------------------------------------------------------------------
 
 def has_rows(spark, path):

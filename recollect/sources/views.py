@@ -86,10 +86,7 @@ def memory_of(e, spark, sf_dir, text=False, vectors=False):
         title.alias("window_title"),
         lookup(F.col("event_type"), TYPE_INDEX).alias("_type"))
     if text:
-        docs = table(spark, sf_dir, "documents")
-        out = (out.withColumn("_doc", F.col("seq") % row_total(docs))
-               .join(docs.select(F.col("doc_id").alias("_doc"), "text"), "_doc", "left")
-               .withColumn("text", F.coalesce("text", F.lit(""))).drop("_doc"))
+        out = with_text(out, spark, sf_dir)
     if vectors:
         vecs = table(spark, sf_dir, "embeddings")
         out = (out.withColumn("_vec", (F.col("stream") * 10 + F.col("_type") * 2
@@ -99,6 +96,14 @@ def memory_of(e, spark, sf_dir, text=False, vectors=False):
     return out.drop("_type")
 
 
+def with_text(rows, spark, sf_dir):
+    """Memory rows with their texts; few rows bring few texts."""
+    docs = table(spark, sf_dir, "documents")
+    return (rows.withColumn("_doc", F.col("seq") % row_total(docs))
+            .join(docs.select(F.col("doc_id").alias("_doc"), "text"), "_doc", "left")
+            .withColumn("text", F.coalesce("text", F.lit(""))).drop("_doc"))
+
+
 def payloads(spark, sf_dir):
     """Memory rows as stored: one JSON text per row.  Some rows are of the odd
     kinds a store meets: numbers for text, broken JSON, no app at all."""

@@ -166,3 +166,51 @@ def test_buckets_and_ages(spark):
         C.when_word(C.from_micros(C.micros(now) - F.col("s") * 1_000_000), now).alias("w")).collect()
     assert [r.v for r in a] == ["just now", "1 min ago", "59 min ago", "1 h ago", "23 h ago", "yesterday", "2 d ago"]
     assert [r.w for r in a] == ["Today"] * 5 + ["Yesterday", "Recently"]
+
+
+PAGE = """<div class="result"><h2><a class="result__a x" href="/1">One <b>bold</b></a></h2><a class=result__snippet>first</a>
+<div class="result"><a class="result__a" href="/2">Two</a></div></div>
+<div class="other"><a class="result__a" href="/no">no box</a></div></i></p>
+<div class="result"><span class="result__snippet">only a snippet</span></div><div class='result'></div>
+<a class="result-link" href="/f1">F1</a><td class="result-snippet">s1</td><a class="result-link" href="/f2">F2<br>more</a>
+<span class="result-link">not a link</span>"""
+
+
+def test_both_layouts_of_a_page(spark):
+    from recollect.operators import web as H
+    pages = spark.createDataFrame([(1, PAGE), (2, "<p>nothing</p>"), (3, None), (4, ""), (5, '<a class="result&#45;link" href=x>by reference</a>'),
+                                   (6, '<div class="result">' * 3000 + '<a class="result__a" href="/d">deep</a>' + "</p>" * 3000)], "id int, html string")
+    out = {r["id"]: r["r"] for r in pages.select("id", H.page_results("html").alias("r")).collect()}
+    triples = lambda rows: [(x["title"], x["href"], x["snippet"]) for x in rows or []]
+    assert triples(out[1]["grouped"]) == [("One bold", "/1", "first"), ("Two", "/2", ""), ("", "", "only a snippet"), ("", "", "")]
+    assert triples(out[1]["flat"]) == [("F1", "/f1", "s1"), ("F2more", "/f2", "")]
+    assert all(not triples(out[i][k]) for i in (2, 3, 4) for k in ("grouped", "flat"))
+    assert triples(out[5]["flat"]) == [("by reference", "x", "")]
+    assert triples(out[6]["grouped"]) == [("deep", "/d", "")] * 3000
+
+
+def test_one_python_step_for_both_layouts(spark):
+    from recollect.operators import web as H
+    pages = spark.createDataFrame([(1, PAGE, "q")], "id int, html string, question string")
+    plan = H.fallback_source(pages, "question")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_alias_tables_of_both_sizes(spark):
+    from recollect.operators import timeline as W
+    rows = spark.createDataFrame([(1, "play spotify and youtube music"), (2, ""), (3, None), (4, "xx a yy"), (5, "日本語 text")], "id int, t string")
+    names = spark.createDataFrame([(0, "s", "S", "audio", "spotify"), (0, "s", "S", "audio", "spot"), (1, "y", "Y", "both", "youtube"),
+                                   (2, "m", "M", "audio", "youtube"), (3, "one", "", "x", "a"), (4, "jp", "", "x", "本語"), (5, "none", "", "x", "")], W.SERVICE_SCHEMA)
+    want = [(1, "m"), (1, "one"), (1, "s"), (1, "y"), (4, "one"), (5, "jp")]
+    for share in (1 << 20, 0):
+        got = W.alias_hits(rows, F.col("t"), names, share).select("id", "service").collect()
+        assert sorted(map(tuple, got)) == want
+    assert W.alias_hits(rows, F.col("t"), names.limit(0)).collect() == []
+
+
+def test_many_aliases(spark):
+    from recollect.operators import timeline as W
+    rows = spark.range(300).selectExpr("id", "concat('title of item ', id * 331, ' end') AS t")
+    names = spark.range(100_000).selectExpr("int(id) AS pos", "'s' AS service", "'' AS label", "'k' AS kind", "concat('item ', id, ' ') AS alias")
+    pairs = lambda share: sorted((r["id"], r["pos"]) for r in W.alias_hits(rows, F.col("t"), names, share).collect())
+    assert pairs(1 << 24) == pairs(0) == [(i, i * 331) for i in range(300) if i * 331 < 100_000]

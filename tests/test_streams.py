@@ -74,3 +74,44 @@ def test_hourly_counts(spark, parts):
     b = {r["hour_s"]: r["n"] for r in views.memory(spark, SMALL).groupBy(
         (F.unix_timestamp(F.date_trunc("hour", F.col("time_start").cast("timestamp")))).alias("hour_s")).agg(F.count("*").alias("n")).collect()}
     assert s and all(b[h] == n for h, n in s.items()) and len(b) - len(s) <= 2
+
+
+def fed(spark, tmp_path, batches, schema):
+    """A stream of one file per batch, in order."""
+    import time
+    path = str(tmp_path / "fed")
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)  # files are read by their time
+    return spark.readStream.schema(spark.createDataFrame(batches[0], schema).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_the_state_of_a_silent_stream_goes(spark, tmp_path):
+    from datetime import datetime as D8
+    at = lambda h, m=0: D8(2024, 1, 1 + h // 24, h % 24, m)
+    row = lambda key, t, seq, text: (key, t, seq, text)
+    batches = [[row(1, at(0), 1, "same text here"), row(2, at(0), 2, "same text here")], [row(2, at(9), 3, "other text here")],
+               [row(2, at(10), 4, "next text here")], [row(1, at(10, 30), 5, "same text here"), row(2, at(10, 40), 6, "next text here")]]
+    schema = "stream long, time_start timestamp_ntz, seq long, text string"
+    words = spark.createDataFrame([("zzz",)], "word string")
+    kept = lambda ttl, n: {r["seq"] for r in Z.drain(Z.clipboard(fed(spark, tmp_path / str(n), batches, schema), words, ttl), "t").collect()}
+    assert kept(Z.TTL, 1) == {1, 2, 3, 4}          # the repeats 5 and 6 are dropped
+    assert kept(6 * 3600, 2) == {1, 2, 3, 4, 5}    # stream 1 was silent for longer than its state lives
+
+
+def test_hour_records_equal_the_batch(spark, parts):
+    m = views.memory_of(parts(), spark, SMALL, text=True)
+    records = Z.drain(Z.hour_records(m, shares=3), "t")
+    got = {r["hour"]: r for r in Z.merge_hours(records).collect()}
+    batch = views.memory(spark, SMALL, text=True)
+    want = {r["hour"]: r for r in G.rollup_hour_l1(batch).collect()}
+    assert got and all(r == want[h] for h, r in got.items()) and len(want) - len(got) <= 2
+    members = lambda df: sorted(map(tuple, df.select("hour", "id", "t", "act", "ocr_full", "clipboard").collect()))
+    assert members(Z.members_of(records)) == members(G.rollup_hour_sub_events(batch))
+
+
+def test_sessions_equal_the_batch(spark, parts):
+    from recollect.operators import timeline as W
+    got = rows(Z.drain(Z.sessions(views.memory_of(parts(), spark, SMALL)), "t"), "stream", "first_ts", "last_ts", "n")
+    want = rows(W.sessions(views.memory(spark, SMALL)), "stream", "first_ts", "last_ts", "n")
+    assert got and set(got) <= set(want) and len(want) - len(got) < 0.1 * len(want)

@@ -30,6 +30,7 @@ from recollect.llm.common import Cache, in_parts, stored, utf8
 CACHE_ENTRIES = 300_000
 MARKER = b"<|"  # added tokens begin so
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which may join letters
+DENSE = 4 << 20  # numbers in the matrix of common ids, at most
 BYTES = 16 << 20  # of texts whose parts are looked up together
 LONGEST = 64  # bytes of a part that is remembered
 LATIN = "\u00ff"
@@ -124,18 +125,21 @@ def signatures(docs):
     """For each document its smallest mixed hash of three consecutive ids (of all it has, if
     fewer), as signed longs. No document is empty: each has the end id."""
     size = np.fromiter(map(len, docs), np.int64, len(docs))
-    first = np.cumsum(size) - size
+    ends = np.cumsum(size)
     x = np.concatenate(docs).astype(np.uint64)
-    triple = x.copy()
-    triple[:-2] = x[:-2] * np.uint64(VOCABULARY ** 2) + x[1:-1] * np.uint64(VOCABULARY) + x[2:]
-    place = np.arange(len(x)) - np.repeat(first, size)
-    inside = place + 2 < np.repeat(size, size)
-    short = np.repeat(size < 3, size)
-    triple = np.where(short, x, triple)
-    mixed = (triple ^ (triple >> np.uint64(31))) * NO_PAST
-    mixed = mixed ^ (mixed >> np.uint64(29))
-    mixed[~inside & ~short] = np.iinfo(np.uint64).max
-    return (np.minimum.reduceat(mixed, first) >> np.uint64(1)).astype(np.int64)
+    mixed = x.copy()
+    mixed[:-2] *= np.uint64(VOCABULARY ** 2)
+    mixed[:-2] += x[1:-1] * np.uint64(VOCABULARY)
+    mixed[:-2] += x[2:]
+    for back in (1, 2):  # the last two places begin no triple; a short document has its ids instead
+        at = ends[size >= back] - back
+        mixed[at] = np.where(size[size >= back] < 3, x[at], 0)
+    none = np.concatenate([ends[size >= 3] - back for back in (1, 2)])
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= NO_PAST
+    mixed ^= mixed >> np.uint64(29)
+    mixed[none] = np.iinfo(np.uint64).max
+    return (np.minimum.reduceat(mixed, ends - size) >> np.uint64(1)).astype(np.int64)
 
 
 def tokenise(docs, path, end=2):
@@ -146,14 +150,15 @@ def tokenise(docs, path, end=2):
     def run(batches):
         coder = coder_of(path)
         last = end.to_bytes(2, "little")
-        count = np.zeros(VOCABULARY, np.int64)
+        count, seen = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64)
         kind = None
         for b in in_parts(batches):
             if not b.num_rows:
                 continue
             ids = list(coder.texts(b.column(1).to_pylist(), last))
             arrays = [np.frombuffer(x, "<u2") for x in ids]
-            count += np.bincount(_pairs(arrays) % VOCABULARY, minlength=VOCABULARY)
+            for x in arrays:
+                count[distinct(x, seen)] += 1
             kind = b.column(0).type
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) for x in arrays], pa.int64()),
@@ -167,6 +172,13 @@ def tokenise(docs, path, end=2):
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, n bigint, signature bigint, held binary")
 
 
+def distinct(ids, seen):
+    """The ids of a document, each once. seen: scratch space over the vocabulary."""
+    places = np.arange(len(ids))
+    seen[ids] = places
+    return ids[seen[ids] == places]
+
+
 def frequencies(held):
     """Documents that hold each id, as an array over the vocabulary (65,536 counts)."""
 
@@ -194,26 +206,39 @@ def _pairs(docs, counts=False):
 
 
 class Index:
-    """BM25 postings of a block of documents."""
+    """BM25 postings of a block of documents.
+
+    The ids that a tenth of the documents or more hold are rows of a dense matrix, as their
+    postings would be most of the work; the others are postings."""
 
     def __init__(self, docs, idf, mean, k1=1.2, b=0.75):
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         keys, tf = _pairs(docs, counts=True)
-        self.n = len(docs)
-        doc, term = (keys // VOCABULARY).astype(np.int64), (keys % VOCABULARY).astype(np.uint16)
-        self.terms, self.first = term, np.searchsorted(doc, np.arange(len(docs) + 1))
+        n = self.n = len(docs)
+        doc, term = (keys // VOCABULARY).astype(np.int64), (keys % VOCABULARY).astype(np.int64)
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
-        order = np.argsort(term, kind="stable")
+        held = np.bincount(term, minlength=VOCABULARY)
+        common = np.flatnonzero(held * 10 >= n)[:DENSE // max(n, 1)]
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        at = self.row[term]
+        often, rare = at >= 0, np.flatnonzero(at < 0)
+        self.dense = np.zeros((len(common), n))
+        self.dense[at[often], doc[often]] = weight[often]
+        self.rows, self.first_row = at[often], np.searchsorted(doc[often], np.arange(n + 1))
+        self.terms, self.first = term[rare], np.searchsorted(doc[rare], np.arange(n + 1))
+        order = rare[np.argsort(term[rare], kind="stable")]
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(VOCABULARY))
-        self.start = np.append(self.start, len(term))
+        self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
     def scores(self, seed):
         """BM25 of every document of the block against the ids of one of them."""
-        terms = self.terms[self.first[seed]:self.first[seed + 1]].astype(np.int64)
-        size = self.start[terms + 1] - self.start[terms]
-        at = np.repeat(self.start[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        terms = self.terms[self.first[seed]:self.first[seed + 1]]
+        begin = self.start[terms]
+        size = self.start[terms + 1] - begin
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        rows = self.rows[self.first_row[seed]:self.first_row[seed + 1]]
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self.dense[rows].sum(0)
 
 
 def ranked(scores, left, some=32):

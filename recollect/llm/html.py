@@ -35,6 +35,10 @@ FURNITURE = frozenset(
     "rss search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored sponsors subscribe "
     "subscription taboola tags toolbar topbar widget widgets alert warning disclaimer navlinks sitemap teaser".split())
 REPLIES = frozenset("comment comments commentlist disqus replies respond".split())
+REPLY_AREA = re.compile(r"(?:comments?|commentlist|disqus|replies|respond)(?:[-_]?(?:area|block|body|box|container|content|"
+                        r"entry|form|item|list|post|section|text|thread|threads|wrapper|\d+))*")  # whole names of such parts
+SOFT = frozenset("alert disclaimer recommend recommended recommendation recommendations related warning".split())  # may name article parts
+NEAR = frozenset("p pre ul ol dl table blockquote figure section h2 h3 h4 h5 h6".split())  # may begin or end an article
 LITTLE = 1 / 3  # of a page's paragraph text: a wrapper or a container with such a name that holds more stays
 NEARLY_ALL = 0.9  # the same for replies, which often outweigh an article
 WORD = re.compile(r"[a-z]+")
@@ -129,11 +133,13 @@ def prune(root):
     for node in reversed(list(walk(root))):
         holds[id(node)] = any(x.tag in ("main", "h1") or holds[id(x)] for x in node.nodes())
     _without(root, lambda x, inside: _never_text(x, inside))
+    _without(root, lambda x, inside: not holds[id(x)] and _reply_area(x))
     for names, share in ((REPLIES, NEARLY_ALL), (FURNITURE - REPLIES, LITTLE)):
-        own = _prose(root)
+        own, sizes = _prose(root), _measure(root)
         most = share * own[id(root)]
         _without(root, lambda x, inside: own[id(x)] <= most and (
-            names is not REPLIES and x.tag in WRAPPERS or not holds[id(x)] and _named(x, names)))
+            names is not REPLIES and x.tag in WRAPPERS or not holds[id(x)] and _named(
+                x, names - SOFT if inside and density(x, sizes) < 0.25 else names)))
     for node in [x for x in walk(root) if x.tag in WRAPPERS]:  # only their controls go
         _without(node, lambda x, inside: x.tag in ("label", "legend"))
 
@@ -162,6 +168,12 @@ def _named(node, names):
     return node.tag not in ("body", "main") and bool(names.intersection(_names(node.attrs)))
 
 
+def _reply_area(node):
+    """Whether a name of the node is that of reader comments as a whole."""
+    names = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}".lower().split()
+    return node.tag not in ("body", "main") and any(REPLY_AREA.fullmatch(n) for n in names)
+
+
 def _never_text(node, inside):
     if node.tag in DROPPED and node.tag not in WRAPPERS or node.tag == "header" and (not inside or _named(node, FURNITURE)):
         return True
@@ -279,8 +291,18 @@ def main_nodes(root):
         title = x.tag in ("h1", "h2", "h3") and not links
         if x is best or like or prose or title:
             kept.append(i)
+    first, last = kept[0], kept[-1]
+    if best.tag not in ("article", "main"):  # an article ends where its element does; else look outward
+
+        def goes_on(x):
+            return isinstance(x, str) and not x.strip() or not isinstance(x, str) and x.tag in NEAR and density(x, sizes) < 0.25
+
+        while first > 0 and goes_on(around[first - 1]):
+            first -= 1
+        while last + 1 < len(around) and goes_on(around[last + 1]):
+            last += 1
     # Between them, whatever is not mostly links: lists, tables, short sections, bare text.
-    return [x for i, x in enumerate(around[kept[0]:kept[-1] + 1], kept[0])
+    return [x for i, x in enumerate(around[first:last + 1], first)
             if i in kept or isinstance(x, str) or density(x, sizes) < 0.25]
 
 

@@ -85,3 +85,44 @@ def test_siblings_between_sections_stay():
     links = "<ul><li><a href=a>Elsewhere</a></li></ul>"
     page = f"<body><section>{BODY * 4}</section>{more}{links}<section>{BODY * 2}</section></body>"
     assert html.main_text(page).split("\n\n") == LONG * 4 + ["Item", "Short one.", "code", "Cell"] + LONG * 2
+
+
+# 6 pages
+
+def body(*parts, tag="article"):
+    return f"<html><body><{tag}>{parts[0]}</{tag}>{''.join(parts[1:])}</body></html>"
+
+
+def test_many_reader_comments_do_not_win():
+    comment = "<div class='comment'><p>I read this, and I think, all in all, that it is a very fine piece, really.</p></div>"
+    short = "<p>A short article, of one paragraph only, about a small thing that happened today.</p>"
+    for title in ("", "<h1>Title</h1>"):
+        for wrap in ("<section class='comments'>{}</section>", "<div id='comment-list'>{}</div>", "<ol class='commentlist x'>{}</ol>"):
+            got = html.main_text(body(title + short, wrap.format(comment * 60)))
+            assert "A short article" in got and "I read this" not in got
+    assert "A short article" in html.main_text(f"<body><div class='has-comments'>{short}</div></body>")
+
+
+def test_parts_at_the_ends_of_an_article_stay():
+    para = "<p>" + "A sentence, with commas, that goes on and on, as they do, to gather points. " * 4 + "</p>"
+    page = f"<body><div class='page'><pre>first code</pre><ul><li>first item</li></ul>{para * 3}<section><p>Short end.</p></section><ol><li>last item</li></ol></div></body>"
+    got = html.main_text(page)
+    assert all(x in got for x in ("first code", "first item", "Short end.", "last item"))
+
+
+def test_article_parts_named_like_furniture_stay():
+    para = "<p>" + "A sentence, with commas, that goes on and on, as they do, to gather points. " * 4 + "</p>"
+    inside = f"<h1>T</h1>{para * 3}<div class='warning'><p>Mind the gap.</p></div><section class='related-work'><p>Others did this.</p></section>"
+    links = "<div class='related'><a href=a>Another story</a> <a href=b>One more</a></div><div class='share'>Share</div>"
+    got = html.main_text(body(inside + links, "<div class='warning'><p>Site notice.</p></div>"))
+    assert "Mind the gap." in got and "Others did this." in got
+    assert not any(x in got for x in ("Another story", "Share", "Site notice."))
+
+
+# 10 letters
+
+def test_numerals_are_no_letters():
+    models = encoders({"en": b"some words of english", "de": b"einige deutsche worte"})
+    for text in ("\u00bd \u00b2 \u2460", "\u2167 \u2173", "12 _ 3.4", "", "\u00b3\u00be"):
+        assert classify(text, models) == ("und", 0.0)
+    assert classify("\u00bd a", models)[0] != "und" and classify("\u6f22", models)[0] != "und"

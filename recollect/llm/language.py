@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import in_parts, utf8
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[A-Za-z]")  # the common case; other letters are asked one by one
 BLOCK = 4096
 LEVEL = 6
 SLICE = 2048  # bytes of a dictionary that a close text is measured behind
@@ -73,9 +73,13 @@ def lengthening(blocks, slices):
     return sum(len(plain.compress(x + b"\n" + b)) - size for b in blocks for x, size in slices) / len(slices)
 
 
+def has_letter(text):
+    return bool(LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def classify(text, models, narrow=NARROW):
     """Language, score (0 to 1: how much shorter the best code is than the second)."""
-    if not models or text is None or not LETTER.search(text):
+    if not models or text is None or not has_letter(text):
         return "und", 0.0
     data = utf8(text.lower())
     blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]

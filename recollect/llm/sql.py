@@ -48,4 +48,15 @@ SELECT vec_id, c::INTEGER AS cluster, dist::BIGINT AS distance, (sum(dist) OVER
   (sum(dist) OVER ())::BIGINT AS inertia, sha256(array_to_string(centre, ',')) AS centroid_sha256 FROM placed
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op11_centroids": OP11}
+OP8 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 100 = 0) q JOIN v ON v.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op8_top_k": OP8, "op11_centroids": OP11}

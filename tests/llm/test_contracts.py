@@ -144,6 +144,44 @@ def test_packing_prefers_neighbours():
     assert [p[0] for p in packing.pack_block(docs, idf, 3.0, 6)[0]] == [0, 2]
 
 
+def test_bm25_scores():
+    """Common ids (the matrix) and rare ones (postings) add up to BM25 by definition."""
+    r = np.random.default_rng(3)
+    docs = [np.concatenate((r.integers(0, 40, n), r.integers(0, 5000, n // 2 + 1))).astype("<u2") for n in r.integers(0, 60, 50)]
+    idf, mean = r.random(packing.VOCABULARY), 50.0
+    for dense in (packing.DENSE, 300):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(packing, "DENSE", dense)
+            index = packing.Index(docs, idf, mean)
+        for seed in (0, 7, 49):
+            want = [sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t, c in Counter(d.tolist()).items()
+                        if t in set(docs[seed].tolist())) for d in docs]
+            assert np.allclose(index.scores(seed), want)
+
+
+def test_ranking_takes_ties_in_order():
+    r = np.random.default_rng(4)
+    for n in (0, 5, 64, 65, 500):
+        scores = r.integers(0, 9, 700).astype(float)
+        left = np.sort(r.choice(700, n, replace=False))
+        assert list(packing.ranked(scores, left)) == left[np.argsort(-scores[left], kind="stable")].tolist()
+
+
+def test_signatures_and_distinct_ids():
+    def one(ids):
+        x = ids.astype(np.uint64)
+        if len(x) >= 3:
+            x = x[:-2] * np.uint64(65536 ** 2) + x[1:-1] * np.uint64(65536) + x[2:]
+        x = (x ^ (x >> np.uint64(31))) * packing.NO_PAST
+        return int((x ^ (x >> np.uint64(29))).min() >> np.uint64(1))
+
+    r, seen = np.random.default_rng(1), np.zeros(packing.VOCABULARY, np.int64)
+    docs = [r.integers(0, 60, int(n)).astype(np.uint16) for n in (1, 2, 3, 4, 100, 1, 2, 7, 1)]
+    for some in (docs, docs[:1], docs[1:2], docs[2:3], docs[5:7]):
+        assert packing.signatures(some).tolist() == [one(d) for d in some]
+    assert all(sorted(packing.distinct(d, seen).tolist()) == sorted(set(d.tolist())) for d in docs)
+
+
 # 3 sharding
 
 def brute_ring(keys, shards, replicas):

@@ -208,13 +208,16 @@ def hamming_groups(spark, d):
     return SM.linked(*SM.near_hashes(v, "vec_id", "h", HASH_RADIUS))
 
 
-@query("embed_once", S.with_views("l0t", body="""SELECT count(*) AS n_rows, count(DISTINCT seq) AS n_ids,
-   count(*) AS with_vector FROM l0t"""))
+@query("embed_once", S.with_views("l0t", body=f"""SELECT count(*) AS n_rows, count(DISTINCT seq) AS n_ids,
+   count(*) AS with_vector, sum(len({S.words('text')}) * (seq % 1000 + 1))::BIGINT AS counted FROM l0t"""))
 def embed_once(spark, d):
+    """Every row gets the vector of its own text: entries add up to its words, weighted by the row."""
     m = V.memory(spark, d, text=True).select("seq", "text")
     out = D.embed_once(m, "text", lambda t: RV.embed_text(t, "text"))
+    words = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).cast("bigint")
     return out.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("seq").alias("n_ids"),
-                   F.count_if(F.size("embedding") == 384).alias("with_vector"))
+                   F.count_if(F.size("embedding") == 384).alias("with_vector"),
+                   F.sum(words * (F.col("seq") % 1000 + 1)).alias("counted"))
 
 
 @query("dedup_lines_topn", S.with_views("qa", ("l", f"""SELECT conv_id, turn, unnest(string_split(src, chr(10))) AS line,

@@ -161,12 +161,12 @@ def smart(spark, d):
                        texts(spark, d), hour_texts(spark, d))
 
 
-@query("smart_rag", S.with_views(*RAG, body="SELECT query_id, want_screen, context FROM smart"))
+@query("smart_rag", S.with_views(*RAG, body="SELECT query_id, want_screen, context FROM smart", once=True))
 def smart_rag(spark, d):
     return smart(spark, d)
 
 
-@query("topic_timeline_rag", S.with_views(*RAG, body="SELECT query_id, want_screen, context FROM smart"))
+@query("topic_timeline_rag", S.with_views(*RAG, body="SELECT query_id, want_screen, context FROM smart", once=True))
 def topic_timeline_rag(spark, d):
     return R.topic_timeline_rag(smart(spark, d), V.memory(spark, d, vectors=True), mixed_questions(spark, d), texts(spark, d))
 
@@ -181,10 +181,12 @@ def legacy_timeline(spark, d):
     return R.legacy_timeline(V.memory(spark, d, vectors=True), V.questions(spark, d), details=texts(spark, d))
 
 
-@query("embed_text", "SELECT doc_id, 384 AS dims FROM documents")
+@query("embed_text", f"SELECT doc_id, 384 AS dims, len({S.words('text')}) AS counted FROM documents")
 def embed_text(spark, d):
+    """The entries of a vector add up to the words of its text."""
     v = R.embed_text(V.documents(spark, d).select("doc_id", "text"), "text")
-    return v.select("doc_id", F.size("embedding").alias("dims"))
+    counted = F.aggregate("embedding", L(0.0), lambda s, x: s + x.cast("double")).cast("bigint")
+    return v.select("doc_id", F.size("embedding").alias("dims"), counted.alias("counted"))
 
 
 # --- joins --------------------------------------------------------------------

@@ -117,9 +117,12 @@ VIEWS = {
 }
 
 
-def with_views(*names, body):
-    """A statement that defines the named views (or (name, sql) pairs) first."""
-    parts = [f"{n} AS ({VIEWS[n]})" if isinstance(n, str) else f"{n[0]} AS ({n[1]})" for n in names]
+def with_views(*names, body, once=False):
+    """A statement that defines the named views (or (name, sql) pairs) first.
+
+    once: every view is computed a single time, however often it is used."""
+    how = "AS MATERIALIZED" if once else "AS"
+    parts = [f"{n} {how} ({VIEWS[n]})" if isinstance(n, str) else f"{n[0]} {how} ({n[1]})" for n in names]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 

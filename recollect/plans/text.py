@@ -707,9 +707,10 @@ def confusion_matrix(spark, d):
                                             (F.length("text") >= 1000).alias("got")))
 
 
-@query("probe_pass_rate", S.with_views("qa", body="""SELECT conv_id, count(*) AS probes, round(avg((contains(answer, w) AND NOT contains(answer, 'the '))::INT), 6) AS pass_rate
-   FROM (SELECT *, regexp_extract(question, '^[^ ]+') AS w FROM qa) GROUP BY conv_id"""))
+@query("probe_pass_rate", S.with_views("qa", body=f"""SELECT conv_id, count(*) AS probes, round(avg((ok AND NOT contains(answer, 'the '))::INT), 6) AS pass_rate
+   FROM (SELECT *, len(ws) = 0 OR list_bool_or(list_transform(ws, lambda w: contains(answer, w))) AS ok
+     FROM (SELECT *, {S.words('question')} AS ws FROM qa)) GROUP BY conv_id"""))
 def probe_pass_rate(spark, d):
-    must = F.array(F.regexp_extract("question", "^[^ ]+", 0))
-    p = V.qa_pairs(spark, d).withColumn("ok", G.probe_pass(F.col("answer"), must, F.array(L("the "))))
+    """Every word of a question is a phrase one of which its answer must hold."""
+    p = V.qa_pairs(spark, d).withColumn("ok", G.probe_pass(F.col("answer"), T.words("question"), F.array(L("the "))))
     return p.groupBy("conv_id").agg(F.count(F.lit(1)).alias("probes"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("pass_rate"))

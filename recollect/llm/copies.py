@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from recollect.llm.bktree import BKTree
-from recollect.llm.common import in_parts, stored, utf8
+from recollect.llm.common import in_parts, release, stored, utf8
 from recollect.llm.components import components
 
 BITS = 64
@@ -184,6 +184,7 @@ def keep_one_similar(docs, least=0.8, shingle=5, radius=18, keys=5, shard_rows=4
     """
     rows = stored(prints(docs, shingle, keys), "word-prints")
     stars = components(links(rows, radius, least, shard_rows), "copy-stars")
+    release(docs.sparkSession)  # the shingles that were dealt are not needed beside the texts
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
     root = stars.select(F.col("a").alias("text_hash"), F.col("b").alias("root"))

@@ -27,6 +27,15 @@ def release(spark):
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(df):
+    """Delete the folder of a table that `stored` wrote, when nothing will read it any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(column):
     return F.coalesce(F.col(column), F.lit(""))
 

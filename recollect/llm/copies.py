@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from recollect.llm.bktree import BKTree
-from recollect.llm.common import in_parts, release, stored, utf8
+from recollect.llm.common import discard, in_parts, release, stored, utf8
 from recollect.llm.components import components
 
 BITS = 64
@@ -184,13 +184,14 @@ def keep_one_similar(docs, least=0.8, shingle=5, radius=18, keys=5, shard_rows=4
     """
     rows = stored(prints(docs, shingle, keys), "word-prints")
     stars = components(links(rows, radius, least, shard_rows), "copy-stars")
-    release(docs.sparkSession)  # the shingles that were dealt are not needed beside the texts
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = rows.groupBy("text_hash").agg(F.min(order).alias("k"))
     root = stars.select(F.col("a").alias("text_hash"), F.col("b").alias("root"))
     keepers = first.join(root, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min("k").alias("k"))
     name = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("id"), c.isNull().alias("none")]
-    kept = keepers.select(*name(F.col("k.doc_id")), F.col("k.text_hash").alias("text_hash"))
+    kept = stored(keepers.select(*name(F.col("k.doc_id")), F.col("k.text_hash").alias("text_hash")), "copy-keepers")
+    discard(rows)  # the shingles need not lie beside what later stages write,
+    release(docs.sparkSession)  # nor the shuffle files that dealt them out
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *name(F.col("doc_id")),
                       F.xxhash64("text").alias("text_hash"))
     at = ["id", "none", "text_hash"]  # one shuffle of the texts serves the join and the rows that occur twice

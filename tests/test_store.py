@@ -262,3 +262,60 @@ def test_weeks_after_a_failed_run(spark, tmp_path):
     assert t.filter("level = 1").count() == 0 and ids(spark, path)
     assert t.filter("level = 2").agg(F.sum(F.get_json_object("data_json", "$.count").cast("long"))).first()[0] == n
     assert store.archive_read(spark, archive).filter("level = 1").count() == n
+
+
+def few_rows(spark, ids):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "id string, text string")
+    at = F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")
+    return store.stored(rows.select("id", at.alias("time_start"), at.alias("time_end"), F.lit(0).alias("level"),
+                                    F.lit(False).alias("archived"), F.lit("x").alias("app_name"), F.lit("").alias("window_title"), "text"))
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def data_shuffled(rows):
+    return any("Exchange" in l and "Broadcast" not in l for l in plan(rows).splitlines())
+
+
+def test_marked_rows_stay_where_they_are_read(spark, tmp_path):
+    """Places of a file beyond one bitmap, repeated and null ids, by both ways."""
+    path = str(tmp_path / "memory")
+    n = 70_000
+    store.append(few_rows(spark, ["a", "b", "b", None]), path)
+    store.append(few_rows(spark, range(n)).coalesce(1), path)
+    ids = spark.createDataFrame([("b",), ("b",), ("0",), ("32767",), ("32768",), (str(n - 1),), ("none",), (None,)], "id string")
+    table = store.read_memory(spark, path)
+    marks = changes.marks_of(table, ids)
+    inside, outside = changes.split(table, marks, True), changes.split(table, marks, False)
+    assert not data_shuffled(inside) and not data_shuffled(outside)
+    wanted = ["0", "32767", "32768", str(n - 1), "b", "b"]
+    assert sorted(r["id"] for r in inside.collect()) == sorted(wanted) and outside.count() == n + 4 - 6
+    few, changes.MARKS = changes.MARKS, 0
+    try:
+        assert sorted(r["id"] for r in changes.split(table, marks, True).collect()) == sorted(wanted)
+    finally:
+        changes.MARKS = few
+    assert store.delete_by_ids(spark, path, ids) == 6
+    left = store.read_memory(spark, path)
+    assert left.count() == n - 2 and left.filter("id is null").count() == 1 and left.filter("id = 'a'").count() == 1
+    assert store.delete_by_ids(spark, path, ids) == 0
+
+
+def test_rows_are_not_dealt_out_before_they_are_written(spark, tmp_path):
+    """An append and a rewrite leave one file a task; a shuffle by date would leave one in all."""
+    path = str(tmp_path / "memory")
+    store.append(few_rows(spark, range(40)).repartition(4), path)
+    files = lambda: store.read_memory(spark, path).select(changes.file_of()).distinct().count()
+    assert files() == 4
+    store.delete_by_ids(spark, path, spark.createDataFrame([(str(i),) for i in range(0, 40, 2)], "id string"))
+    assert files() > 1 and store.read_memory(spark, path).count() == 20
+    assert all(f.endswith(".zstd.parquet") for _, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_archive_with_some_rows_new(spark, tmp_path):
+    archive = str(tmp_path / "archive")
+    for ids, total in ((["1", "2", None], 3), (["1", "2"], 3), (["2", "3"], 4), (["8", "9"], 6), ([None], 7)):
+        store.archive_write(few_rows(spark, ids), archive, "2024-02-01")
+        assert store.archive_read(spark, archive).count() == total

@@ -214,3 +214,18 @@ def test_many_aliases(spark):
     names = spark.range(100_000).selectExpr("int(id) AS pos", "'s' AS service", "'' AS label", "'k' AS kind", "concat('item ', id, ' ') AS alias")
     pairs = lambda share: sorted((r["id"], r["pos"]) for r in W.alias_hits(rows, F.col("t"), names, share).collect())
     assert pairs(1 << 24) == pairs(0) == [(i, i * 331) for i in range(300) if i * 331 < 100_000]
+
+
+def test_aliases_reach_the_driver_in_columns(spark, monkeypatch):
+    """No Python row for each alias; repeated rows, several entries of an alias, entries with nulls."""
+    from recollect.operators import timeline as W
+    rows = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, "two"), (3, None)], "id int, t string")
+    names = spark.createDataFrame([(0, "s", None, None, "two"), (0, "s", None, None, "two"), (1, "y", "Y", "k", "two"),
+                                   (1, "y", "Y", "k", "one"), (2, None, "Z", "k", "one")], W.SERVICE_SCHEMA)
+    seen, collect = [], type(names).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(names), "collect", lambda self: seen.append(self) or collect(self))
+        hits = W.alias_hits(rows, F.col("t"), names)
+    assert not [rows for rows in seen if "alias" in rows.columns]
+    assert sorted((r["id"], r["pos"], r["label"] or "") for r in hits.collect()) == [
+        (1, 0, ""), (1, 0, ""), (1, 1, "Y"), (1, 1, "Y"), (1, 2, "Z"), (1, 2, "Z"), (2, 0, ""), (2, 1, "Y")]

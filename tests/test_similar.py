@@ -147,3 +147,21 @@ def test_subject_counts_are_exact(spark):
     ids = range(-40_000, 40_000, 7)
     assert got == {"Ada Lovelace": sum(i % 2 == 0 or i % 3 == 0 for i in ids), "Ada": sum(i % 2 == 0 for i in ids), "Bob": 0}
     assert views.PARTS > 0
+
+
+def test_subject_counts_need_no_bits_for_each_subject(spark, monkeypatch):
+    """Common and rare words, several parts of the sets, unions that overlap; bits stay in the ranges of documents."""
+    from recollect.operators import jobs as Q
+    names = ["Ada", "Bob", "Cyd", "Ada Bob", "Ada Cyd", "Bob Cyd", "Ada Bob Cyd", "Ada Zed"]
+    asks = spark.createDataFrame([(f"who is {n}?", "2024-01-01 00:00:00") for n in names], "text string, ts string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    holds = {"Ada": lambda i: i % 3 == 0, "Bob": lambda i: i % 1000 == 0, "Cyd": lambda i: i % 900 == 0, "Zed": lambda i: False}
+    docs = spark.range(70_000).selectExpr("id AS doc_id", """concat_ws(' ', CASE WHEN id % 3 = 0 THEN 'ada' END,
+        CASE WHEN id % 1000 = 0 THEN 'bob' END, CASE WHEN id % 900 = 0 THEN 'cyd' END) AS text""")
+    want = {n: sum(any(holds[w](i) for w in n.split()) for i in range(70_000)) for n in names}
+    for sets in (10, 2):
+        out = Q.subject_index(asks, docs, set_rows=sets)
+        assert "bitmap_or_agg" not in out._jdf.queryExecution().toString()
+        assert {r["subject"]: r["docs"] for r in out.collect()} == want
+    monkeypatch.setattr(Q, "DENSE", 100_000)
+    assert {r["subject"]: r["docs"] for r in Q.subject_index(asks, docs, used_words=1).collect()} == want

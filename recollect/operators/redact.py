@@ -16,12 +16,62 @@ from recollect.operators.ordered import HOT_ROWS, Ordered
 WORDLIST_MAX = 100_000
 
 
-def seed_runs(docs, wordlist, key, text="text", min_run=rules.SEED_RUN_MIN_WORDS):
+def _shared(wordlist, max_set):
+    """The words of a list as a set, or None where there are more than `max_set`."""
+    words = wordlist.select("word").distinct().limit(max_set + 1).collect()  # bounded
+    return frozenset(r["word"] for r in words) if len(words) <= max_set else None
+
+
+def _is_word(tok, words):
+    return tok.isascii() and tok.isalpha() and tok.lower() in words
+
+
+def _runs_of(line, words, min_run):
+    """[(start, length)] of the runs of a line."""
+    out, start = [], None
+    toks = [t for t in re.split(f"[{T.WS_CHARS}]+", line) if t]
+    for i, tok in enumerate([*toks, ""]):
+        if _is_word(tok, words):
+            start = i if start is None else start
+            continue
+        if start is not None and i - start >= min_run:
+            out.append((start, i - start))
+        start = None
+    return out
+
+
+def _runs_with_set(lines, key, words, min_run):
+    shared = lines.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<struct<start:int,length:bigint>>")
+    def runs(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [{"start": a, "length": n} for a, n in _runs_of(x, shared.value, min_run)])
+
+    return lines.select(key, "line", F.explode(runs("_line")).alias("_run")).select(key, "line", "_run.*")
+
+
+def seed_runs(docs, wordlist, key, text="text", min_run=rules.SEED_RUN_MIN_WORDS, max_set=WORDLIST_MAX):
     """R2 detection: (key, line, start, length) of every run of word-list words.
 
-    Only lines that hold enough plain words in a row are taken apart."""
+    Only lines that hold enough plain words in a row are taken apart, where they are read if the
+    list has at most `max_set` words. Rows that share a key are one text and meet by a shuffle."""
+    words = _shared(wordlist, max_set)
+    if words is None:
+        return _runs_with_join(_hinted(docs, key, text), wordlist, key, min_run)
+    again = docs.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    if again.isEmpty():
+        return _runs_with_set(_hinted(docs, key, text), key, words, min_run)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    once, more = (_hinted(docs.join(again, same, how), key, text) for how in ("left_anti", "left_semi"))
+    return _runs_with_set(once, key, words, min_run).unionByName(_runs_with_join(more, wordlist, key, min_run))
+
+
+def _hinted(docs, key, text):
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "_line"))
-    lines = lines.filter(F.col("_line").rlike(R.ASCII_WORD_RUN_HINT))
+    return lines.filter(F.col("_line").rlike(R.ASCII_WORD_RUN_HINT))
+
+
+def _runs_with_join(lines, wordlist, key, min_run):
     toks = lines.select(key, "line", F.posexplode(T.words("_line")).alias("pos", "_tok"))
     plain = F.when(F.col("_tok").rlike(r"\A[A-Za-z]+\z"), F.lower("_tok"))
     hits = toks.withColumn("word", plain).filter(F.col("word").isNotNull()).join(
@@ -39,7 +89,7 @@ def _scrub_line(line, words):
         return line
     out, run, found = [], [], False
     for tok in [*toks, ""]:
-        if tok.isascii() and tok.isalpha() and tok.lower() in words:
+        if _is_word(tok, words):
             run.append(tok)
             continue
         if len(run) >= rules.SEED_RUN_MIN_WORDS:
@@ -67,7 +117,7 @@ def _scrub_with_set(docs, words, text):
 
 
 def _scrub_with_join(docs, wordlist, key, text):
-    runs = seed_runs(docs, wordlist, key, text).groupBy(key).agg(
+    runs = _runs_with_join(_hinted(docs, key, text), wordlist, key, rules.SEED_RUN_MIN_WORDS).groupBy(key).agg(
         F.collect_list(F.struct("line", "start", "length")).alias("_runs"))  # within one text
 
     def redo(line, i):
@@ -87,9 +137,9 @@ def _scrub_with_join(docs, wordlist, key, text):
 
 def scrub_seed_phrases(docs, wordlist, key, text="text", max_set=WORDLIST_MAX):
     """R2: replace runs of 12 or more word-list words in a line by a mark."""
-    words = wordlist.select("word").distinct().limit(max_set + 1).collect()  # bounded
-    if len(words) <= max_set:
-        return _scrub_with_set(docs, frozenset(r["word"] for r in words), text)
+    words = _shared(wordlist, max_set)
+    if words is not None:
+        return _scrub_with_set(docs, words, text)
     if docs.isStreaming:
         raise ValueError(f"a stream takes a list of at most {max_set} words")
     return _scrub_with_join(docs, wordlist, key, text)

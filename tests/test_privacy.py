@@ -95,3 +95,17 @@ def test_word_list_reaches_every_scrubber(spark):
     assert [r["secret"] for r in flags] == [True, False]
     log = X.log_tail_redacted(rows.select("seq", F.col("text").alias("line")), 5, words).orderBy("seq").collect()
     assert log[0]["line"] == f"copied {rules.SEED_MARK}"
+
+
+def test_seed_runs_are_found_where_lines_are_read(spark):
+    """No token is shuffled or sorted, and both ways agree, also where keys repeat or are null."""
+    words = spark.createDataFrame([(w,) for w in "abcdefghijklmnop"], "word string")
+    run = "a b c d e f g h i j k l m"
+    rows = [(1, f"{run}\nx1 {run.upper()} z9 {run}  n"), (2, f"q {run}"), (2, f"q {run}"), (None, run), (None, "a b"), (3, None), (4, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = docs.filter("doc_id in (1, 3, 4)")
+    plan = X.seed_runs(once, words, "doc_id")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    assert X.seed_runs(once, words, "doc_id").count() == 3
+    small, joined = (sorted(map(str, X.seed_runs(docs, words, "doc_id", max_set=n).collect())) for n in (100, 1))
+    assert small == joined and len(small) >= 3

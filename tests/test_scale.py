@@ -139,3 +139,14 @@ def test_long_token_stream(spark):
     want = "".join(f"{i} " for i in range(401))
     for n in (10**6, 30):
         assert store.token_stream_decode(lines, chunk=20, limit=n).first()["text"] == want
+
+
+def test_hour_members_are_ordered_without_texts(spark):
+    """Texts that join after the positions are not shuffled by hour, and the members are the same."""
+    from recollect.plans import all_queries
+    from recollect.sources import views as V
+    late = all_queries()["rollup_hour_sub_events"](spark, SMALL)
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("Join"):]
+    early = G.rollup_hour_sub_events(V.memory(spark, SMALL, text=True))
+    assert V.one_text_each(spark, SMALL) and sorted(map(str, late.collect())) == sorted(map(str, early.collect()))

@@ -41,7 +41,7 @@ def append(rows, path, key=None, run=None):
     out = sealed(out, key)
     if run:
         return changes.append_once(out, path, *run, PARTS)
-    changes.placed(out, PARTS).mode("append").parquet(path)
+    changes.place(out, path, PARTS, "append")
     return True
 
 
@@ -176,7 +176,7 @@ def archive_write(rows, path, day, key=None):
             return
         if not rows.select("id").join(old, "id", "left_semi").isEmpty():
             out = out.join(old, "id", "left_anti")
-    out.write.mode("append").option("compression", "zstd").partitionBy("archive_date", "level").parquet(path)
+    changes.place(out, path, ["archive_date", "level"], "append")
 
 
 def archive_read(spark, path, json_path=None, key=None):

@@ -319,3 +319,24 @@ def test_archive_with_some_rows_new(spark, tmp_path):
     for ids, total in ((["1", "2", None], 3), (["1", "2"], 3), (["2", "3"], 4), (["8", "9"], 6), ([None], 7)):
         store.archive_write(few_rows(spark, ids), archive, "2024-02-01")
         assert store.archive_read(spark, archive).count() == total
+
+
+def test_rows_are_written_into_many_partitions_without_a_sort(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    seen, real = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        seen.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return real(self, *args, **kwargs)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(changes, "WRITERS", 2)  # fewer than there are dates: the rest is sorted
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 5).cast("int")).cast("timestamp_ntz")
+    rows = spark.range(0, 200, 1, 3).select(
+        F.col("id").cast("string").alias("id"), day.alias("time_start"), day.alias("time_end"), F.lit(0).alias("level"),
+        F.lit(False).alias("archived"), F.lit("a").alias("app_name"), F.lit("t").alias("window_title"), F.lit("x").alias("text"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store.append(store.stored(rows), str(tmp_path / "m"))
+    store.archive_write(store.read_memory(spark, str(tmp_path / "m")), str(tmp_path / "a"), "2024-02-01")
+    assert seen == [2, 2] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    for found in (store.read_memory(spark, str(tmp_path / "m")), store.archive_read(spark, str(tmp_path / "a"))):
+        assert sorted(int(r["id"]) for r in found.collect()) == list(range(200))

@@ -1,12 +1,9 @@
 """Helpers the training-data operators share."""
 
-import gc
-import time
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from recollect.session import written
+from recollect.session import release, written  # noqa: F401
 
 
 def table(spark, sf_dir, name):
@@ -18,15 +15,6 @@ def stored(df, name):
     return written(df, name)
 
 
-def release(spark):
-    """Let go of the shuffle files of finished jobs. Spark drops them once the driver's
-    JVM has collected the plans, and Python's references to these go a moment after they
-    are collected here."""
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df):
     """Delete the folder of a table that `stored` wrote, when nothing will read it any more."""
     files = df.inputFiles()

@@ -150,3 +150,14 @@ def test_hour_members_are_ordered_without_texts(spark):
     assert "Window" in plan[plan.index("Join"):]
     early = G.rollup_hour_sub_events(V.memory(spark, SMALL, text=True))
     assert V.one_text_each(spark, SMALL) and sorted(map(str, late.collect())) == sorted(map(str, early.collect()))
+
+
+def test_hour_records_shuffle_texts_once_and_sort_none(spark):
+    m = views.memory(spark, SMALL, text=True)
+    for chunk in (10_000, 1, 2, 3):
+        a = G.hour_records(m, chunk, limit=5)
+        b = G.hour_record_parts(G.rollup_hour_sub_events(m), chunk)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    plan = G.hour_records(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and not any(
+        "text" in line for line in plan.splitlines() if "Window" in line or "Sort" in line)

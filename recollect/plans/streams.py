@@ -73,11 +73,17 @@ def stream_rollup_hour(spark, d):
    FROM l0t WHERE {CLOSED.replace('time_start', 'l0t.time_start')} GROUP BY 1"""))
 def stream_hour_records(spark, d):
     """Records of closed hours and a digest of their members, from one stream."""
-    records = Z.drain(Z.hour_records(memory_stream(spark, d, text=True)), "hour-records")
+    details = None  # texts meet their rows behind the state where a row has one text at most
+    if V.one_text_each(spark, d):
+        details = lambda rows: V.with_text(rows, spark, d)
+        m = V.with_size(memory_stream(spark, d), spark, d)
+    else:
+        m = memory_stream(spark, d, text=True)
+    records = Z.drain(Z.hour_records(m, details=details), "hour-records")
     text = F.concat_ws(" ", "id", "act", F.concat("ocr_full", "clipboard"))
     members = Z.members_of(records).groupBy("hour").agg(
         F.bit_xor(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")).alias("members"))
-    heads = Z.merge_hours(records).withColumn("embed_text", F.md5("embed_text"))
+    heads = Z.merge_hours(records, details=details).withColumn("embed_text", F.md5("embed_text"))
     return heads.join(members, "hour")
 
 

@@ -110,6 +110,19 @@ def test_hour_records_equal_the_batch(spark, parts):
     assert members(Z.members_of(records)) == members(G.rollup_hour_sub_events(batch))
 
 
+def test_hour_records_with_late_texts_equal_the_batch(spark, parts):
+    details = lambda rows: views.with_text(rows, spark, SMALL)
+    m = views.with_size(views.memory_of(parts(), spark, SMALL), spark, SMALL)
+    assert "text" not in m.columns
+    records = Z.drain(Z.hour_records(m, shares=3, details=details), "t")
+    got = {r["hour"]: r for r in Z.merge_hours(records, details=details).collect()}
+    batch = views.memory(spark, SMALL, text=True)
+    want = {r["hour"]: r for r in G.rollup_hour_l1(batch).collect()}
+    assert got and all(r == want[h] for h, r in got.items()) and len(want) - len(got) <= 2
+    members = lambda df: sorted(map(tuple, df.select("hour", "id", "t", "act", "ocr_full", "clipboard").collect()))
+    assert members(Z.members_of(records)) == members(G.rollup_hour_sub_events(batch))
+
+
 def test_sessions_equal_the_batch(spark, parts):
     from recollect.operators import timeline as W
     got = rows(Z.drain(Z.sessions(views.memory_of(parts(), spark, SMALL)), "t"), "stream", "first_ts", "last_ts", "n")

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from recollect.session import release, written  # noqa: F401
+from recollect.session import in_parts, release, written  # noqa: F401
 
 
 def table(spark, sf_dir, name):
@@ -37,13 +37,6 @@ def batch(schema, *columns):
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def in_parts(batches, rows=1000):
-    """Arrow batches cut to a size whose texts fit a task's memory more than once."""
-    for b in batches:
-        for start in range(0, b.num_rows, rows):
-            yield b.slice(start, rows)
-
-
 class Cache(dict):
     """What `make` gives for a key, in two generations of at most `entries` keys: a full
     one becomes the old one, and what is asked for again moves up."""

@@ -179,3 +179,27 @@ def test_near_hashes_of_a_hot_key_meet_in_chunks(spark, monkeypatch):
         pairs, _ = SM.near_hashes(rows, "k", "h", 2)
         assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString() or chunk == 20
         assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_similar_sets_of_a_cut_family(spark, monkeypatch):
+    """A family of more words than meet at once is cut into chunks; a set is not sent for each pair."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, [*base[:i % 7], *base[i % 7 + 1:], f"own{i}", None]) for i in range(60)]
+    _, want = brute_sets(rows, 0.85)
+    monkeypatch.setattr(SM, "OFTEN", 64)  # most words share a place with others
+    for family in (1 << 20, 1500):
+        monkeypatch.setattr(SM, "FAMILY", family)
+        sets = []
+        met = SM._met
+
+        def counted(found, whole):
+            grouped = met(found, whole)
+            sets.append(grouped.agg(F.count_if(F.col("b").isNull()).alias("n")).agg(F.sum("n")).first()[0])
+            return grouped
+
+        monkeypatch.setattr(SM, "_met", counted)
+        pairs, _ = SM.similar_sets(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w")
+        got = pairs.collect()
+        monkeypatch.setattr(SM, "_met", met)
+        assert {(r["a"], r["b"], r["common"]) for r in got} == want and len(got) == len(want) > 1000
+        assert sets[0] <= 10 * len(rows)

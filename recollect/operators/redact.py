@@ -14,6 +14,7 @@ from recollect.operators.ordered import HOT_ROWS, Ordered
 
 # A word list up to this size goes to every task as a set; a larger one is joined.
 WORDLIST_MAX = 100_000
+MORE_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def _shared(wordlist, max_set):
@@ -26,17 +27,26 @@ def _is_word(tok, words):
     return tok.isascii() and tok.isalpha() and tok.lower() in words
 
 
-def _runs_of(line, words, min_run):
-    """[(start, length)] of the runs of a line."""
-    out, start = [], None
-    toks = [t for t in re.split(f"[{T.WS_CHARS}]+", line) if t]
-    for i, tok in enumerate([*toks, ""]):
-        if _is_word(tok, words):
-            start = i if start is None else start
+def _tokens(line):
+    """The words of a line; `str.split` knows four separators more than T.WS_CHARS."""
+    return [t for t in re.split(f"[{T.WS_CHARS}]+", line) if t] if MORE_SPACE.search(line) else line.split()
+
+
+def _runs_of(toks, words, min_run):
+    """[(start, length)] of the runs of a line's tokens; each covers one of the places looked at."""
+    out, i = [], min_run - 1
+    while i < len(toks):
+        if not _is_word(toks[i], words):
+            i += min_run
             continue
-        if start is not None and i - start >= min_run:
-            out.append((start, i - start))
-        start = None
+        start, end = i, i + 1
+        while start and _is_word(toks[start - 1], words):
+            start -= 1
+        while end < len(toks) and _is_word(toks[end], words):
+            end += 1
+        if end - start >= min_run:
+            out.append((start, end - start))
+        i = end + min_run
     return out
 
 
@@ -45,7 +55,7 @@ def _runs_with_set(lines, key, words, min_run):
 
     @F.pandas_udf("array<struct<start:int,length:bigint>>")
     def runs(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"start": a, "length": n} for a, n in _runs_of(x, shared.value, min_run)])
+        return s.map(lambda x: [{"start": a, "length": n} for a, n in _runs_of(_tokens(x), shared.value, min_run)])
 
     return lines.select(key, "line", F.explode(runs("_line")).alias("_run")).select(key, "line", "_run.*")
 
@@ -84,36 +94,23 @@ def _runs_with_join(lines, wordlist, key, min_run):
 
 
 def _scrub_line(line, words):
-    toks = [t for t in re.split(f"[{T.WS_CHARS}]+", line) if t]
-    if len(toks) < rules.SEED_RUN_MIN_WORDS:
-        return line
-    out, run, found = [], [], False
-    for tok in [*toks, ""]:
-        if _is_word(tok, words):
-            run.append(tok)
-            continue
-        if len(run) >= rules.SEED_RUN_MIN_WORDS:
-            out.append(rules.SEED_MARK)
-            found = True
-        else:
-            out.extend(run)
-        run = []
-        out.append(tok)
-    return " ".join(out[:-1]) if found else line
+    toks = _tokens(line)
+    runs = _runs_of(toks, words, rules.SEED_RUN_MIN_WORDS)
+    for start, n in reversed(runs):
+        toks[start:start + n] = [rules.SEED_MARK]
+    return " ".join(toks) if runs else line
 
 
 def _scrub_with_set(docs, words, text):
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("string")
-    def scrub(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: "\n".join(_scrub_line(l, shared.value) for l in x.split("\n")))
+    # Rows go to Python a hundred at a time, so that no task holds more whole texts.
+    @F.udf("string", useArrow=False)
+    def scrub(x):
+        return None if x is None else "\n".join(_scrub_line(l, shared.value) for l in x.split("\n"))
 
-    # Most texts hold no long run of plain words and never reach Python.
-    return docs.withColumn(text, F.when(
-        F.col(text).rlike(R.ASCII_WORD_RUN_HINT), scrub(F.when(
-            F.col(text).rlike(R.ASCII_WORD_RUN_HINT), F.col(text)).otherwise("")))
-        .otherwise(F.col(text)))
+    # Most texts hold no long run of plain words and are not sent there.
+    return docs.withColumn(text, F.coalesce(scrub(F.when(F.col(text).rlike(R.ASCII_WORD_RUN_HINT), F.col(text))), F.col(text)))
 
 
 def _scrub_with_join(docs, wordlist, key, text):

@@ -3,7 +3,6 @@
 from collections import Counter
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -99,10 +98,11 @@ def _results(html, grouped, flat):
 
 def page_results(html, grouped=GROUPED, flat=FLAT):
     """H1-H3 parser: results inside containers, and titles and snippets as parallel lists, in
-    one pass. A page that cannot hold one of the class names does not reach Python."""
-    @F.pandas_udf(LAYOUTS)
-    def parse(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_results(h, grouped, flat) for h in pages], columns=["grouped", "flat"])
+    one pass. A page that cannot hold one of the class names does not reach Python; the others go
+    there a hundred at a time, so that no task holds more whole pages."""
+    @F.udf(LAYOUTS, useArrow=False)
+    def parse(html):
+        return _results(html, grouped, flat)
 
     html = col(html)
     named = T.contains_any(html, sorted({grouped["box"], *flat.values()}))

@@ -5,6 +5,7 @@ from recollect.functions import numbers as N
 from recollect.functions import payload as J
 from recollect.functions import text as T
 from recollect.functions import times as C
+from recollect.operators import web as H
 
 
 def test_clean_lines(values):
@@ -229,3 +230,11 @@ def test_aliases_reach_the_driver_in_columns(spark, monkeypatch):
     assert not [rows for rows in seen if "alias" in rows.columns]
     assert sorted((r["id"], r["pos"], r["label"] or "") for r in hits.collect()) == [
         (1, 0, ""), (1, 0, ""), (1, 1, "Y"), (1, 1, "Y"), (1, 2, "Z"), (1, 2, "Z"), (2, 0, ""), (2, 1, "Y")]
+
+
+def test_pages_are_parsed_in_small_batches(spark):
+    """Whole pages go to Python a hundred rows at a time, not ten thousand in an Arrow batch."""
+    out = spark.createDataFrame([('<a class="result-link" href="u">T</a>',), (None,)], "html string").select(H.page_results("html").alias("r"))
+    assert [len(r["r"]["flat"]) for r in out.collect()] == [1, 0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

@@ -1,4 +1,7 @@
 """Secrets: literal cases, invariants, and the two word-list paths."""
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from recollect import rules
@@ -109,3 +112,23 @@ def test_seed_runs_are_found_where_lines_are_read(spark):
     assert X.seed_runs(once, words, "doc_id").count() == 3
     small, joined = (sorted(map(str, X.seed_runs(docs, words, "doc_id", max_set=n).collect())) for n in (100, 1))
     assert small == joined and len(small) >= 3
+
+
+def test_runs_of_tokens():
+    r, words = random.Random(5), {"a", "b", "mid\x1cword"}
+    for _ in range(2000):
+        toks = [r.choice(["a", "B", "a", "b", "x", "a1"] if r.random() < .2 else ["a", "B"]) for _ in range(r.randrange(60))]
+        for least in (1, 3, 12):
+            hit = "".join("1" if t.lower() in words else "0" for t in toks)
+            assert X._runs_of(toks, words, least) == [(m.start(), len(m.group())) for m in re.finditer("1+", hit) if len(m.group()) >= least]
+    for c in "\x1c\x1d\x1e\x1f":
+        assert X._tokens(f" a{c}b c\t") == [f"a{c}b", "c"]
+
+
+def test_texts_are_scrubbed_in_small_batches(spark):
+    """Texts go to Python a hundred rows at a time, not ten thousand whole ones in an Arrow batch."""
+    docs = spark.createDataFrame([(1, " ".join(["word"] * 12)), (2, None), (3, "word " * 11)], "doc_id long, text string")
+    out = X.scrub_seed_phrases(docs, spark.createDataFrame([("word",)], "word string"), "doc_id")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rules.SEED_MARK, 2: None, 3: "word " * 11}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.functions.text import col
+from recollect.session import use_small_batches
 
 RESULT = "struct<title:string,href:string,snippet:string>"
 LAYOUTS = f"struct<grouped:array<{RESULT}>,flat:array<{RESULT}>>"
@@ -98,9 +99,8 @@ def _results(html, grouped, flat):
 
 def page_results(html, grouped=GROUPED, flat=FLAT):
     """H1-H3 parser: results inside containers, and titles and snippets as parallel lists, in
-    one pass. A page that cannot hold one of the class names does not reach Python; the others go
-    there a hundred at a time, so that no task holds more whole pages."""
-    @F.udf(LAYOUTS, useArrow=False)
+    one pass. A page that cannot hold one of the class names does not reach Python."""
+    @F.udf(LAYOUTS, useArrow=True)
     def parse(html):
         return _results(html, grouped, flat)
 
@@ -129,6 +129,7 @@ def usable(results, question, domain="vk.com", keyword="vk", cap=5):
 
 
 def _parsed(pages):
+    use_small_batches(pages.sparkSession)
     return pages.withColumn("_raw", page_results("html"))
 
 

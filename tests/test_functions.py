@@ -233,8 +233,9 @@ def test_aliases_reach_the_driver_in_columns(spark, monkeypatch):
 
 
 def test_pages_are_parsed_in_small_batches(spark):
-    """Whole pages go to Python a hundred rows at a time, not ten thousand in an Arrow batch."""
-    out = spark.createDataFrame([('<a class="result-link" href="u">T</a>',), (None,)], "html string").select(H.page_results("html").alias("r"))
-    assert [len(r["r"]["flat"]) for r in out.collect()] == [1, 0]
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    """Arrow batches of pages end at a number of bytes, not at ten thousand rows alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    pages = spark.createDataFrame([(1, PAGE, "q")], "id int, html string, question string")
+    H.fallback_source(pages, "question")
+    assert int(spark.conf.get(name)) <= 4 << 20

@@ -110,3 +110,12 @@ def test_long_runs_do_not_recurse(values):
     assert values(K.referent_of, ["who is Ann" + " of" * n, "tell me about " + "by " * n, "about " * n, "what is Foo Bar mean like OF?"]) == [
         "Ann", None, None, "Foo Bar"]
     assert values(K.query_route, ["he is tall" + " and" * n, "who is he" + " with" * n]) is not None
+
+
+def test_texts_are_searched_for_tags_outside_of_columns(spark):
+    """One search step for all words instead of a column function for each."""
+    rows = spark.createDataFrame([("GIT \u0130 zoom", "x", "y"), (None, "Code", None), ("git", None, "y")], "t string, a string, w string")
+    out = rows.select(K.auto_tag("t", "a", "w").alias("tags"))
+    assert [r["tags"] for r in out.collect()] == [["#work"], ["#code"], []]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "traceback" not in plan

@@ -119,3 +119,11 @@ def test_texts_are_searched_for_tags_outside_of_columns(spark):
     assert [r["tags"] for r in out.collect()] == [["#code", "#work"], ["#code"], []]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchEvalPython") == 1 and "traceback" not in plan
+
+
+def test_tag_counts_hold_a_total_for_each_tag(spark):
+    from recollect.operators import rollup as G
+    rows = spark.createDataFrame([("x", ["#code", "#work"]), ("y", ["#code"]), ("y", ["#code"]), (None, ["#work"]), ("z", [])], "app_name string, tags array<string>")
+    got = sorted(map(tuple, G.tag_counts(rows).select("app_name", "tag", "n").collect()), key=repr)
+    assert got == sorted([("x", "#code", 1), ("y", "#code", 2), (None, "#code", 3),
+                          ("x", "#work", 1), (None, "#work", 1), (None, "#work", 2)], key=repr)

@@ -232,6 +232,19 @@ def test_aliases_reach_the_driver_in_columns(spark, monkeypatch):
         (1, 0, ""), (1, 0, ""), (1, 1, "Y"), (1, 1, "Y"), (1, 2, "Z"), (1, 2, "Z"), (2, 0, ""), (2, 1, "Y")]
 
 
+def test_tables_of_many_aliases_are_not_handed_out(spark):
+    """Above `share` nothing passes the driver; entries with nulls, rows and texts that come twice, aliases of every length."""
+    from recollect.operators import timeline as W
+    rows = spark.createDataFrame([(1, "x\U0001f600yz abcdefghi"), (1, "x\U0001f600yz abcdefghi"), (2, "abcdefgh"), (3, None), (4, "")], "id int, t string")
+    names = spark.createDataFrame([(0, "s", None, None, "\U0001f600y"), (0, "s", None, None, "\U0001f600y"), (0, None, "s", None, "cdefghi"), (1, "a", "", "k", "abcdef"),
+                                   (2, "b", "", "k", "abcdefghij"), (3, "c", "", "k", "bcdefgh"), (0, "s", None, None, "h"), (4, "d", "", "k", "")], W.SERVICE_SCHEMA)
+    hits = W.alias_hits(rows, F.col("t"), names, 0)
+    got = sorted((r["id"], r["pos"], r["service"] or "-") for r in hits.collect())
+    assert got == sorted(2 * [(1, 0, "s"), (1, 0, "-"), (1, 1, "a"), (1, 3, "c")] + [(2, 0, "s"), (2, 1, "a"), (2, 3, "c")])
+    plan = hits._jdf.queryExecution().executedPlan().toString()  # as it ran
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def test_pages_are_parsed_in_small_batches(spark):
     """Arrow batches of pages end at a number of bytes, not at ten thousand rows alone."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

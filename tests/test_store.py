@@ -340,3 +340,30 @@ def test_rows_are_written_into_many_partitions_without_a_sort(spark, tmp_path, m
     assert seen == [2, 2] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     for found in (store.read_memory(spark, str(tmp_path / "m")), store.archive_read(spark, str(tmp_path / "a"))):
         assert sorted(int(r["id"]) for r in found.collect()) == list(range(200))
+
+
+def test_compaction_takes_on_a_portion_at_a_time(spark, tmp_path, monkeypatch):
+    """Table, archive and records do not hold all rows at once; ids that come again on other days are rows of their own."""
+    rows = spark.range(60).selectExpr(
+        "cast(id % 40 as string) AS id", "timestamp_ntz'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, id * 5) AS time_start",
+        "timestamp_ntz'2024-01-20 00:00:00' AS time_end", "0 AS level", "false AS archived",
+        "concat('{\"app_name\":\"a\",\"text\":\"t', id, '\"}') AS data_json", "cast(array() AS array<float>) AS embedding")
+    real, held, found = store.archive_write, [], []
+    for portion in (1, 1 << 40):
+        path, archive = str(tmp_path / f"m{portion}"), str(tmp_path / f"a{portion}")
+        monkeypatch.setattr(store, "PORTION", portion, raising=False)
+        monkeypatch.setattr(store, "PORTIONS", 3, raising=False)
+        store.append(rows, path)
+
+        def watched(*args):
+            real(*args)
+            held.append(store.read_memory(spark, path).filter("level = 0").count() + store.archive_read(spark, archive).count())
+
+        monkeypatch.setattr(store, "archive_write", watched)
+        assert store.compact(spark, path, archive, F.lit("2024-02-01").cast("timestamp_ntz"), "2024-02-01", embed) == 60
+        if portion == 1:
+            assert len(held) > 2 and max(held) < 100
+        assert store.compact_weeks(spark, path, archive, "2024-02-02", embed, 1, 1) == 60
+        found.append([sorted(tuple(map(str, r)) for r in t.select("id", "time_start", "level", "data_json").collect())
+                      for t in (store.read_memory(spark, path), store.archive_read(spark, archive))])
+    assert found[0] == found[1] and len(found[0][1]) == 120
